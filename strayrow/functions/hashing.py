@@ -1,7 +1,8 @@
-"""Portable row identities and hashed uniforms, built from md5 so any SQL engine can repeat them.
+"""Portable row identities and hashed uniforms.
 
-Everything random in the package is a pure function of (seed, row identity). A task that is
-run again after an executor is lost therefore emits exactly the same rows.
+A row's identity is hashed once, with md5; every draw made for the row then only mixes that
+number with the seed and the number of the draw. Everything random in the package is a pure
+function of these, so a task that runs again after an executor is lost emits the same rows.
 """
 
 from __future__ import annotations
@@ -14,8 +15,9 @@ from pyspark.sql import types as T
 
 NULL_TEXT = "\\N"
 HASH_BITS = 60  # 15 hex digits: the widest whole-digit hash that stays positive in a BIGINT
-UNIFORM_DIGITS = 13  # 52 bits: exact in a double
-UNIFORM_SCALE = 1 << (4 * UNIFORM_DIGITS)
+UNIFORM_BITS = 52
+UNIFORM_STEPS = 1 << UNIFORM_BITS
+UNIFORM_TAG, ORDER_TAG = 0, 1
 
 
 def row_text(df: DataFrame, columns: Iterable[str]) -> Column:
@@ -29,23 +31,23 @@ def row_text(df: DataFrame, columns: Iterable[str]) -> Column:
     return F.concat_ws("|", *parts)
 
 
-def hex_to_long(text: Column) -> Column:
-    return F.conv(text, 16, 10).cast("bigint")
+def text_hash(text: Column) -> Column:
+    """60-bit BIGINT hash of a text."""
+    return F.conv(F.substring(F.md5(text), 1, HASH_BITS // 4), 16, 10).cast("bigint")
 
 
-def order_hash(*parts: Column) -> Column:
-    """60-bit BIGINT hash of the parts; used for ordering and bucketing."""
-    return hex_to_long(F.substring(F.md5(F.concat_ws(":", *parts)), 1, HASH_BITS // 4))
+def _mixed(*numbers: Column | int) -> Column:
+    longs = [F.lit(n) if isinstance(n, int) else n for n in numbers]
+    return F.xxhash64(*[n.cast("bigint") for n in longs])
 
 
-def draw_digests(row_id: Column, seed: int, draws: int) -> list[Column]:
-    """The md5 digests that ``uniform_hex`` cuts up: one serves two draws."""
-    return [
-        F.md5(F.concat_ws(":", F.lit(str(seed)), row_id, F.lit(str(pair))))
-        for pair in range((draws + 1) // 2)
-    ]
+def uniform(row_hash: Column, seed: int, feature: int) -> Column:
+    """A uniform integer below ``UNIFORM_STEPS`` for one feature of one row."""
+    mixed = _mixed(row_hash, seed, feature, UNIFORM_TAG)
+    return F.shiftrightunsigned(mixed, 64 - UNIFORM_BITS)
 
 
-def uniform_hex(digest: Column, draw: int) -> Column:
-    """Draw number ``draw`` as 13 hex digits; as text it orders like the number it spells."""
-    return F.substring(digest, 1 + 16 * (draw % 2), UNIFORM_DIGITS)
+def order_hash(row_hash: Column, seed: int, feature: Column | int, draw: Column) -> Column:
+    """60-bit hash that puts the draws of a feature in random order."""
+    mixed = _mixed(row_hash, seed, feature, draw, ORDER_TAG)
+    return F.shiftrightunsigned(mixed, 64 - HASH_BITS)

@@ -8,7 +8,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strayrow.functions.hashing import HASH_BITS, order_hash, row_text
+from strayrow.functions.hashing import HASH_BITS, row_text, text_hash
+from strayrow.workspace import materialize
 
 ROWS_PER_BUCKET = 1 << 18
 MIN_BUCKET_BITS = 5
@@ -93,7 +94,9 @@ def rank_by_hash(
     """
     bits = bucket_bits(expected_rows, rows_per_bucket)
     keys = [*group, "_bucket"]
-    bucketed = df.withColumn("_bucket", F.shiftright(hash_column, HASH_BITS - bits).cast("int"))
+    # Declared non-null, or the join below would hash every row twice to look for nulls.
+    bucket = F.coalesce(F.shiftright(hash_column, HASH_BITS - bits).cast("int"), F.lit(0))
+    bucketed = df.withColumn("_bucket", bucket)
 
     # One row per bucket: at most 2^20 per group, whatever the number of rows.
     earlier = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(
@@ -125,8 +128,36 @@ def dense_index(
     The numbering depends on the rows alone, not on how they are partitioned.
     """
     total = df.count() if rows is None else rows
-    hashed = with_row_id(df, key).withColumn("_hash", order_hash(F.col("_row_id")))
+    hashed = with_row_id(df, key).withColumn("_hash", text_hash(F.col("_row_id")))
     ranked = rank_by_hash(
         hashed, "_hash", out, total, ties=["_row_id"], rows_per_bucket=rows_per_bucket
     )
     return ranked.drop("_row_id", "_hash")
+
+
+def ordered_index(df: DataFrame, order: Sequence[str], out: str = "index") -> DataFrame:
+    """Number rows 0..n-1 in the order of ``order``, then of the remaining columns.
+
+    The rows are range-partitioned on the whole row and the number of the copy, so a value that
+    many rows share still splits over tasks. The sorted rows are written out once: their
+    partitions must be the same when they are counted and when they are numbered.
+    """
+    rest = [c for c in df.columns if c not in order]
+    ordered = (
+        number_copies(df, "_copy_no")
+        .orderBy(*order, *rest, "_copy_no")
+        .drop("_copy_no")
+        .withColumn("_part", F.spark_partition_id())
+        .withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    )
+    written = materialize(ordered, "ordered")
+    # One row per sort partition.
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        written.groupBy("_part")
+        .agg(F.count(F.lit(1)).alias("_size"))
+        .select("_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))
+    )
+    return written.join(F.broadcast(starts), "_part").select(
+        *df.columns, (F.col("_start") + F.col("_place")).alias(out)
+    )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strayrow.functions.expressions import sum_of, utc_text
 from strayrow.functions.hashing import row_text
-from strayrow.operators.positions import dense_index
+from strayrow.operators.positions import dense_index, ordered_index
 
 
 def enrich(
@@ -59,6 +59,7 @@ def dedupe_stream(
 def stamp_records(
     df: DataFrame,
     key: Sequence[str] | None = None,
+    order: Sequence[str] | None = None,
     source_index: str | None = None,
     random_uuid: bool = False,
     rows: int | None = None,
@@ -66,15 +67,20 @@ def stamp_records(
     """Add ``sequence_id``, ``uuid``, ``utc`` and ``index``.
 
     Without ``source_index`` the records are one pass over the source: ``sequence_id`` and
-    ``index`` are both the dense position. With it ``df`` holds drawn records, numbered by
-    ``sequence_id`` already, and ``source_index`` names the position each was drawn from.
+    ``index`` are both the dense position, in the given ``order`` or else in hash order. With it
+    ``df`` holds drawn records, numbered by ``sequence_id`` already, and ``source_index`` names
+    the position each was drawn from.
 
     ``uuid`` is the md5 of the sequence number and the record, so a re-run gives the same ids;
     ``random_uuid`` asks for version 4 ids instead.
     """
     names = list(df.columns)
     if source_index is None:
-        stamped = dense_index(df, key, "index", rows).withColumn("sequence_id", F.col("index"))
+        if order is not None:
+            numbered = ordered_index(df, order)
+        else:
+            numbered = dense_index(df, key, "index", rows)
+        stamped = numbered.withColumn("sequence_id", F.col("index"))
     else:
         stamped = df.withColumnRenamed(source_index, "index")
         names = [c for c in names if c not in (source_index, "sequence_id")]

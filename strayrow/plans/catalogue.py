@@ -22,10 +22,10 @@ from strayrow.operators.forest import (
     forest_estimator,
     score,
 )
-from strayrow.operators.positions import dense_index
+from strayrow.operators.positions import dense_index, ordered_index, with_row_id
 from strayrow.operators.records import dedupe, dedupe_stream, enrich, stamp_records
 from strayrow.operators.sampling import bootstrap_rows, marginal_resample, poisson_sample
-from strayrow.plans.train import TrainingOptions, train_and_publish
+from strayrow.plans.train import TrainingOptions, feature_table, train_and_publish
 from strayrow.sources.messages import replay_messages, replay_table
 from strayrow.sources.models import current_version, load_published
 from strayrow.sources.parsing import mark_json, split_marked
@@ -39,6 +39,7 @@ from strayrow.workspace import fresh_folder, materialize
 SEED = 7
 FRACTION = 0.1
 EVENT_FEATURES = ["value", "k", "user_id"]
+VECTOR_WIDTH = 64
 LINE_FEATURES = ["quantity", "price", "discounted", "charge"]
 
 LINEITEM_TEXT = """l_orderkey: continuous.
@@ -88,6 +89,13 @@ def event_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", "value", k, "user_id")
 
 
+def unique_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event features de-duplicated on the id, which makes the id a key to sample by."""
+    return feature_table(
+        event_features(spark, sf_dir), TrainingOptions(EVENT_FEATURES, ["event_id"])
+    )
+
+
 def line_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four dependent features per order line."""
     discounted = F.col("l_extendedprice") * (1 - F.col("l_discount"))
@@ -240,7 +248,7 @@ def rebuild_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stamped_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
-    stamped = stamp_records(events, ["event_id"])
+    stamped = stamp_records(events)
     stamped_at = parse_utc(F.col("utc"))
     return stamped.withColumn("utc", stamped_at.isNotNull()).withColumnRenamed("utc", "has_utc")
 
@@ -258,32 +266,56 @@ def dense_index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense_index(table(spark, sf_dir, "lineitem"))
 
 
+def ordered_index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("event_type", "ts", "event_id")
+    return ordered_index(events, ["event_type", "ts"])
+
+
 def poisson_sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
-    return poisson_sample(events, FRACTION, SEED, ["event_id"])
+    return poisson_sample(unique_events(spark, sf_dir), FRACTION, SEED, ["event_id"])
 
 
 def marginal_resample_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marginal_resample(
-        event_features(spark, sf_dir), EVENT_FEATURES, FRACTION, SEED, ["event_id"]
+        unique_events(spark, sf_dir), EVENT_FEATURES, FRACTION, SEED, ["event_id"]
     )
 
 
 def marginal_resample_poisson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marginal_resample(
-        event_features(spark, sf_dir), EVENT_FEATURES, FRACTION, SEED, ["event_id"], "poisson"
+        unique_events(spark, sf_dir), EVENT_FEATURES, FRACTION, SEED, ["event_id"], "poisson"
+    )
+
+
+def marginal_resample_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixty-four features at once."""
+    vectors = dedupe(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), ["vec_id"])
+    columns = [f"v{j}" for j in range(VECTOR_WIDTH)]
+    wide = materialize(
+        vectors.select("vec_id", *[F.col("embedding")[j].alias(c) for j, c in enumerate(columns)]),
+        "vectors",
     )
+    return marginal_resample(wide, columns, 1.0, SEED, ["vec_id"])
 
 
 def bootstrap_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     rows = orders.count()
-    return bootstrap_rows(orders, rows, SEED, ["o_orderkey"], rows)
+    return bootstrap_rows(orders, rows, SEED, rows=rows)
+
+
+def replayed_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records drawn at random and stamped with the draw and with the place drawn from."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    indexed = materialize(dense_index(events, None, "place"), "indexed")
+    rows = indexed.count()
+    drawn = bootstrap_rows(indexed, rows, SEED, ["place"], rows)
+    return stamp_records(drawn, source_index="place").drop("utc")
 
 
 def contrast_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = contrast_set(
-        event_features(spark, sf_dir), EVENT_FEATURES, FRACTION, SEED, ["event_id"]
+        unique_events(spark, sf_dir), EVENT_FEATURES, FRACTION, SEED, ["event_id"]
     )
     return both.groupBy("label").agg(
         F.count(F.lit(1)).alias("rows"),
@@ -392,18 +424,8 @@ def landing_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines and, as many again, lines put together from independent draws."""
-    real = line_features(spark, sf_dir)
-    shuffled = marginal_resample(real, LINE_FEATURES, 1.0, SEED + 1).drop("row_no")
-    both = materialize(
-        feat.union_rows(
-            real.withColumn("source", F.lit("real")), shuffled.withColumn("source", F.lit("drawn"))
-        ),
-        "lines",
-    )
-    return dense_index(both, None, "line_no").select(
-        F.concat_ws(":", "source", F.format_string("%012d", "line_no")).alias("line_id"),
-        *LINE_FEATURES,
-    )
+    both = contrast_set(line_features(spark, sf_dir), LINE_FEATURES, 1.0, SEED + 1)
+    return both.select(F.col("row_id").alias("line_id"), *LINE_FEATURES)
 
 
 def line_model(spark: SparkSession, sf_dir: str, settings: ForestSettings = ForestSettings()):
@@ -463,8 +485,8 @@ def forest_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def model_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Publish twice, fail a third time, then score with whatever is current."""
-    records = line_messages(spark, sf_dir).filter(F.col("line_id").startswith("real:"))
-    records = materialize(records, "records")
+    lines = with_row_id(line_features(spark, sf_dir), None, "line_id")
+    records = materialize(lines, "records")
     root = fresh_folder(spark, "model")
     small = ForestSettings(trees=4, max_depth=5)
     options = TrainingOptions(LINE_FEATURES, ["line_id"], seed=SEED, forest=small)
@@ -505,10 +527,13 @@ QUERIES = {
     "stamp_records": stamped_events,
     "dedupe_key": dedupe_key,
     "dense_index": dense_index_rows,
+    "ordered_index": ordered_index_rows,
     "poisson_sample": poisson_sample_rows,
     "marginal_resample": marginal_resample_exact,
     "marginal_resample_poisson": marginal_resample_poisson,
+    "marginal_resample_wide": marginal_resample_wide,
     "bootstrap_rows": bootstrap_orders,
+    "replayed_draws": replayed_draws,
     "contrast_set": contrast_totals,
     "anomaly_filter": anomaly_filter,
     "alerts_first5": alerts_first5,

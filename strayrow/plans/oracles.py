@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from strayrow.functions.expressions import ALERT_TEXT
-from strayrow.functions.hashing import NULL_TEXT, UNIFORM_DIGITS, UNIFORM_SCALE
+from strayrow.functions.hashing import NULL_TEXT, ORDER_TAG, UNIFORM_STEPS, UNIFORM_TAG
 from strayrow.functions.poisson import poisson_thresholds
-from strayrow.plans.catalogue import EVENT_FEATURES, FRACTION, SEED
+from strayrow.plans.catalogue import EVENT_FEATURES, FRACTION, SEED, VECTOR_WIDTH
 
 EVENT_K = "CAST(json_extract(props, '$.k') AS BIGINT)"
 FLAGGED = """
@@ -19,61 +19,121 @@ def row_text(columns: list[str]) -> str:
     return f"concat_ws('|', {', '.join(parts)})"
 
 
-def uniform(row_id: str, draw: str) -> str:
-    digest = f"md5(concat_ws(':', '{SEED}', {row_id}, CAST(({draw}) // 2 AS VARCHAR)))"
-    return f"substr({digest}, 1 + 16 * (({draw}) % 2), {UNIFORM_DIGITS})"
+def text_hash(text: str) -> str:
+    return f"CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT)"
 
 
-def hash60(*parts: str) -> str:
-    return f"CAST('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 15) AS BIGINT)"
+# The constants of the public xxHash64 algorithm, and the seed Spark starts it from.
+XX_PRIMES = (
+    11400714785074694791,
+    14029467366897019727,
+    1609587929392839161,
+    9650029242287828579,
+    2870177450012600261,
+)
+XX_SEED = 42
+
+
+def mixed(source: str, numbers: list[str], out: str) -> str:
+    """``source`` with column ``out``: the numbers hashed one after the other by xxHash64."""
+    p1, p2, p3, p4, p5 = (f"{p}::UHUGEINT" for p in XX_PRIMES)
+    word = f"{1 << 64}::UHUGEINT"
+
+    def times(a: str, b: str) -> str:
+        return f"(({a}) * {b}) % {word}"
+
+    def turned(a: str, bits: int) -> str:
+        return f"(({a} * {1 << bits}::UHUGEINT) % {word} + {a} // {1 << (64 - bits)}::UHUGEINT)"
+
+    def folded(a: str, bits: int) -> str:
+        return f"xor({a}, {a} // {1 << bits}::UHUGEINT)"
+
+    seed = f"{XX_SEED}::UHUGEINT"
+    for number in numbers:
+        source = f"""
+SELECT * EXCLUDE (_a, _b, _c, _d, _e, _f, _g, _h), {folded('_h', 32)} AS {out} FROM (
+  SELECT *{f' EXCLUDE ({out})' if seed == out else ''},
+    {times(f'({number})::UHUGEINT', p2)} AS _a,
+    {times(turned('_a', 31), p1)} AS _b,
+    xor(({seed} + {p5} + 8::UHUGEINT) % {word}, _b) AS _c,
+    ({times(turned('_c', 27), p1)} + {p4}) % {word} AS _d,
+    {folded('_d', 33)} AS _e, {times('_e', p2)} AS _f,
+    {folded('_f', 29)} AS _g, {times('_g', p3)} AS _h
+  FROM ({source}))"""
+        seed = out
+    return source
+
+
+def with_uniform(source: str) -> str:
+    """``source`` (row_id, feature, ...) with the hash of the row and the uniform of the feature."""
+    hashed = f"SELECT *, {text_hash('row_id')} AS row_hash FROM ({source})"
+    tag = f"{UNIFORM_TAG}"
+    numbers = ["row_hash", f"{SEED}", "feature", tag]
+    return f"SELECT *, uniform // 4096 AS u FROM ({mixed(hashed, numbers, 'uniform')})"
+
+
+def with_order(source: str) -> str:
+    numbers = ["row_hash", f"{SEED}", "feature", "draw", f"{ORDER_TAG}"]
+    return f"SELECT *, mixture // 16 AS place_hash FROM ({mixed(source, numbers, 'mixture')})"
 
 
 def covering_draws(source: str, wanted: str) -> str:
-    """CTEs from ``source`` (row_id, feature, payload...) to its draws, numbered per feature."""
+    """CTEs from ``source`` (row_id, feature, payload...) to its draws."""
     return f"""
-source AS ({source}),
+source AS ({with_uniform(source)}),
 size AS (SELECT count(*) AS n, {wanted} AS m FROM source WHERE feature = 0),
 rate AS (SELECT m, (m + 7.5 * sqrt(m) + 40.0) / n AS rate FROM size),
 cdf AS (
-  SELECT k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (ORDER BY k) AS p
+  SELECT k, floor(sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (ORDER BY k)
+                  * {UNIFORM_STEPS}) AS step
   FROM rate, range(0, 80) AS counts(k)),
 drawn AS (
   SELECT s.*, k AS draw
-  FROM source s JOIN cdf
-    ON CAST('0x' || {uniform('row_id', 'feature')} AS BIGINT) / {UNIFORM_SCALE}.0 >= p)"""
+  FROM source s JOIN cdf ON CAST(u AS BIGINT) >= step AND step < {UNIFORM_STEPS} - 1),
+ordered AS ({with_order('SELECT * FROM drawn')})"""
 
 
-def resampled(mode: str) -> str:
-    """CTEs up to ``synthetic``: the marginal resample of the event features."""
-    long = " UNION ALL ".join(
-        f"SELECT CAST(event_id AS VARCHAR) AS row_id, {j} AS feature, "
-        f"CAST({c if c != 'k' else EVENT_K} AS DOUBLE) AS value FROM events"
-        for j, c in enumerate(EVENT_FEATURES)
+def long_form(columns: dict[str, str], row_id: str, source: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT CAST({row_id} AS VARCHAR) AS row_id, {j} AS feature, "
+        f"CAST({expression} AS DOUBLE) AS value FROM {source}"
+        for j, expression in enumerate(columns.values())
     )
+
+
+def resampled(long: str, names: list[str], mode: str, fraction: float) -> str:
+    """CTEs up to ``synthetic``: the marginal resample of a long-form source."""
     if mode == "exact":
-        ctes = covering_draws(long, f"floor({FRACTION} * count(*) + 1e-9)")
+        ctes = covering_draws(long, f"floor({fraction} * count(*) + 1e-9)")
         condition = "AND position < (SELECT m FROM rate)"
     else:
-        u = uniform("row_id", "feature")
-        counts = " + ".join(f"CAST({u} >= '{t}' AS INT)" for t in poisson_thresholds(FRACTION))
-        ctes = f"""
-source AS ({long}),
-drawn AS (SELECT *, unnest(range({counts})) AS draw FROM source)"""
+        drawn = f"SELECT *, unnest(range({repeats('u')})) AS draw FROM ({with_uniform(long)})"
+        ctes = f"ordered AS ({with_order(drawn)})"
         condition = ""
-    order = hash60(
-        f"'order:{SEED}'", "row_id", "CAST(feature AS VARCHAR)", "CAST(draw AS VARCHAR)"
-    )
     wide = ", ".join(
-        f"max(CASE WHEN feature = {j} THEN value END) AS {c}" for j, c in enumerate(EVENT_FEATURES)
+        f"max(CASE WHEN feature = {j} THEN value END) AS {c}" for j, c in enumerate(names)
     )
     return f"""{ctes},
 pieces AS (
   SELECT feature, value,
-         row_number() OVER (PARTITION BY feature ORDER BY {order}, value) - 1 AS position
-  FROM drawn),
+         row_number() OVER (PARTITION BY feature ORDER BY place_hash, value) - 1 AS position
+  FROM ordered),
 synthetic AS (
   SELECT position AS row_no, {wide}
-  FROM pieces GROUP BY position HAVING count(*) = {len(EVENT_FEATURES)} {condition})"""
+  FROM pieces GROUP BY position HAVING count(*) = {len(names)} {condition})"""
+
+
+def identified(columns: list[str], source: str) -> str:
+    """Rows of ``source`` with the text that identifies each, copies numbered."""
+    return f"""
+  SELECT *, concat_ws('#', md5({row_text(columns)}), CAST(copy_no AS VARCHAR)) AS row_id
+  FROM (SELECT {', '.join(columns)},
+               row_number() OVER (PARTITION BY {', '.join(columns)}) - 1 AS copy_no
+        FROM {source})"""
+
+
+def repeats(uniform: str) -> str:
+    return " + ".join(f"CAST({uniform} >= {t} AS INT)" for t in poisson_thresholds(FRACTION))
 
 
 def labels_by_frequency(column: str) -> str:
@@ -87,16 +147,25 @@ LINEITEM = [
     "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
 ]
 
-_sample_u = uniform("CAST(event_id AS VARCHAR)", "0")
-_sample_count = " + ".join(
-    f"CAST({_sample_u} >= '{t}' AS INT)" for t in poisson_thresholds(FRACTION)
-)
-_order_draw = hash60(f"'order:{SEED}'", "row_id", "CAST(draw AS VARCHAR)")
-_long_events = " UNION ALL ".join(
-    f"SELECT event_id, {j} AS feature, CAST({c if c != 'k' else EVENT_K} AS DOUBLE) AS value "
-    "FROM events"
-    for j, c in enumerate(EVENT_FEATURES)
+EVENT_COLUMNS = {c: EVENT_K if c == "k" else c for c in EVENT_FEATURES}
+STAMPED = ["event_id", "user_id", "event_type"]
+ORDERED = ["o_orderkey", "o_custkey", "o_orderpriority"]
+VECTOR = [f"v{j}" for j in range(VECTOR_WIDTH)]
+
+_event_long = long_form(EVENT_COLUMNS, "event_id", "events")
+_event_resample = resampled(_event_long, EVENT_FEATURES, "exact", FRACTION)
+_vector_long = """
+SELECT CAST(vec_id AS VARCHAR) AS row_id, unnest(range(len(embedding))) AS feature,
+       CAST(unnest(embedding) AS DOUBLE) AS value
+FROM embeddings"""
+_events_by_id = f"""
+SELECT event_id, value, {EVENT_K} AS k, user_id, CAST(event_id AS VARCHAR) AS row_id, 0 AS feature
+FROM events"""
+_unpivoted = " UNION ALL ".join(
+    f"SELECT event_id, {j} AS feature, CAST({c} AS DOUBLE) AS value FROM events"
+    for j, c in enumerate(EVENT_COLUMNS.values())
 )
+_event_uuid = f"md5(concat_ws('|', CAST(sequence_id AS VARCHAR), {row_text(STAMPED)}))"
 
 ORACLES = {
     "csv_declared_scan": """
@@ -141,46 +210,55 @@ FROM events JOIN ({labels_by_frequency('event_type')}) USING (event_type)""",
     "labeled_points": f"""
 SELECT n AS event_type, value, CAST(user_id AS DOUBLE) AS user_id
 FROM events e JOIN ({labels_by_frequency('event_type')}) l ON e.event_type = l.event_type""",
-    "unpivot_features": _long_events,
+    "unpivot_features": _unpivoted,
     "rebuild_rows": f"""
 SELECT event_id, value, CAST({EVENT_K} AS DOUBLE) AS k, CAST(user_id AS DOUBLE) AS user_id
 FROM events""",
     "stamp_records": f"""
 WITH numbered AS (
-  SELECT event_id, user_id, event_type,
-         row_number() OVER (ORDER BY {hash60('CAST(event_id AS VARCHAR)')}) - 1 AS index
-  FROM events)
-SELECT event_id, user_id, event_type, index AS sequence_id,
-       md5(concat_ws('|', CAST(index AS VARCHAR),
-                     {row_text(['event_id', 'user_id', 'event_type'])})) AS uuid,
-       TRUE AS has_utc, index
+  SELECT *, row_number() OVER (ORDER BY {text_hash('row_id')}, row_id) - 1 AS sequence_id
+  FROM ({identified(STAMPED, 'events')}))
+SELECT event_id, user_id, event_type, sequence_id, {_event_uuid} AS uuid, TRUE AS has_utc,
+       sequence_id AS index
 FROM numbered""",
     "dedupe_key": "SELECT event_id, ts, event_type, value FROM events",
     "dense_index": f"""
-WITH numbered AS (
-  SELECT *, row_number() OVER (PARTITION BY {', '.join(LINEITEM)}) - 1 AS copy_no
-  FROM lineitem),
-identified AS (
-  SELECT *, concat_ws('#', md5({row_text(LINEITEM)}), CAST(copy_no AS VARCHAR)) AS row_id
-  FROM numbered)
-SELECT {', '.join(LINEITEM)}, row_number() OVER (ORDER BY {hash60('row_id')}, row_id) - 1 AS index
-FROM identified""",
+SELECT {', '.join(LINEITEM)}, row_number() OVER (ORDER BY {text_hash('row_id')}, row_id) - 1 AS index
+FROM ({identified(LINEITEM, 'lineitem')})""",
+    "ordered_index": """
+SELECT event_type, ts, event_id,
+       row_number() OVER (ORDER BY event_type, ts, event_id) - 1 AS index
+FROM events""",
     "poisson_sample": f"""
-SELECT event_id, user_id, value
-FROM (SELECT *, unnest(range({_sample_count})) AS draw FROM events)""",
-    "marginal_resample": f"WITH {resampled('exact')} SELECT * FROM synthetic",
-    "marginal_resample_poisson": f"WITH {resampled('poisson')} SELECT * FROM synthetic",
+SELECT event_id, value, k, user_id
+FROM (SELECT *, unnest(range({repeats('u')})) AS draw FROM ({with_uniform(_events_by_id)}))""",
+    "marginal_resample": f"WITH {_event_resample} SELECT * FROM synthetic",
+    "marginal_resample_poisson": f"""
+WITH {resampled(_event_long, EVENT_FEATURES, 'poisson', FRACTION)} SELECT * FROM synthetic""",
+    "marginal_resample_wide": f"""
+WITH {resampled(_vector_long, VECTOR, 'exact', 1.0)} SELECT * FROM synthetic""",
     "bootstrap_rows": f"""
-WITH {covering_draws('''
-  SELECT CAST(o_orderkey AS VARCHAR) AS row_id, 0 AS feature, o_orderkey, o_custkey, o_totalprice
-  FROM orders''', 'count(*)')},
+WITH {covering_draws('SELECT *, 0 AS feature FROM (' + identified(ORDERED, 'orders') + ')',
+                     'count(*)')},
+numbered AS (
+  SELECT *, row_number() OVER (ORDER BY place_hash, row_hash, draw) - 1 AS sequence_id
+  FROM ordered)
+SELECT {', '.join(ORDERED)}, sequence_id
+FROM numbered WHERE sequence_id < (SELECT m FROM rate)""",
+    "replayed_draws": f"""
+WITH indexed AS (
+  SELECT {', '.join(STAMPED)},
+         row_number() OVER (ORDER BY {text_hash('row_id')}, row_id) - 1 AS place
+  FROM ({identified(STAMPED, 'events')})),
+{covering_draws('SELECT *, CAST(place AS VARCHAR) AS row_id, 0 AS feature FROM indexed',
+                'count(*)')},
 numbered AS (
-  SELECT *, row_number() OVER (ORDER BY {_order_draw}, row_id, draw) - 1 AS sequence_id
-  FROM drawn)
-SELECT o_orderkey, o_custkey, o_totalprice, sequence_id
+  SELECT *, row_number() OVER (ORDER BY place_hash, row_hash, draw) - 1 AS sequence_id
+  FROM ordered)
+SELECT {', '.join(STAMPED)}, sequence_id, {_event_uuid} AS uuid, place AS index
 FROM numbered WHERE sequence_id < (SELECT m FROM rate)""",
     "contrast_set": f"""
-WITH {resampled('exact')},
+WITH {_event_resample},
 labelled AS (
   SELECT 1.0 AS label, value, CAST({EVENT_K} AS DOUBLE) AS k, CAST(user_id AS DOUBLE) AS user_id
   FROM events

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -41,21 +39,19 @@ def land_table(dated: DataFrame, root: str) -> None:
     dated.write.mode("append").partitionBy("date", "site").text(root)
 
 
+def _folder() -> Column:
+    path, name = F.col("_metadata.file_path"), F.col("_metadata.file_name")
+    return F.left(path, F.length(path) - F.length(name)).alias("_folder")
+
+
 def files_wanted(spark: SparkSession, root: str, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """(date, site, files): how many files of ``file_bytes`` each directory amounts to.
+    """(_folder, files): how many files of ``file_bytes`` each directory amounts to.
 
     Read from the file listing only: the content column is pruned.
     """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return (
-        listed.select(
-            F.regexp_extract("path", r"/date=([^/]+)/site=", 1).alias("date"),
-            F.regexp_extract("path", r"/date=[^/]+/site=([^/]+)/", 1).alias("site"),
-            "length",
-        )
-        .groupBy("date", "site")
-        .agg(F.ceil(F.sum("length") / file_bytes).alias("files"))
-        .filter(F.col("files") > 0)
+    listed = spark.read.format("binaryFile").load(root).select(_folder(), "length")
+    return listed.groupBy("_folder").agg(
+        F.greatest(F.lit(1), F.ceil(F.sum("length") / file_bytes)).alias("files")
     )
 
 
@@ -68,16 +64,16 @@ def compact(
     a large directory is written by as many tasks as it gets files.
     """
     wanted = files_wanted(spark, root, file_bytes)
-    size = wanted.agg(F.count(F.lit(1)).alias("pairs"), F.sum("files").alias("files")).first()
-    if size["pairs"] <= MAX_BROADCAST_ROWS:
+    size = wanted.agg(F.count(F.lit(1)).alias("folders"), F.sum("files").alias("files")).first()
+    if size["folders"] <= MAX_BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     lines = spark.read.schema("value string, date string, site string").text(root)
-    block = F.xxhash64("_metadata.file_path", "_metadata.file_block_start")
+    block = F.xxhash64("_metadata.file_path", "_metadata.file_block_start").alias("_block")
     dealt = (
-        lines.select("value", "date", "site", block.alias("_block"))
-        .join(wanted, ["date", "site"])
-        .withColumn("_file", F.pmod("_block", "files"))
-        .repartition(max(1, math.ceil(size["files"] or 0)), "date", "site", "_file")
+        lines.select("value", "date", "site", _folder(), block)
+        .join(wanted, "_folder", "left")
+        .withColumn("_file", F.pmod("_block", F.coalesce("files", F.lit(1))))
+        .repartition(max(1, size["files"] or 0), "date", "site", "_file")
     )
     dealt.select("value", "date", "site").write.mode("overwrite").partitionBy(
         "date", "site"
