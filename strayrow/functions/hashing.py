@@ -41,7 +41,7 @@ def _mixed(*numbers: Column | int) -> Column:
     return F.xxhash64(*[n.cast("bigint") for n in longs])
 
 
-def uniform(row_hash: Column, seed: int, feature: int) -> Column:
+def uniform(row_hash: Column, seed: int, feature: Column | int) -> Column:
     """A uniform integer below ``UNIFORM_STEPS`` for one feature of one row."""
     mixed = _mixed(row_hash, seed, feature, UNIFORM_TAG)
     return F.shiftrightunsigned(mixed, 64 - UNIFORM_BITS)

@@ -65,10 +65,8 @@ def unpivot_features(
     value: str = "value",
 ) -> DataFrame:
     """One row per record and feature: its number in ``columns``, and the value as a double."""
-    pairs = []
-    for number, name in enumerate(columns):
-        pairs += [F.lit(number), F.col(name).cast("double")]
-    return df.select(*ids, F.stack(F.lit(len(columns)), *pairs).alias(feature, value))
+    values = F.array(*[F.col(name).cast("double") for name in columns])
+    return df.select(*ids, F.posexplode(values).alias(feature, value))
 
 
 def explode_vector(
