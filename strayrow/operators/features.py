@@ -84,17 +84,21 @@ def rebuild_rows(
     feature: str = "feature",
     value: str = "value",
     incomplete: str = "keep",
+    unique: bool = False,
 ) -> DataFrame:
     """One row per id from its single-feature pieces.
 
-    The pieces are shuffled as they are: aggregating before the shuffle would widen every piece
-    to a whole row. An id without a piece of every feature is kept with nulls, or dropped
+    The pieces are shuffled as they are: building rows before the shuffle would widen every piece
+    to a whole row. Unless the caller knows the pieces to be ``unique``, repeated ones are first
+    reduced to one (the largest), so a hot id cannot pile up in a task. An id without a piece of every feature is kept with nulls, or dropped
     (``drop``: the inner join of the features on the id), or fails the job (``error``).
     """
     wide = [
         F.max(F.when(F.col(feature) == number, F.col(value))).alias(name)
         for number, name in enumerate(columns)
     ]
+    if not unique:
+        pieces = pieces.groupBy(*ids, feature).agg(F.max(value).alias(value))
     rebuilt = pieces.repartition(*ids).groupBy(*ids).agg(F.count(F.lit(1)).alias("_pieces"), *wide)
     complete = F.col("_pieces") == len(columns)
     if incomplete == "drop":

@@ -20,22 +20,22 @@ def enrich(
 
 
 def dedupe(
-    df: DataFrame, key: Sequence[str] | None, keep_first_by: Iterable[str] = ()
+    df: DataFrame, key: Sequence[str] | None, keep_first_by: Sequence[str] = ()
 ) -> DataFrame:
-    """One row per key: the first by ``keep_first_by``, then by the remaining columns.
+    """One row per key: any of its copies, or the first by ``keep_first_by``.
 
-    An aggregate rather than a window: each map task reduces a hot key to one row before the
-    shuffle. ``key=None`` leaves the rows as they are.
+    The first by an order is found with an aggregate, not a window: each map task reduces a hot
+    key to one row before the shuffle. What the order leaves open, the remaining columns decide.
+    ``key=None`` leaves the rows as they are.
     """
     if key is None:
         return df
     key = list(key)
     order = [c for c in keep_first_by if c not in key]
-    rest = [c for c in df.columns if c not in key and c not in order]
-    if not order and not rest:
+    if not order:
         return df.dropDuplicates(key)
-    first = F.min(F.struct(*order, *rest)).alias("_first")
-    kept = df.groupBy(*key).agg(first)
+    rest = [c for c in df.columns if c not in key and c not in order]
+    kept = df.groupBy(*key).agg(F.min(F.struct(*order, *rest)).alias("_first"))
     return kept.select(*[c if c in key else F.col(f"_first.`{c}`").alias(c) for c in df.columns])
 
 

@@ -12,7 +12,6 @@ from strayrow.operators import features as feat
 from strayrow.operators.alerts import (
     anomalies,
     count_flagged,
-    first_alerts,
     first_alerts_per_batch,
 )
 from strayrow.operators.forest import (
@@ -25,6 +24,8 @@ from strayrow.operators.forest import (
 from strayrow.operators.positions import dense_index, ordered_index, with_row_id
 from strayrow.operators.records import dedupe, dedupe_stream, enrich, stamp_records
 from strayrow.operators.sampling import bootstrap_rows, marginal_resample, poisson_sample
+from strayrow.plans.replay import stamped_draws
+from strayrow.plans.score import alert_records
 from strayrow.plans.train import TrainingOptions, feature_table, train_and_publish
 from strayrow.sources.messages import replay_messages, replay_table
 from strayrow.sources.models import current_version, load_published
@@ -119,23 +120,27 @@ def flagged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- scans and parsing
 
 
-def csv_declared_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+def written_lines(spark: SparkSession, sf_dir: str) -> str:
+    """Order lines as headerless CSV, each followed by one that does not fit the schema."""
     lines = table(spark, sf_dir, "lineitem")
-    good = lines.select(F.concat_ws(",", *lines.columns).alias("value"))
-    short = lines.select(F.concat_ws(",", "l_orderkey", "l_partkey").alias("value"))
-    long = good.select(F.concat("value", F.lit(",extra")).alias("value"))
-    wrong = good.select(F.concat(F.lit("x"), "value").alias("value"))
+    good = F.concat_ws(",", *lines.columns)
+    bad = (
+        F.when(F.col("l_returnflag") == "A", F.concat_ws(",", "l_orderkey", "l_partkey"))
+        .when(F.col("l_returnflag") == "N", F.concat(good, F.lit(",extra")))
+        .otherwise(F.concat(F.lit("x"), good))
+    )
     path = fresh_folder(spark, "lineitem-csv")
-    feat.union_rows(good, short, long, wrong).write.text(path)
+    lines.select(F.explode(F.array(good, bad)).alias("value")).write.text(path)
+    return path
+
+
+def csv_declared_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = written_lines(spark, sf_dir)
     return scan_records(spark, path, "csv", schema_from_text(LINEITEM_TEXT))
 
 
 def csv_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem")
-    good = lines.select(F.concat_ws(",", *lines.columns).alias("value"))
-    long = good.select(F.concat("value", F.lit(",extra")).alias("value"))
-    path = fresh_folder(spark, "lineitem-csv")
-    feat.union_rows(good, long).write.text(path)
+    path = written_lines(spark, sf_dir)
     parsed = scan_csv(spark, path, schema_from_text(LINEITEM_TEXT))
     return parsed.quarantine.select("raw", "reason")
 
@@ -305,12 +310,9 @@ def bootstrap_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replayed_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records drawn at random and stamped with the draw and with the place drawn from."""
+    """Records drawn at random, stamped with the draw and with the place drawn from."""
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
-    indexed = materialize(dense_index(events, None, "place"), "indexed")
-    rows = indexed.count()
-    drawn = bootstrap_rows(indexed, rows, SEED, ["place"], rows)
-    return stamp_records(drawn, source_index="place").drop("utc")
+    return stamped_draws(events, SEED).drop("utc")
 
 
 def contrast_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -503,9 +505,8 @@ def model_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines -> contrast set -> forest -> score -> the first alerts."""
-    lines = feat.assemble(line_messages(spark, sf_dir), LINE_FEATURES)
-    scored = score(lines, line_model(spark, sf_dir))
-    return first_alerts(anomalies(scored), ["line_id"])
+    lines = line_messages(spark, sf_dir)
+    return alert_records(lines, line_model(spark, sf_dir), LINE_FEATURES, ["line_id"])
 
 
 QUERIES = {

@@ -174,9 +174,13 @@ SELECT CAST(l_orderkey AS DOUBLE) AS l_orderkey, CAST(l_partkey AS DOUBLE) AS l_
        l_discount, l_tax, l_returnflag, l_linestatus, CAST(l_shipdate AS VARCHAR) AS l_shipdate
 FROM lineitem""",
     "csv_quarantine": f"""
-SELECT concat_ws(',', {', '.join(f'CAST({c} AS VARCHAR)' for c in LINEITEM)}, 'extra') AS raw,
+SELECT CASE l_returnflag
+         WHEN 'A' THEN concat_ws(',', l_orderkey, l_partkey)
+         WHEN 'N' THEN line || ',extra'
+         ELSE 'x' || line END AS raw,
        'malformed csv' AS reason
-FROM lineitem""",
+FROM (SELECT *, concat_ws(',', {', '.join(f'CAST({c} AS VARCHAR)' for c in LINEITEM)}) AS line
+      FROM lineitem)""",
     "json_scan": "SELECT event_id, ts, user_id, event_type, value FROM events",
     "multi_site_scan": """
 SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, 'site' || CAST(user_id % 2 AS VARCHAR) AS site,

@@ -141,8 +141,8 @@ def test_vectors_and_pieces_are_inverse(spark):
 
 def test_incomplete_rows(spark):
     pieces = spark.createDataFrame([(1, 0, 1.0), (1, 1, 2.0), (2, 0, 3.0)], "id int, feature int, value double")
-    kept = feat.rebuild_rows(pieces, ["id"], ["a", "b"])
-    assert kept.count() == 2
+    kept = feat.rebuild_rows(pieces.union(pieces), ["id"], ["a", "b"])
+    assert {tuple(r) for r in kept.collect()} == {(1, 1.0, 2.0), (2, 3.0, None)}
     assert feat.rebuild_rows(pieces, ["id"], ["a", "b"], incomplete="drop").count() == 1
     with pytest.raises(Exception):
         feat.rebuild_rows(pieces, ["id"], ["a", "b"], incomplete="error").collect()
