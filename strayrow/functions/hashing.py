@@ -1,8 +1,8 @@
-"""Portable row identities and hashed uniforms.
+"""Row hashes and the uniforms drawn from them.
 
-A row's identity is hashed once, with md5; every draw made for the row then only mixes that
-number with the seed and the number of the draw. Everything random in the package is a pure
-function of these, so a task that runs again after an executor is lost emits the same rows.
+A row's identity is hashed once; every draw made for the row then only mixes that number with
+the seed and the number of the draw. Everything random in the package is a pure function of
+these, so a task that runs again after an executor is lost emits the same rows.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ NULL_TEXT = "\\N"
 HASH_BITS = 60  # 15 hex digits: the widest whole-digit hash that stays positive in a BIGINT
 UNIFORM_BITS = 52
 UNIFORM_STEPS = 1 << UNIFORM_BITS
-UNIFORM_TAG, ORDER_TAG = 0, 1
+UNIFORM_TAG, ORDER_TAG, REPLICA_TAG = 0, 1, 2
 
 
 def row_text(df: DataFrame, columns: Iterable[str]) -> Column:
@@ -36,6 +36,15 @@ def text_hash(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, HASH_BITS // 4), 16, 10).cast("bigint")
 
 
+def key_hash(df: DataFrame, key: Iterable[str]) -> Column:
+    """60-bit hash of key columns; whole numbers hash alike whatever their width."""
+    columns = []
+    for name in key:
+        whole = isinstance(df.schema[name].dataType, T.IntegralType)
+        columns.append(F.col(name).cast("bigint") if whole else F.col(name))
+    return F.shiftrightunsigned(F.xxhash64(*columns), 64 - HASH_BITS)
+
+
 def _mixed(*numbers: Column | int) -> Column:
     longs = [F.lit(n) if isinstance(n, int) else n for n in numbers]
     return F.xxhash64(*[n.cast("bigint") for n in longs])
@@ -51,3 +60,8 @@ def order_hash(row_hash: Column, seed: int, feature: Column | int, draw: Column)
     """60-bit hash that puts the draws of a feature in random order."""
     mixed = _mixed(row_hash, seed, feature, draw, ORDER_TAG)
     return F.shiftrightunsigned(mixed, 64 - HASH_BITS)
+
+
+def replica_hash(row_hash: Column, replica: Column) -> Column:
+    """The hash of one of several replicas of a row."""
+    return F.shiftrightunsigned(_mixed(row_hash, replica, REPLICA_TAG), 64 - HASH_BITS)

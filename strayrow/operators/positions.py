@@ -8,7 +8,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strayrow.functions.hashing import HASH_BITS, row_text, text_hash
+from strayrow.functions.hashing import HASH_BITS, key_hash, row_text, text_hash
 from strayrow.workspace import materialize
 
 ROWS_PER_BUCKET = 1 << 18
@@ -63,7 +63,7 @@ def number_copies(
     return usual.unionByName(hot).drop("_copies")
 
 
-def with_row_id(df: DataFrame, key: Sequence[str] | None, out: str = "_row_id") -> DataFrame:
+def with_row_id(df: DataFrame, key: Sequence[str] | None, out: str = "row_id") -> DataFrame:
     """Attach a text that identifies each row.
 
     ``key`` names columns that are unique together, for instance those a table was de-duplicated
@@ -77,6 +77,15 @@ def with_row_id(df: DataFrame, key: Sequence[str] | None, out: str = "_row_id")
     ).drop("_copy_no")
 
 
+def with_row_hash(df: DataFrame, key: Sequence[str] | None, out: str) -> DataFrame:
+    """Attach a 60-bit hash of each row's identity, as ``with_row_id`` understands it."""
+    if key is not None:
+        return df.withColumn(out, key_hash(df, key))
+    numbered = number_copies(df, "_copy_no")
+    identity = F.concat_ws("#", row_text(df, df.columns), F.col("_copy_no"))
+    return numbered.withColumn(out, text_hash(identity)).drop("_copy_no")
+
+
 def rank_by_hash(
     df: DataFrame,
     hash_column: str,
@@ -128,11 +137,15 @@ def dense_index(
     The numbering depends on the rows alone, not on how they are partitioned.
     """
     total = df.count() if rows is None else rows
-    hashed = with_row_id(df, key).withColumn("_hash", text_hash(F.col("_row_id")))
     ranked = rank_by_hash(
-        hashed, "_hash", out, total, ties=["_row_id"], rows_per_bucket=rows_per_bucket
+        with_row_hash(df, key, "_hash"),
+        "_hash",
+        out,
+        total,
+        ties=df.columns if key is None else key,
+        rows_per_bucket=rows_per_bucket,
     )
-    return ranked.drop("_row_id", "_hash")
+    return ranked.drop("_hash")
 
 
 def ordered_index(df: DataFrame, order: Sequence[str], out: str = "index") -> DataFrame:

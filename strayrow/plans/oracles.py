@@ -64,12 +64,18 @@ SELECT * EXCLUDE (_a, _b, _c, _d, _e, _f, _g, _h), {folded('_h', 32)} AS {out} F
     return source
 
 
-def with_uniform(source: str) -> str:
-    """``source`` (row_id, feature, ...) with the hash of the row and the uniform of the feature."""
-    hashed = f"SELECT *, {text_hash('row_id')} AS row_hash FROM ({source})"
-    tag = f"{UNIFORM_TAG}"
-    numbers = ["row_hash", f"{SEED}", "feature", tag]
-    return f"SELECT *, uniform // 4096 AS u FROM ({mixed(hashed, numbers, 'uniform')})"
+def with_row_hash(source: str, key: str | None) -> str:
+    """``source`` with the hash of its whole-number ``key``, or else of its text ``row_id``."""
+    if key is None:
+        return f"SELECT *, {text_hash('row_id')} AS row_hash FROM ({source})"
+    return f"SELECT *, key_mix // 16 AS row_hash FROM ({mixed(source, [key], 'key_mix')})"
+
+
+def with_uniform(source: str, key: str | None) -> str:
+    """``source`` (feature, ...) with the hash of the row and the uniform of the feature."""
+    numbers = ["row_hash", f"{SEED}", "feature", f"{UNIFORM_TAG}"]
+    hashed = mixed(with_row_hash(source, key), numbers, "uniform")
+    return f"SELECT *, uniform // 4096 AS u FROM ({hashed})"
 
 
 def with_order(source: str) -> str:
@@ -77,10 +83,10 @@ def with_order(source: str) -> str:
     return f"SELECT *, mixture // 16 AS place_hash FROM ({mixed(source, numbers, 'mixture')})"
 
 
-def covering_draws(source: str, wanted: str) -> str:
-    """CTEs from ``source`` (row_id, feature, payload...) to its draws."""
+def covering_draws(source: str, wanted: str, key: str | None) -> str:
+    """CTEs from ``source`` (feature, payload...) to its draws."""
     return f"""
-source AS ({with_uniform(source)}),
+source AS ({with_uniform(source, key)}),
 size AS (SELECT count(*) AS n, {wanted} AS m FROM source WHERE feature = 0),
 rate AS (SELECT m, (m + 7.5 * sqrt(m) + 40.0) / n AS rate FROM size),
 cdf AS (
@@ -93,21 +99,20 @@ drawn AS (
 ordered AS ({with_order('SELECT * FROM drawn')})"""
 
 
-def long_form(columns: dict[str, str], row_id: str, source: str) -> str:
+def long_form(columns: dict[str, str], key: str, source: str) -> str:
     return " UNION ALL ".join(
-        f"SELECT CAST({row_id} AS VARCHAR) AS row_id, {j} AS feature, "
-        f"CAST({expression} AS DOUBLE) AS value FROM {source}"
+        f"SELECT {key}, {j} AS feature, CAST({expression} AS DOUBLE) AS value FROM {source}"
         for j, expression in enumerate(columns.values())
     )
 
 
-def resampled(long: str, names: list[str], mode: str, fraction: float) -> str:
+def resampled(long: str, key: str, names: list[str], mode: str, fraction: float) -> str:
     """CTEs up to ``synthetic``: the marginal resample of a long-form source."""
     if mode == "exact":
-        ctes = covering_draws(long, f"floor({fraction} * count(*) + 1e-9)")
+        ctes = covering_draws(long, f"floor({fraction} * count(*) + 1e-9)", key)
         condition = "AND position < (SELECT m FROM rate)"
     else:
-        drawn = f"SELECT *, unnest(range({repeats('u')})) AS draw FROM ({with_uniform(long)})"
+        drawn = f"SELECT *, unnest(range({repeats('u')})) AS draw FROM ({with_uniform(long, key)})"
         ctes = f"ordered AS ({with_order(drawn)})"
         condition = ""
     wide = ", ".join(
@@ -126,7 +131,7 @@ synthetic AS (
 def identified(columns: list[str], source: str) -> str:
     """Rows of ``source`` with the text that identifies each, copies numbered."""
     return f"""
-  SELECT *, concat_ws('#', md5({row_text(columns)}), CAST(copy_no AS VARCHAR)) AS row_id
+  SELECT *, concat_ws('#', {row_text(columns)}, CAST(copy_no AS VARCHAR)) AS row_id
   FROM (SELECT {', '.join(columns)},
                row_number() OVER (PARTITION BY {', '.join(columns)}) - 1 AS copy_no
         FROM {source})"""
@@ -153,18 +158,12 @@ ORDERED = ["o_orderkey", "o_custkey", "o_orderpriority"]
 VECTOR = [f"v{j}" for j in range(VECTOR_WIDTH)]
 
 _event_long = long_form(EVENT_COLUMNS, "event_id", "events")
-_event_resample = resampled(_event_long, EVENT_FEATURES, "exact", FRACTION)
+_event_resample = resampled(_event_long, "event_id", EVENT_FEATURES, "exact", FRACTION)
 _vector_long = """
-SELECT CAST(vec_id AS VARCHAR) AS row_id, unnest(range(len(embedding))) AS feature,
+SELECT vec_id, unnest(range(len(embedding))) AS feature,
        CAST(unnest(embedding) AS DOUBLE) AS value
 FROM embeddings"""
-_events_by_id = f"""
-SELECT event_id, value, {EVENT_K} AS k, user_id, CAST(event_id AS VARCHAR) AS row_id, 0 AS feature
-FROM events"""
-_unpivoted = " UNION ALL ".join(
-    f"SELECT event_id, {j} AS feature, CAST({c} AS DOUBLE) AS value FROM events"
-    for j, c in enumerate(EVENT_COLUMNS.values())
-)
+_events_by_id = f"SELECT event_id, value, {EVENT_K} AS k, user_id, 0 AS feature FROM events"
 _event_uuid = f"md5(concat_ws('|', CAST(sequence_id AS VARCHAR), {row_text(STAMPED)}))"
 
 ORACLES = {
@@ -214,7 +213,7 @@ FROM events JOIN ({labels_by_frequency('event_type')}) USING (event_type)""",
     "labeled_points": f"""
 SELECT n AS event_type, value, CAST(user_id AS DOUBLE) AS user_id
 FROM events e JOIN ({labels_by_frequency('event_type')}) l ON e.event_type = l.event_type""",
-    "unpivot_features": _unpivoted,
+    "unpivot_features": _event_long,
     "rebuild_rows": f"""
 SELECT event_id, value, CAST({EVENT_K} AS DOUBLE) AS k, CAST(user_id AS DOUBLE) AS user_id
 FROM events""",
@@ -235,15 +234,15 @@ SELECT event_type, ts, event_id,
 FROM events""",
     "poisson_sample": f"""
 SELECT event_id, value, k, user_id
-FROM (SELECT *, unnest(range({repeats('u')})) AS draw FROM ({with_uniform(_events_by_id)}))""",
+FROM (SELECT *, unnest(range({repeats('u')})) AS draw FROM ({with_uniform(_events_by_id, 'event_id')}))""",
     "marginal_resample": f"WITH {_event_resample} SELECT * FROM synthetic",
     "marginal_resample_poisson": f"""
-WITH {resampled(_event_long, EVENT_FEATURES, 'poisson', FRACTION)} SELECT * FROM synthetic""",
+WITH {resampled(_event_long, 'event_id', EVENT_FEATURES, 'poisson', FRACTION)} SELECT * FROM synthetic""",
     "marginal_resample_wide": f"""
-WITH {resampled(_vector_long, VECTOR, 'exact', 1.0)} SELECT * FROM synthetic""",
+WITH {resampled(_vector_long, 'vec_id', VECTOR, 'exact', 1.0)} SELECT * FROM synthetic""",
     "bootstrap_rows": f"""
 WITH {covering_draws('SELECT *, 0 AS feature FROM (' + identified(ORDERED, 'orders') + ')',
-                     'count(*)')},
+                     'count(*)', None)},
 numbered AS (
   SELECT *, row_number() OVER (ORDER BY place_hash, row_hash, draw) - 1 AS sequence_id
   FROM ordered)
@@ -254,8 +253,7 @@ WITH indexed AS (
   SELECT {', '.join(STAMPED)},
          row_number() OVER (ORDER BY {text_hash('row_id')}, row_id) - 1 AS place
   FROM ({identified(STAMPED, 'events')})),
-{covering_draws('SELECT *, CAST(place AS VARCHAR) AS row_id, 0 AS feature FROM indexed',
-                'count(*)')},
+{covering_draws('SELECT *, 0 AS feature FROM indexed', 'count(*)', 'place')},
 numbered AS (
   SELECT *, row_number() OVER (ORDER BY place_hash, row_hash, draw) - 1 AS sequence_id
   FROM ordered)

@@ -51,7 +51,7 @@ def test_copies_are_numbered_in_chunks(spark):
 
 def test_row_ids_are_unique_without_a_key(spark):
     df = spark.createDataFrame([(1, None), (1, None), (None, 1)], "a int, b int")
-    ids = [r._row_id for r in with_row_id(df, None).collect()]
+    ids = [r.row_id for r in with_row_id(df, None).collect()]
     assert len(set(ids)) == 3
 
 
