@@ -111,7 +111,7 @@ def line_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flagged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by the hour, errors standing in for rows predicted 0."""
     prediction = F.when(F.col("event_type") == "error", 0.0).otherwise(1.0)
-    hour = F.date_format("ts", "yyyy-MM-dd HH")
+    hour = F.substring(F.col("ts").cast("string"), 1, 13)
     return table(spark, sf_dir, "events").select(
         "event_id", "ts", "value", hour.alias("batch"), prediction.alias("prediction")
     )

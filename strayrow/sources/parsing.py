@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RAW = "_raw"
 BAD = "_bad"
+OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}
 
 
 class Parsed(NamedTuple):
@@ -24,38 +24,30 @@ def _marked(schema: T.StructType) -> T.StructType:
 
 
 def mark_csv(lines: DataFrame, schema: T.StructType, column: str = "value") -> DataFrame:
-    """Typed columns beside ``_raw``, with ``_bad`` set where a line does not fit the schema.
+    """The columns of ``schema``, and the text in ``_bad`` where a line does not fit it.
 
     The corrupt-record column is part of the parsed struct, so the parser always converts every
     field: which rows are bad does not depend on the columns a query goes on to read.
     """
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in _marked(schema).fields)
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}
-    return _split_struct(lines, F.from_csv(F.col(column), ddl, options), schema, column)
+    return _unpacked(lines, F.from_csv(F.col(column), ddl, OPTIONS), schema, column)
 
 
 def mark_json(messages: DataFrame, schema: T.StructType, column: str = "value") -> DataFrame:
     """As ``mark_csv`` for JSON text; a wrong field type marks the whole message."""
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}
-    return _split_struct(
-        messages, F.from_json(F.col(column), _marked(schema), options), schema, column
-    )
+    return _unpacked(messages, F.from_json(F.col(column), _marked(schema), OPTIONS), schema, column)
 
 
-def _split_struct(
-    df: DataFrame, parsed: Column, schema: T.StructType, column: str
-) -> DataFrame:
+def _unpacked(df: DataFrame, parsed: Column, schema: T.StructType, column: str) -> DataFrame:
     others = [F.col(c) for c in df.columns if c != column]
-    staged = df.select(*others, F.col(column).alias(RAW), parsed.alias("_parsed"))
+    staged = df.select(*others, F.col(column).alias("_text"), parsed.alias("_parsed"))
     fields = [F.col(f"_parsed.`{f.name}`").alias(f.name) for f in schema.fields]
-    bad = F.when(
-        F.col("_parsed").isNull() | F.col(f"_parsed.{BAD}").isNotNull(), F.col(RAW)
-    ).alias(BAD)
-    return staged.select(*others, F.col(RAW), *fields, bad)
+    failed = F.col("_parsed").isNull() | F.col(f"_parsed.{BAD}").isNotNull()
+    return staged.select(*others, *fields, F.when(failed, F.col("_text")).alias(BAD))
 
 
 def split_marked(marked: DataFrame, reason: str, source: str) -> Parsed:
-    rows = marked.filter(F.col(BAD).isNull()).drop(RAW, BAD)
+    rows = marked.filter(F.col(BAD).isNull()).drop(BAD)
     quarantine = marked.filter(F.col(BAD).isNotNull()).select(
         F.col(BAD).alias("raw"), F.lit(reason).alias("reason"), F.lit(source).alias("source")
     )
