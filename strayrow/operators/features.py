@@ -90,8 +90,10 @@ def rebuild_rows(
 
     The pieces are shuffled as they are: building rows before the shuffle would widen every piece
     to a whole row. Unless the caller knows the pieces to be ``unique``, repeated ones are first
-    reduced to one (the largest), so a hot id cannot pile up in a task. An id without a piece of every feature is kept with nulls, or dropped
-    (``drop``: the inner join of the features on the id), or fails the job (``error``).
+    reduced to one (the largest), so a hot id cannot pile up in a task.
+
+    An id without a piece of every feature is kept with nulls (``keep``), dropped (``drop``: the
+    inner join of the features on the id), or fails the job (``error``).
     """
     wide = [
         F.max(F.when(F.col(feature) == number, F.col(value))).alias(name)

@@ -14,7 +14,7 @@ from strayrow.workspace import materialize
 ROWS_PER_BUCKET = 1 << 18
 MIN_BUCKET_BITS = 5
 MAX_BUCKET_BITS = 20
-COPIES_PER_CHUNK = 100_000
+REPEATS_PER_CHUNK = 1000
 
 
 def bucket_bits(rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
@@ -23,44 +23,43 @@ def bucket_bits(rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
     return min(MAX_BUCKET_BITS, max(MIN_BUCKET_BITS, wanted))
 
 
-def number_copies(
-    df: DataFrame, out: str = "copy_no", copies_per_chunk: int = COPIES_PER_CHUNK
+def explode_range(
+    df: DataFrame, size: str, out: str, per_chunk: int = REPEATS_PER_CHUNK
 ) -> DataFrame:
-    """Number identical rows 0..c-1, so that (row, number) is unique.
+    """Repeat each row ``size`` times, numbered 0.. in ``out``; drops ``size``.
 
-    Copies are counted with a map-side aggregate and written out again afterwards. A group above
-    ``copies_per_chunk`` is cut into chunks that spread over the cluster first, so no task ever
-    holds one hot group.
+    Rows repeated more than ``per_chunk`` times are cut into chunks that spread over the cluster
+    first. The number of partitions is given outright, because the few rows to be spread look too
+    small to Spark to be worth several tasks.
     """
-    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
-    usual = counted.filter(F.col("_copies") <= copies_per_chunk).withColumn(
-        out, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_copies") - 1))
+    zero = F.lit(0).cast("bigint")
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    usual = df.filter(F.col(size) <= per_chunk).withColumn(
+        out, F.explode(F.sequence(zero, F.col(size) - 1))
     )
+    # The square root keeps both the list of chunks and the chunks short, however large the size.
+    step = F.greatest(F.lit(per_chunk), F.ceil(F.sqrt(F.col(size)))).cast("bigint")
+    last = F.least(F.col("_first") + step, F.col(size)) - 1
     hot = (
-        counted.filter(F.col("_copies") > copies_per_chunk)
-        .withColumn(
-            "_first",
-            F.explode(
-                F.sequence(
-                    F.lit(0).cast("bigint"),
-                    F.col("_copies") - 1,
-                    F.lit(copies_per_chunk).cast("bigint"),
-                )
-            ),
-        )
-        .repartition(*df.columns, "_first")
-        .withColumn(
-            out,
-            F.explode(
-                F.sequence(
-                    F.col("_first"),
-                    F.least(F.col("_first") + copies_per_chunk, F.col("_copies")) - 1,
-                )
-            ),
-        )
+        df.filter(F.col(size) > per_chunk)
+        .withColumn("_first", F.explode(F.sequence(zero, F.col(size) - 1, step)))
+        .repartition(spread, *df.columns, "_first")
+        .withColumn(out, F.explode(F.sequence(F.col("_first"), last)))
         .drop("_first")
     )
-    return usual.unionByName(hot).drop("_copies")
+    return usual.unionByName(hot).drop(size)
+
+
+def number_copies(
+    df: DataFrame, out: str = "copy_no", per_chunk: int = REPEATS_PER_CHUNK
+) -> DataFrame:
+    """Number identical rows 0..c-1, so that (row, number) is unique.
+
+    Copies are counted with a map-side aggregate and written out again afterwards, so no task
+    ever holds one hot group.
+    """
+    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    return explode_range(counted, "_copies", out, per_chunk)
 
 
 def with_row_id(df: DataFrame, key: Sequence[str] | None, out: str = "row_id") -> DataFrame:

@@ -25,7 +25,7 @@ from strayrow.operators.positions import dense_index, ordered_index, with_row_id
 from strayrow.operators.records import dedupe, dedupe_stream, enrich, stamp_records
 from strayrow.operators.sampling import bootstrap_rows, marginal_resample, poisson_sample
 from strayrow.plans.replay import stamped_draws
-from strayrow.plans.score import alert_records
+from strayrow.plans.score import alert_records, score_table
 from strayrow.plans.train import TrainingOptions, feature_table, train_and_publish
 from strayrow.sources.messages import replay_messages, replay_table
 from strayrow.sources.models import current_version, load_published
@@ -97,10 +97,11 @@ def unique_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def line_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four dependent features per order line."""
+def line_features(spark: SparkSession, sf_dir: str, *others: str) -> DataFrame:
+    """Four dependent features per order line, and other columns of it."""
     discounted = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     return table(spark, sf_dir, "lineitem").select(
+        *others,
         F.col("l_quantity").alias("quantity"),
         F.col("l_extendedprice").alias("price"),
         discounted.alias("discounted"),
@@ -426,13 +427,14 @@ def landing_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines and, as many again, lines put together from independent draws."""
-    both = contrast_set(line_features(spark, sf_dir), LINE_FEATURES, 1.0, SEED + 1)
+    lines = materialize(with_row_id(line_features(spark, sf_dir), None, "line_id"), "lines")
+    both = contrast_set(lines, LINE_FEATURES, 1.0, SEED + 1, ["line_id"])
     return both.select(F.col("row_id").alias("line_id"), *LINE_FEATURES)
 
 
 def line_model(spark: SparkSession, sf_dir: str, settings: ForestSettings = ForestSettings()):
-    features = materialize(line_features(spark, sf_dir), "features")
-    return contrast_fit(features, forest_estimator(SEED, settings), LINE_FEATURES, 1.0, SEED)
+    lines = line_features(spark, sf_dir)
+    return contrast_fit(lines, forest_estimator(SEED, settings), LINE_FEATURES, 1.0, SEED)
 
 
 def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -498,9 +500,22 @@ def model_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
         train_and_publish(records.drop("charge"), options, root, "3")
     except Exception:  # the column is missing on purpose
         pass
-    model = load_published(spark, root)
-    scored = score(feat.assemble(records, LINE_FEATURES), model)
-    return count_flagged(scored).withColumn("version", F.lit(current_version(spark, root)))
+    scored = score_table(records, load_published(spark, root), LINE_FEATURES)
+    rows = scored.filter(F.col("prediction").isin(0.0, 1.0)).agg(F.count(F.lit(1)).alias("rows"))
+    return rows.withColumn("version", F.lit(current_version(spark, root)))
+
+
+def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row gets exactly one prediction, by either vote."""
+    model = line_model(spark, sf_dir, ForestSettings(trees=4, max_depth=5))
+    lines = line_features(spark, sf_dir, "l_returnflag")
+    soft = score_table(lines, model, LINE_FEATURES).withColumnRenamed("prediction", "soft")
+    both = score(soft.drop("rawPrediction", "probability"), model, "hard")
+    return both.groupBy("l_returnflag").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col("soft").isin(0.0, 1.0)).alias("soft_rows"),
+        F.count_if(F.col("prediction").isin(0.0, 1.0)).alias("hard_rows"),
+    )
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -547,4 +562,5 @@ QUERIES = {
     "forest_train": forest_train,
     "forest_score": forest_score,
     "model_publish": model_publish,
+    "scored_rows": scored_rows,
 }

@@ -226,7 +226,8 @@ SELECT event_id, user_id, event_type, sequence_id, {_event_uuid} AS uuid, TRUE A
 FROM numbered""",
     "dedupe_key": "SELECT event_id, ts, event_type, value FROM events",
     "dense_index": f"""
-SELECT {', '.join(LINEITEM)}, row_number() OVER (ORDER BY {text_hash('row_id')}, row_id) - 1 AS index
+SELECT {', '.join(LINEITEM)},
+       row_number() OVER (ORDER BY {text_hash('row_id')}, row_id) - 1 AS index
 FROM ({identified(LINEITEM, 'lineitem')})""",
     "ordered_index": """
 SELECT event_type, ts, event_id,
@@ -234,10 +235,12 @@ SELECT event_type, ts, event_id,
 FROM events""",
     "poisson_sample": f"""
 SELECT event_id, value, k, user_id
-FROM (SELECT *, unnest(range({repeats('u')})) AS draw FROM ({with_uniform(_events_by_id, 'event_id')}))""",
+FROM (SELECT *, unnest(range({repeats('u')})) AS draw
+      FROM ({with_uniform(_events_by_id, 'event_id')}))""",
     "marginal_resample": f"WITH {_event_resample} SELECT * FROM synthetic",
     "marginal_resample_poisson": f"""
-WITH {resampled(_event_long, 'event_id', EVENT_FEATURES, 'poisson', FRACTION)} SELECT * FROM synthetic""",
+WITH {resampled(_event_long, 'event_id', EVENT_FEATURES, 'poisson', FRACTION)}
+SELECT * FROM synthetic""",
     "marginal_resample_wide": f"""
 WITH {resampled(_vector_long, 'vec_id', VECTOR, 'exact', 1.0)} SELECT * FROM synthetic""",
     "bootstrap_rows": f"""
@@ -292,4 +295,8 @@ WHERE floor((event_id - low) * 4 / (high - low + 1)) < 2""",
 SELECT event_id, replace(CAST(ts AS VARCHAR), ' ', 'T') AS utc, user_id, event_type, value,
        CAST(CAST(ts AS DATE) AS VARCHAR) AS date, 'site' || CAST(user_id % 2 AS VARCHAR) AS site
 FROM events""",
+    "model_publish": "SELECT count(*) AS rows, '2' AS version FROM lineitem",
+    "scored_rows": """
+SELECT l_returnflag, count(*) AS rows, count(*) AS soft_rows, count(*) AS hard_rows
+FROM lineitem GROUP BY l_returnflag""",
 }

@@ -63,7 +63,7 @@ def test_copies_are_counted_before_the_shuffle(spark, wide):
     text = plan(number_copies(table.select("f0", "f1")))
     assert "partial_count" in text
     three = spark.range(3).select(F.lit("x").alias("s"))
-    both_branches = number_copies(three.union(spark.range(2).select(F.col("id").cast("string"))), copies_per_chunk=2)
+    both_branches = number_copies(three.union(spark.range(2).select(F.col("id").cast("string"))), per_chunk=2)
     assert both_branches.count() == 5
     both_branches.collect()
     assert "ReusedExchange" in plan(both_branches)

@@ -31,8 +31,6 @@ def test_query_equals_its_sql(spark, tables, name):
 def test_query_without_sql_runs(spark, name):
     rows = contract.queries()[name](spark, FOLDER).collect()
     assert rows
-    if name == "model_publish":
-        assert rows[0].version == "2" and rows[0]["rows"] == 6000
     if name == "forest_score":
         found = {r.source: r for r in rows}
         assert found["real"]["rows"] == found["synthetic"]["rows"] == 6000

@@ -44,11 +44,17 @@ def test_dedupe_without_key_keeps_all(spark):
 def test_copies_are_numbered_in_chunks(spark):
     df = spark.createDataFrame([("a", 1.0)] * 11 + [("b", None)] * 2 + [("c", 2.0)], "k string, v double")
     for chunk in (3, 5, 100):
-        got = number_copies(df, copies_per_chunk=chunk)
+        got = number_copies(df, per_chunk=chunk)
         rows = sorted((r.k, r.copy_no) for r in got.collect())
         assert rows == [*(("a", i) for i in range(11)), ("b", 0), ("b", 1), ("c", 0)]
 
 
+def test_a_hot_row_is_written_out_by_several_tasks(spark):
+    df = spark.range(60_000).select(F.lit("same").alias("s"))
+    tasks = number_copies(df, per_chunk=1000).groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 1 and sum(r["count"] for r in tasks) == 60_000
+
+
 def test_row_ids_are_unique_without_a_key(spark):
     df = spark.createDataFrame([(1, None), (1, None), (None, 1)], "a int, b int")
     ids = [r.row_id for r in with_row_id(df, None).collect()]

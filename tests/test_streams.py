@@ -184,8 +184,9 @@ def unique_rows(spark, inbox, out, checkpoint, spread):
 def test_streaming_duplicates(spark, tmp_path, spread):
     inbox, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
     when = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
-    hot = spark.range(200).select(F.lit("hot").alias("uuid"), when.alias("event_time"), F.lit(1).alias("v"))
-    rest = spark.range(20).select(F.concat(F.lit("u"), "id").alias("uuid"), when.alias("event_time"), F.lit(2).alias("v"))
+    others = [when.alias("event_time"), F.lit(1).alias("v")]
+    hot = spark.range(200).select(F.lit("hot").alias("uuid"), *others)
+    rest = spark.range(20).select(F.concat(F.lit("u"), "id").alias("uuid"), *others)
     hot.union(rest).repartition(3).write.parquet(inbox)
     rest.union(hot).repartition(2).write.mode("append").parquet(inbox)
     expected = sorted(["hot", *[f"u{i}" for i in range(20)]])
@@ -198,7 +199,8 @@ def test_landing_by_arrival_date_and_site(spark, tmp_path):
     inbox, root = str(tmp_path / "in"), str(tmp_path / "landed")
     deliver(inbox, "a", [message(1), message(2)])
     arrived = with_landing_columns(replay_messages(spark, inbox), "site1")
-    land_stream(arrived, root, str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    writer = land_stream(arrived, root, str(tmp_path / "checkpoint"))
+    writer.trigger(availableNow=True).start().awaitTermination()
     today = spark.sql("select cast(current_date() as string) d").first().d
     files = os.listdir(os.path.join(root, f"date={today}", "site=site1"))
     assert files
