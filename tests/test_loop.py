@@ -75,7 +75,8 @@ def test_the_whole_loop(spark, tmp_path):
     model = load_published(spark, models)
     assert model.numFeatures == 38
 
-    odd = enriched.limit(7).withColumn("dst_bytes", F.lit(5.0) + 400 - F.col("src_bytes"))
+    busy = enriched.filter("src_bytes >= 300").orderBy("sequence_id").limit(7)
+    odd = busy.withColumn("dst_bytes", F.lit(10.0)).withColumn("count", F.lit(10.0))
     odd = odd.withColumn("uuid", F.concat(F.lit("odd"), "sequence_id"))
     mixed = enriched.unionByName(odd)
     flagged = score_table(mixed, model, features).filter("prediction <= 0")
