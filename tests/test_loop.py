@@ -97,7 +97,8 @@ def test_the_whole_loop(spark, tmp_path):
 
 
 def test_random_replay(spark):
-    records = spark.range(200).select(F.col("id").alias("n"), F.concat(F.lit("s"), F.col("id") % 3).alias("s"))
+    kind = F.concat(F.lit("s"), F.col("id") % 3).alias("s")
+    records = spark.range(200).select(F.col("id").alias("n"), kind)
     drawn = stamped_draws(records, 5, 300).collect()
     assert sorted(r.sequence_id for r in drawn) == list(range(300))
     assert len({r.uuid for r in drawn}) == 300
