@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strayrow.llm import language_id, packing, quality, token_counts
+from strayrow.llm import decontamination, kdtree_search, language_id, packing, quality, sharding, token_counts
+from strayrow.llm.oracles import ORACLES  # noqa: F401  (read with QUERIES)
 
 PACK_TOKENIZER = "word_bpe_49k.json"
 COUNT_TOKENIZER = "byte_bpe_50k.json"
@@ -28,6 +29,10 @@ def held_out(column: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string")) % folds == fold, F.lit(False))
 
 
+def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard(table(spark, folder, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"), tokenizer_path(COUNT_TOKENIZER))
 
@@ -39,6 +44,14 @@ def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", fold.alias("held_out"), "score", "predicted")
 
 
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op8_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return kdtree_search.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     fold = held_out("doc_id", 4, 2)
@@ -52,9 +65,11 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_sharding": op2_sharding,
     "op3_token_counts": op3_token_counts,
     "op4_quality": op4_quality,
+    "op5_decontamination": op5_decontamination,
+    "op8_topk": op8_topk,
     "op9_language": op9_language,
     "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {}
