@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strayrow.llm import decontamination, kdtree_search, language_id, packing, quality, sharding, token_counts
+from strayrow.llm import (
+    decontamination,
+    jaccard_join,
+    kdtree_search,
+    language_id,
+    packing,
+    quality,
+    sharding,
+    token_counts,
+)
 from strayrow.llm.oracles import ORACLES  # noqa: F401  (read with QUERIES)
 
 PACK_TOKENIZER = "word_bpe_49k.json"
@@ -48,6 +57,10 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, folder, "documents"), words=4, threshold=85)
+
+
 def op8_topk(spark: SparkSession, folder: str) -> DataFrame:
     return kdtree_search.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -69,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_quality": op4_quality,
     "op5_decontamination": op5_decontamination,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_topk": op8_topk,
     "op9_language": op9_language,
     "op10_packing": op10_packing,
