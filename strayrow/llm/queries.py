@@ -12,6 +12,7 @@ from strayrow.llm import (
     jaccard_join,
     kdtree_search,
     language_id,
+    lattice_lm,
     packing,
     quality,
     sharding,
@@ -21,6 +22,7 @@ from strayrow.llm.oracles import ORACLES  # noqa: F401  (read with QUERIES)
 
 PACK_TOKENIZER = "word_bpe_49k.json"
 COUNT_TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -57,6 +59,11 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op6_lattice_lm(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return lattice_lm.score(docs, tokenizer_path(PIECES), held_out("doc_id", 5, 1))
+
+
 def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, folder, "documents"), words=4, threshold=85)
 
@@ -82,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_quality": op4_quality,
     "op5_decontamination": op5_decontamination,
+    "op6_lattice_lm": op6_lattice_lm,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_topk": op8_topk,
     "op9_language": op9_language,
