@@ -8,19 +8,57 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strayrow.llm import language_id, packing
-from strayrow.llm.queries import PACK_TOKENIZER, held_out, tokenizer_path
+from strayrow.llm import decontamination, jaccard_join, language_id, packing, suffix_repeats
+from strayrow.llm.queries import PACK_TOKENIZER, table, tokenizer_path
 from strayrow.workspace import shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _with_row(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, all other columns in one): names of a stage's own columns can't clash with them."""
+    others = [c for c in docs.columns if c != "text"]
+    return docs.select("doc_id", "text", F.struct(*others).alias("_row"))
+
+
+def _documents(df: DataFrame, like: DataFrame, text: str = "text") -> DataFrame:
+    """The columns of ``like`` again; the number of characters follows the text."""
+    columns = {c: F.col("_row")[c] for c in like.columns if c != "text"}
+    columns["text"] = F.col(text)
+    if text != "text" and "n_chars" in columns:
+        columns["n_chars"] = F.length(text).cast(like.schema["n_chars"].dataType)
+    return df.select(*(columns[c].alias(c) for c in like.columns))
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: those without any letter go."""
-    model = language_id.train(docs, held_out=held_out("doc_id", 4, 2))
-    columns = tuple(docs.columns)
-    found = language_id.identify(docs, model, keep=columns)
-    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select(*columns)
+    """Documents whose language can be told: null and empty texts and texts without any letter go."""
+    model = language_id.train(docs)
+    found = language_id.identify(_with_row(docs), model, keep=("text", "_row"))
+    return _documents(found.where(F.col("lang_pred") != language_id.UNKNOWN), docs)
+
+
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (5-word shingles, 0.8) the document with the smallest id stays.
+
+    Rows without id stay; rows of one id are one document and stay or go together.
+    """
+    classes = jaccard_join.near_duplicates(docs, words=5, threshold=80)
+    copies = classes.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+
+
+def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of 50 bytes and more that a document with a smaller id has; all documents stay."""
+    kept = suffix_repeats.remove_repeats(_with_row(docs), keep=("_row",), with_text=True)
+    return _documents(kept, docs, "kept_text")
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't contaminated by benchmark passages."""
+    judged = decontamination.contamination(
+        _with_row(docs), table(spark, sf_dir, "benchmark"), keep=("text", "_row")
+    )
+    return _documents(judged.where(~F.col("contaminated")), docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,14 +68,18 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES: list[tuple[str, Stage]] = [
     ("language_id", language_stage),
+    ("ngram_jaccard_join", jaccard_stage),
+    ("suffix_array_dedup", repeats_stage),
+    ("benchmark_decontamination", decontamination_stage),
     ("best_fit_packing", packing_stage),
 ]
+#: Training a classifier and tokenizing are beyond SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each one's rows are written and read again before the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = f"{shared_folder(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)

@@ -16,6 +16,7 @@ from strayrow.llm import (
     packing,
     quality,
     sharding,
+    suffix_repeats,
     token_counts,
 )
 from strayrow.llm.oracles import ORACLES  # noqa: F401  (read with QUERIES)
@@ -40,6 +41,10 @@ def held_out(column: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string")) % folds == fold, F.lit(False))
 
 
+def op1_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_repeats.remove_repeats(table(spark, folder, "documents"))
+
+
 def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(table(spark, folder, "documents"))
 
@@ -85,6 +90,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_repeats": op1_suffix_repeats,
     "op2_sharding": op2_sharding,
     "op3_token_counts": op3_token_counts,
     "op4_quality": op4_quality,
