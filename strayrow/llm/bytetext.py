@@ -14,6 +14,7 @@ _BYTE_VALUES = _SEED.integers(1, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 2**64)
 _POWERS: dict[int, np.ndarray] = {}
+_POWER_STEP = 1 << 20
 
 ASCII_SPACE = np.zeros(256, bool)
 ASCII_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -52,7 +53,7 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
     base = _BASE_INVERSE if inverse else _BASE
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + 1024)
+        size = max(-(-n // _POWER_STEP) * _POWER_STEP, _POWER_STEP)
         have = np.full(size, base, np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)

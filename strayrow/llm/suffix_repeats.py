@@ -30,12 +30,15 @@ from pyspark.sql import types as T
 from strayrow.llm import bytetext as bt
 
 GRAM = 24
-BLOCK_BYTES = bt.SLICE_BYTES
+#: Text bytes of a block: a task holds some 60 times as much while it looks for anchors.
+BLOCK_BYTES = 2 << 20
 MIN_BLOCKS = 16
 #: Text bytes for each bucket of anchors, and for each bucket of pieces.
 ANCHOR_BUCKET_BYTES = 32 << 20
-PIECE_BUCKET_BYTES = 16 << 20
+PIECE_BUCKET_BYTES = 6 << 20
 MIN_BUCKETS = 16
+#: Rows that are filled at once, which bounds the memory for positions.
+MATRIX_ROWS = 8192
 #: Pieces of one anchor beyond which it is dealt by windows.
 CROWD = 2000
 _TAG = np.uint64(0xFFFFFFFF)
@@ -106,7 +109,9 @@ def _distinct_pairs(codes: np.ndarray, values: np.ndarray, n: int) -> np.ndarray
 def body_matrix(buffer: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width: int) -> np.ndarray:
     """Bytes of each range in a row, padded with zeros."""
     matrix = np.zeros((len(starts), width), np.uint8)
-    matrix[np.arange(width) < lengths[:, None]] = buffer[bt.expand(starts, lengths)]
+    for at in range(0, len(starts), MATRIX_ROWS):
+        some = slice(at, at + MATRIX_ROWS)
+        matrix[some][np.arange(width) < lengths[some, None]] = buffer[bt.expand(starts[some], lengths[some])]
     return matrix
 
 
@@ -114,7 +119,10 @@ def exact_groups(hashes: np.ndarray, matrix: np.ndarray, lengths: np.ndarray) ->
     """(a row of each group, group of each row) of rows with equal bytes: hashes, then the bytes themselves."""
     _, sample, codes = bt.distinct(hashes)
     if len(sample):
-        same = (matrix == matrix[sample][codes]).all(1) & (lengths == lengths[sample][codes])
+        same = lengths == lengths[sample][codes]
+        for at in range(0, len(matrix), MATRIX_ROWS):
+            some = slice(at, at + MATRIX_ROWS)
+            same[some] &= (matrix[some] == matrix[sample[codes[some]]]).all(1)
         if not same.all():
             odd = np.flatnonzero(~same)
             codes = codes.copy()
@@ -177,11 +185,25 @@ def intervals(prefixes: list[int], lefts: list[int], least: int) -> list[tuple[i
 
 
 def _packed(values: np.ndarray, kind: str) -> bytes:
-    return np.ascontiguousarray(values, kind).tobytes()
+    """Values as compressed bytes, their number first."""
+    raw = np.ascontiguousarray(values, kind).tobytes()
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(
+        pa.decompress(packed[4:], int.from_bytes(packed[:4], "little"), "zstd", asbytes=True), kind
+    )
 
 
 def _joined(table: pa.Table, name: str, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(table[name].to_pylist()), kind)
+    parts = [_unpacked(p, kind) for p in table[name].to_pylist()]
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
+def _counts(table: pa.Table, name: str, width: int) -> list[int]:
+    """How many values of ``width`` bytes each row has."""
+    return [int.from_bytes(p[:4], "little") // width for p in table[name].to_pylist()]
 
 
 def bucket_repeats(table: pa.Table, least: int) -> pa.Table:
@@ -190,9 +212,7 @@ def bucket_repeats(table: pa.Table, least: int) -> pa.Table:
     lengths = _joined(table, "lengths", np.uint16).astype(np.int64)
     bodies = _joined(table, "bodies", np.uint8)
     times = _joined(table, "times", np.int32).astype(np.int64)
-    place_block = np.repeat(
-        table["block"].to_numpy(), [len(x) // 4 for x in table["ordinals"].to_pylist()]
-    )
+    place_block = np.repeat(table["block"].to_numpy(), _counts(table, "ordinals", 4))
     ordinals = _joined(table, "ordinals", np.int32)
     positions = _joined(table, "positions", np.int32).astype(np.int64)
     ids = _joined(table, "ids", np.int64)
@@ -340,8 +360,8 @@ def repeat_places(texts: DataFrame, size: int, least: int) -> DataFrame:
         documents = np.bincount(codes, _joined(table, "documents", np.uint8))[codes]
         pieces = np.bincount(codes, _joined(table, "pieces", np.uint8))[codes]
         marks = (documents > 1).astype(np.uint8) + (documents > 1) * (pieces > CROWD).astype(np.uint8)
-        edges = np.concatenate([[0], np.cumsum([len(t) // 4 for t in table["tags"].to_pylist()])]).tolist()
-        packed = [marks[a:b].astype(np.uint8).tobytes() for a, b in zip(edges, edges[1:], strict=False)]
+        edges = np.concatenate([[0], np.cumsum(_counts(table, "tags", 4))]).tolist()
+        packed = [_packed(marks[a:b], np.uint8) for a, b in zip(edges, edges[1:], strict=False)]
         return pa.table(
             {"bucket": table["bucket"], "block": table["block"], "marks": pa.array(packed, pa.binary())}
         )
@@ -356,7 +376,7 @@ def repeat_places(texts: DataFrame, size: int, least: int) -> DataFrame:
             order, edges = by_bucket(values, anchor_buckets)
             marks = np.zeros(len(values), np.uint8)
             for bucket, packed in zip(right["bucket"].to_pylist(), right["marks"].to_pylist(), strict=True):
-                marks[order[edges[bucket] : edges[bucket + 1]]] = np.frombuffer(packed, np.uint8)
+                marks[order[edges[bucket] : edges[bucket + 1]]] = _unpacked(packed, np.uint8)
             state = marks[codes]
             whole, crowded = state == 1, state == 2
             starts, lengths = block.starts[whole], block.windows[whole] + least - 1
@@ -383,7 +403,7 @@ def repeat_places(texts: DataFrame, size: int, least: int) -> DataFrame:
                     rows["bucket"].append(bucket)
                     rows["block"].append(left["block"][0].as_py())
                     rows["lengths"].append(_packed(lengths[at], np.uint16))
-                    rows["bodies"].append(block.buffer[bt.expand(starts[at], lengths[at])].tobytes())
+                    rows["bodies"].append(_packed(block.buffer[bt.expand(starts[at], lengths[at])], np.uint8))
                     rows["times"].append(_packed(times[chosen], np.int32))
                     rows["ids"].append(_packed(block.ids[owner], np.int64))
                     rows["ordinals"].append(_packed(owner, np.int32))
@@ -427,10 +447,10 @@ def maximal_repeats(
         block = Block(left, least)
         numbers, starts, lengths, ids = [], [], [], []
         for row in right.to_pylist():
-            ordinals = np.frombuffer(row["ordinals"], np.int32)
-            numbers.append((row["bucket"] << 32) + np.frombuffer(row["repeats"], np.int32).astype(np.int64))
-            starts.append(np.frombuffer(row["starts"], np.int32).astype(np.int64))
-            lengths.append(np.frombuffer(row["lengths"], np.uint16).astype(np.int64))
+            ordinals = _unpacked(row["ordinals"], np.int32)
+            numbers.append((row["bucket"] << 32) + _unpacked(row["repeats"], np.int32).astype(np.int64))
+            starts.append(_unpacked(row["starts"], np.int32).astype(np.int64))
+            lengths.append(_unpacked(row["lengths"], np.uint16).astype(np.int64))
             ids.append(block.ids[ordinals])
         columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (numbers, ids, starts, lengths)]
         return pa.table([pa.array(c) for c in columns], names=["repeat", "doc_id", "start", "length"])
@@ -479,10 +499,10 @@ def remove_repeats(
         n, offsets = len(block.buffer), block.offsets
         change = np.zeros(n + 1, np.int64)
         for row in right.select(["ordinals", "starts", "lengths", "later"]).to_pylist():
-            later = np.frombuffer(row["later"], np.uint8).astype(bool)
-            begin = offsets[np.frombuffer(row["ordinals"], np.int32)[later]]
-            begin = begin + np.frombuffer(row["starts"], np.int32)[later]
-            end = begin + np.frombuffer(row["lengths"], np.uint16)[later]
+            later = _unpacked(row["later"], np.uint8).astype(bool)
+            begin = offsets[_unpacked(row["ordinals"], np.int32)[later]]
+            begin = begin + _unpacked(row["starts"], np.int32)[later]
+            end = begin + _unpacked(row["lengths"], np.uint16)[later]
             np.add.at(change, begin, 1)
             np.add.at(change, end, -1)
         gone = np.cumsum(change[:-1]) > 0
