@@ -8,10 +8,13 @@ the positions of the shared shingle leave possible, drop pairs before the sets a
 differently the sets spread over parts of the key space drops more; the intersection then decides
 once per pair.
 
-Equal sets are one node from the start. Documents that share a prefix shingle with many others are
-compared with two of them a round, and only while they aren't known to be connected: what has been
-compared with all others leaves the group. So a large group of near copies costs a few comparisons
-for each, no link between different texts is missed, and no group is expanded into all its pairs.
+Equal sets are one node from the start. In the first rounds every document is compared with one
+other, the smallest by a hash of the round among the smallest of its groups, which connects most of a
+group of near copies at one comparison a document. What is then not known to be connected is compared
+in full: with two members of a group, then with four times as many each round, and always only across
+components; what has been compared with all others leaves the group. So
+a large group of near copies costs a few comparisons for each, no link that joins two components is
+missed, and groups of connected texts are never expanded into all their pairs.
 """
 
 from __future__ import annotations
@@ -35,9 +38,14 @@ CHUNK_BITS = 14
 #: Text bytes whose counts one task merges, and partial sums merged per task after that.
 MERGE_BYTES = 4 << 30
 MERGE_FAN = 256
-#: Groups up to this size are compared in full, larger ones with so many members a round.
+#: Groups up to this size are compared in full, larger ones with so many members in the first round.
 SMALL_GROUP = 16
 PIVOTS = 2
+PIVOT_GROWTH = 4
+#: Rounds of one comparison a document.
+FIRST_ROUNDS = 4
+#: Up to so many ids are broadcast to fetch the sets of the documents that are compared.
+BROADCAST_IDS = 300_000
 PARTS = 8
 _FACTORS = bt.mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
@@ -206,7 +214,29 @@ def _overlap(a: Column, b: Column, threshold: int) -> Column:
     return F.ceil(threshold * (a + b) / F.lit(100 + threshold))
 
 
-def candidate_pairs(members: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+def _possible(a: Column, a_place: Column, b: Column, b_place: Column, threshold: int) -> Column:
+    """Length and positional filter for sets of sizes a and b that share the shingle at these places."""
+    most = F.least(a - a_place, b - b_place) + F.least(a_place, b_place)
+    return (100 * F.least(a, b) >= threshold * F.greatest(a, b)) & (most >= _overlap(a, b, threshold))
+
+
+def first_pairs(groups: DataFrame, threshold: int, turn: int) -> DataFrame:
+    """One pair for each document of ``groups`` at most, with a member of another component."""
+
+    def ticket(node: str) -> Column:
+        return F.xxhash64(F.lit(turn), node)
+
+    member = F.struct("node", "size", "place", "component")
+    smallest = groups.groupBy("token").agg(F.min_by(member, ticket("node")).alias("_pivot"))
+    met = groups.join(smallest, "token").where(
+        (F.col("component") != F.col("_pivot.component"))
+        & _possible(F.col("size"), F.col("place"), F.col("_pivot.size"), F.col("_pivot.place"), threshold)
+    )
+    chosen = met.groupBy("node").agg(F.min_by("_pivot.node", ticket("_pivot.node")).alias("_other"))
+    return chosen.select(F.least("node", "_other").alias("a"), F.greatest("node", "_other").alias("b")).distinct()
+
+
+def candidate_pairs(members: DataFrame, threshold: int, pivots_a_group: int) -> tuple[DataFrame, DataFrame]:
     """(pairs to compare this round, what is left of the groups after it).
 
     ``members`` is (token, node, size, place, component, group). A group's pivots meet all members not
@@ -214,8 +244,8 @@ def candidate_pairs(members: DataFrame, threshold: int) -> tuple[DataFrame, Data
     """
     order = Window.partitionBy("token").orderBy(F.xxhash64("node"), "node")
     ranked = members.withColumn("turn", F.row_number().over(order))
-    small = F.col("group") <= SMALL_GROUP
-    pivots = ranked.where(small | (F.col("turn") <= PIVOTS)).select(
+    small = F.col("group") <= max(SMALL_GROUP, pivots_a_group)
+    pivots = ranked.where(small | (F.col("turn") <= pivots_a_group)).select(
         "token",
         F.col("node").alias("pivot"),
         F.col("size").alias("pivot_size"),
@@ -223,16 +253,13 @@ def candidate_pairs(members: DataFrame, threshold: int) -> tuple[DataFrame, Data
         F.col("component").alias("pivot_component"),
         F.col("turn").alias("pivot_turn"),
     )
-    a, b = F.col("size"), F.col("pivot_size")
-    possible = F.least(a - F.col("place"), b - F.col("pivot_place")) + F.least("place", "pivot_place")
     met = ranked.join(pivots, "token").where(
         (F.col("turn") > F.col("pivot_turn"))
         & (F.col("component") != F.col("pivot_component"))
-        & (100 * F.least(a, b) >= threshold * F.greatest(a, b))
-        & (possible >= _overlap(a, b, threshold))
+        & _possible(F.col("size"), F.col("place"), F.col("pivot_size"), F.col("pivot_place"), threshold)
     )
     pairs = met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    left = ranked.where(~small & (F.col("turn") > PIVOTS)).select("token", "node", "size", "place")
+    left = ranked.where(~small & (F.col("turn") > pivots_a_group)).select("token", "node", "size", "place")
     return pairs, left
 
 
@@ -257,12 +284,9 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return both.where(near).select("a", "b").distinct()
 
 
-def _groups(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _mixed_groups(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members with their components, of groups that still hold more than one component."""
-    if labels is None:
-        joined = members.withColumn("component", F.col("node"))
-    else:
-        joined = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    joined = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     token = Window.partitionBy("token")
     return (
         joined.withColumn("group", F.count("*").over(token))
@@ -272,6 +296,13 @@ def _groups(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     )
 
 
+def _sets_of(texts: DataFrame, nodes: DataFrame, words: int, levels: np.ndarray) -> DataFrame:
+    """Whole sets of the given documents. Few ids go to the texts; many are joined by shuffling."""
+    nodes = materialize(nodes.select(F.col("node").alias("doc_id")).distinct(), "shingle-wanted")
+    wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
+    return materialize(whole_sets(texts.join(wanted, "doc_id", "left_semi"), words, levels), "shingle-sets")
+
+
 def near_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, threshold: int = 80
 ) -> DataFrame:
@@ -293,24 +324,32 @@ def near_duplicates(
         .agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
     )
     entries = nodes.select("node", "size", F.posexplode("prefix").alias("place", "token"))
-    members = materialize(
-        entries.withColumn("_shared", F.count("*").over(Window.partitionBy("token")))
-        .where("_shared > 1")
-        .select("token", "node", "size", "place"),
-        "shingle-members",
+    groups = materialize(
+        entries.withColumn("group", F.count("*").over(Window.partitionBy("token")))
+        .where("group > 1")
+        .select("token", "node", "size", "place", F.col("node").alias("component"), "group"),
+        "shingle-groups",
     )
-    wanted = members.select(F.col("node").alias("doc_id")).distinct()
-    sets = materialize(whole_sets(texts.join(wanted, "doc_id", "left_semi"), words, levels), "shingle-sets")
     links, labels = None, None
-    while True:
-        groups = materialize(_groups(members, labels), "shingle-groups")
-        if groups.isEmpty():
-            break
-        pairs, left = candidate_pairs(groups, threshold)
+    if not groups.isEmpty():
+        # All documents that can ever be compared: those of possible pairs in small groups, and of large groups.
+        pairs, left = candidate_pairs(groups, threshold, PIVOTS)
+        met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(left.select("node"))
+        sets = _sets_of(texts, met, words, levels)
+        groups = groups.join(sets.select("node"), "node", "left_semi")
+    turn, pivots = 0, PIVOTS
+    while not groups.isEmpty():
+        if turn < FIRST_ROUNDS:
+            pairs, left = first_pairs(groups, threshold, turn), groups
+        else:
+            pairs, left = candidate_pairs(groups, threshold, pivots)
+            pivots *= PIVOT_GROWTH
+        turn += 1
         found = materialize(verified(pairs, sets, threshold), "shingle-links")
         links = found if links is None else links.union(found)
-        members = left
         labels = components(links)
+        left = left.select("token", "node", "size", "place")
+        groups = materialize(_mixed_groups(left, labels), "shingle-groups")
     named = rows.where(F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("node"))
     result = rows.select("doc_id", "size", "digest").join(named, "digest", "left")
     if labels is not None:
