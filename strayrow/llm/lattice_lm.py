@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from strayrow.llm import bytetext as bt
 from strayrow.workspace import materialize
 
-BLOCK_BYTES = bt.SLICE_BYTES
+BLOCK_BYTES = 6 << 20
 MIN_BLOCKS = 16
 #: Fixed: what stands for the beginning of a word in the vocabulary.
 WORD_START = "▁".encode()
