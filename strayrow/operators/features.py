@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strayrow.operators.positions import ordered_index
+
 
 def assemble(
     df: DataFrame, columns: Sequence[str], out: str = "features", handle_invalid: str = "error"
@@ -38,18 +40,15 @@ def vector_columns(df: DataFrame, names: Sequence[str], vector: str = "features"
     )
 
 
-def index_labels(
-    df: DataFrame, label: str, out: str = "label_index", max_labels: int = 100_000
-) -> DataFrame:
-    """Number text labels by falling frequency, ties alphabetically.
+def index_labels(df: DataFrame, label: str, out: str = "label_index") -> DataFrame:
+    """Number text labels by falling frequency, ties alphabetically; a null label has no number.
 
-    The label list is held by the driver, as by any classifier, so it must stay short.
+    The labels are a table like any other: their number is not limited and none reach the driver.
     """
-    found = df.select(label).distinct().limit(max_labels + 1).count()
-    if found > max_labels:
-        raise ValueError(f"{label} has more than {max_labels} values: not a class label")
-    indexer = StringIndexer(inputCol=label, outputCol=out, stringOrderType="frequencyDesc")
-    return indexer.fit(df).transform(df)
+    counts = df.where(F.col(label).isNotNull()).groupBy(label).agg((-F.count("*")).alias("_rarity"))
+    numbered = ordered_index(counts, ["_rarity", label], "_number")
+    numbers = numbered.select(F.col(label).alias("_label_text"), F.col("_number").cast("double").alias(out))
+    return df.join(numbers, F.col(label) == F.col("_label_text"), "left").drop("_label_text")
 
 
 def labeled_points(df: DataFrame, label: str, vector: str = "features") -> DataFrame:

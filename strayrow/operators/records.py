@@ -40,7 +40,7 @@ def dedupe(
 
 
 def dedupe_stream(
-    df: DataFrame, key: Iterable[str], event_time: str, delay: str, spread: bool = True
+    df: DataFrame, key: Iterable[str], event_time: str, delay: str, spread: bool = False
 ) -> DataFrame:
     """One row per key of a stream, for copies that arrive within ``delay`` of each other.
 

@@ -9,6 +9,10 @@ from pyspark.sql import types as T
 from strayrow.sources.parsing import Parsed, mark_csv, mark_json, split_marked
 
 
+#: Stands in no line, so that a line is one field.
+LINE_SEPARATOR = "\u0001\u0002\u0001"
+
+
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType) -> Parsed:
     """Headerless CSV with a declared schema: one record per line, malformed lines set aside.
 
@@ -19,9 +23,13 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType) -> Parsed:
 
 
 def scan_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """JSON lines. Without a schema Spark infers one, which costs a pass over the data."""
-    reader = spark.read
-    return (reader.schema(schema) if schema is not None else reader).json(path)
+    """JSON lines. Without a schema Spark infers one, which costs a pass over the data.
+
+    With a schema, malformed lines are no records; ``scan_json_checked`` returns them as well.
+    """
+    if schema is not None:
+        return scan_json_checked(spark, path, schema).rows
+    return spark.read.json(path)
 
 
 def scan_json_checked(spark: SparkSession, path: str, schema: T.StructType) -> Parsed:
@@ -30,18 +38,34 @@ def scan_json_checked(spark: SparkSession, path: str, schema: T.StructType) -> P
     return split_marked(mark_json(lines, schema), "malformed json", path)
 
 
-def scan_sites(
+def scan_sites_checked(
     spark: SparkSession, root: str, schema: T.StructType, sites: list[str] | None = None
-) -> DataFrame:
-    """All records landed under ``root/date=.../site=...``, as one table.
+) -> Parsed:
+    """All records landed under ``root/date=.../site=...``, as one table, and the malformed lines.
 
     ``date`` and ``site`` come from the directory names, so filters on them prune directories.
     """
     layout = T.StructType(
-        [*schema.fields, T.StructField("date", T.DateType()), T.StructField("site", T.StringType())]
+        [
+            T.StructField("value", T.StringType()),
+            T.StructField("date", T.DateType()),
+            T.StructField("site", T.StringType()),
+        ]
     )
-    landed = spark.read.schema(layout).json(root)
-    return landed if sites is None else landed.filter(F.col("site").isin(sites))
+    # Whole lines: the text source can't take the declared types of directory columns in every case.
+    whole = {"sep": LINE_SEPARATOR, "quote": "", "escape": "", "enforceSchema": "true"}
+    lines = spark.read.schema(layout).options(**whole).csv(root)
+    lines = lines if sites is None else lines.filter(F.col("site").isin(sites))
+    lines = lines.filter(F.length(F.trim("value")) > 0)
+    parsed = split_marked(mark_json(lines, schema), "malformed json", root)
+    return Parsed(parsed.rows.select(*schema.fieldNames(), "date", "site"), parsed.quarantine)
+
+
+def scan_sites(
+    spark: SparkSession, root: str, schema: T.StructType, sites: list[str] | None = None
+) -> DataFrame:
+    """The records of ``scan_sites_checked``: a malformed line is none."""
+    return scan_sites_checked(spark, root, schema, sites).rows
 
 
 def scan_records(

@@ -2,26 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
-_local_folders: dict[str, str] = {}
+WAREHOUSE_CONF = "spark.sql.warehouse.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder; a session on one machine without one gets a temporary folder."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, one in the warehouse, shared as well."""
     folder = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
-    application = spark.sparkContext.applicationId
-    if application not in _local_folders:
-        _local_folders[application] = tempfile.mkdtemp(prefix="strayrow-")
-    return _local_folders[application]
+    return (folder or f"{spark.conf.get(WAREHOUSE_CONF).rstrip('/')}/_intermediate").rstrip("/")
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:

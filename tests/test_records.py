@@ -160,8 +160,8 @@ def test_labels(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), ("c",)], "label string")
     got = {r.label: r.label_index for r in feat.index_labels(df, "label").collect()}
     assert got == {"b": 0.0, "a": 1.0, "c": 2.0}
-    with pytest.raises(ValueError):
-        feat.index_labels(df, "label", max_labels=2)
+    unlabelled = df.union(spark.createDataFrame([(None,)], "label string"))
+    assert {r.label_index for r in feat.index_labels(unlabelled, "label").where("label is null").collect()} == {None}
     numeric = spark.createDataFrame([(1, 2.0)], "label int, a double")
     point = feat.labeled_points(feat.assemble(numeric, ["a"]), "label").first()
     assert point.label == 1.0 and point.features.toArray().tolist() == [2.0]

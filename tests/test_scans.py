@@ -14,7 +14,14 @@ from strayrow.sources.schema import (
     message_schema,
     schema_from_text,
 )
-from strayrow.sources.tables import scan_csv, scan_json, scan_json_checked, scan_records, scan_sites
+from strayrow.sources.tables import (
+    scan_csv,
+    scan_json,
+    scan_json_checked,
+    scan_records,
+    scan_sites,
+    scan_sites_checked,
+)
 from strayrow.streaming.landing import compact, land_table
 from strayrow.streaming.sinks import as_messages, kafka_write_options
 
@@ -126,6 +133,26 @@ def test_whole_message_is_set_aside_not_its_good_fields(spark):
     assert parsed.rows.columns == ["id", "a", "b"]
 
 
+@pytest.mark.parametrize("text", [None, '{"a":4}{"a":5}', '{"a":3,"b":1}junk', '{"a":1},{"a":2}', ""])
+def test_a_message_is_one_json_value(spark, text):
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.DoubleType())])
+    df = spark.createDataFrame([(text,), (' {"a":1,"b":2} ',), ('{"a":2}',)], "value string")
+    parsed = split_marked(mark_json(df, schema), "malformed", "test")
+    assert {r.a for r in parsed.rows.collect()} == {1, 2}
+    assert [r.raw for r in parsed.quarantine.collect()] == [text]
+
+
+def test_a_malformed_landed_line_is_no_record(spark, tmp_path):
+    schema = T.StructType([T.StructField("a", T.LongType())])
+    folder = tmp_path / "date=2024-01-01" / "site=x"
+    folder.mkdir(parents=True)
+    (folder / "part.json").write_text('{"a":1}\n{bad\n\n{"a":2}{"a":3}\n')
+    rows, quarantine = scan_sites_checked(spark, str(tmp_path), schema)
+    assert [(r.a, str(r.date), r.site) for r in rows.collect()] == [(1, "2024-01-01", "x")]
+    assert {r.raw for r in quarantine.collect()} == {"{bad", '{"a":2}{"a":3}'}
+    assert scan_sites(spark, str(tmp_path), schema).count() == 1
+
+
 def landed(spark, root):
     rows = [(f'{{"a":{i}}}', f"2024-01-0{1 + i % 3}", f"0{i % 2}") for i in range(300)]
     rows.append(('{"a":300}', "2024-01-01", "a b:c"))
