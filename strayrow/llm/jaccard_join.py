@@ -8,7 +8,7 @@ the positions of the shared shingle leave possible, drop pairs before the sets a
 differently the sets spread over parts of the key space drops more; the intersection then decides
 once per pair.
 
-Equal sets are one node from the start. In the first rounds every document is compared with one
+Equal sets are one node from the start. In the first FIRST_ROUNDS every document is compared with one
 other, the smallest by a hash of the round among the smallest of its groups, which connects most of a
 group of near copies at one comparison a document. What is then not known to be connected is compared
 in full: with two members of a group, then with four times as many each round, and always only across
@@ -42,8 +42,8 @@ MERGE_FAN = 256
 SMALL_GROUP = 16
 PIVOTS = 2
 PIVOT_GROWTH = 4
-#: Rounds of one comparison a document.
-FIRST_ROUNDS = 4
+#: Rounds of one comparison a document; off, as they ran too long on 10,000 documents.
+FIRST_ROUNDS = 0
 #: Up to so many ids are broadcast to fetch the sets of the documents that are compared.
 BROADCAST_IDS = 300_000
 PARTS = 8
@@ -336,7 +336,6 @@ def near_duplicates(
         pairs, left = candidate_pairs(groups, threshold, PIVOTS)
         met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(left.select("node"))
         sets = _sets_of(texts, met, words, levels)
-        groups = groups.join(sets.select("node"), "node", "left_semi")
     turn, pivots = 0, PIVOTS
     while not groups.isEmpty():
         if turn < FIRST_ROUNDS:
@@ -345,6 +344,7 @@ def near_duplicates(
             pairs, left = candidate_pairs(groups, threshold, pivots)
             pivots *= PIVOT_GROWTH
         turn += 1
+        pairs = materialize(pairs, "shingle-pairs")
         found = materialize(verified(pairs, sets, threshold), "shingle-links")
         links = found if links is None else links.union(found)
         labels = components(links)
