@@ -3,18 +3,18 @@
 Every document is the set of its shingles, ordered rare first by how many documents hold a shingle
 (counted over all documents in a table of fixed size, where some shingles share a counter; any order
 that is the same for all documents keeps the join exact). Two sets as similar as asked share a
-shingle in their first few, the prefix, so documents meet on prefix shingles alone. Lengths, and what
-the positions of the shared shingle leave possible, drop pairs before the sets are fetched; how
-differently the sets spread over parts of the key space drops more; the intersection then decides
-once per pair.
-
-Equal sets are one node from the start. In the first FIRST_ROUNDS every document is compared with one
-other, the smallest by a hash of the round among the smallest of its groups, which connects most of a
-group of near copies at one comparison a document. What is then not known to be connected is compared
-in full: with two members of a group, then with four times as many each round, and always only across
-components; what has been compared with all others leaves the group. So
-a large group of near copies costs a few comparisons for each, no link that joins two components is
-missed, and groups of connected texts are never expanded into all their pairs.
+shingle in their first few, the prefix, so documents meet on prefix shingles alone. Three bounds drop
+pairs before their sets are fetched: the lengths; what the places of the shared shingle leave
+possible; and, as the suffix filter, how many parts of the key space hold an odd number of shingles
+of one set and an even number of the other, since two sets differ in at least as many shingles. The
+intersection then decides once per pair.
+
+Equal sets are one node from the start. Documents that share a prefix shingle are compared in rounds:
+each with a few members of the group drawn by hash, then with four times as many each round, and
+always only across components; what has been compared with all others leaves the group. So a large
+group of near copies costs a few comparisons for each, no link that joins two components is missed,
+and groups of connected texts are never expanded into all their pairs. Groups are counted and drawn
+from by aggregates and hashes alone, so none is gathered or sorted in one task.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,15 +38,14 @@ CHUNK_BITS = 14
 #: Text bytes whose counts one task merges, and partial sums merged per task after that.
 MERGE_BYTES = 4 << 30
 MERGE_FAN = 256
-#: Groups up to this size are compared in full, larger ones with so many members in the first round.
+#: Groups up to this size are compared in full; of larger ones about so many members in the first round.
 SMALL_GROUP = 16
-PIVOTS = 2
+PIVOTS = 3
 PIVOT_GROWTH = 4
-#: Rounds of one comparison a document; off, as they ran too long on 10,000 documents.
-FIRST_ROUNDS = 0
 #: Up to so many ids are broadcast to fetch the sets of the documents that are compared.
 BROADCAST_IDS = 300_000
-PARTS = 8
+#: Words of 64 parts of the key space whose parities the suffix filter compares.
+PARITY_WORDS = 8
 _FACTORS = bt.mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -149,13 +148,23 @@ def needed(size, threshold: int):
     return (threshold * size + 99) // 100
 
 
+def _parities(keys: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """PARITY_WORDS numbers a text: bit by bit, whether a part of the key space holds an odd number of its shingles."""
+    rows, parts = len(edges) - 1, 64 * PARITY_WORDS
+    owner = np.repeat(np.arange(rows), np.diff(edges))
+    part = (bt.mix(keys) % np.uint64(parts)).astype(np.int64)
+    odd = np.bincount(owner * parts + part, minlength=rows * parts).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
 def shingle_sets(texts: DataFrame, n: int, threshold: int, levels: np.ndarray) -> DataFrame:
-    """(doc_id, size, digest of the set, prefix) of every document."""
+    """(doc_id, size, digest of the set, parities, prefix) of every document."""
     schema = T.StructType(
         [
             texts.schema["doc_id"],
             T.StructField("size", T.LongType()),
             T.StructField("digest", T.BinaryType()),
+            T.StructField("parities", T.ArrayType(T.LongType())),
             T.StructField("prefix", T.ArrayType(T.LongType())),
         ]
     )
@@ -173,38 +182,32 @@ def shingle_sets(texts: DataFrame, n: int, threshold: int, levels: np.ndarray) -
             lists = pa.ListArray.from_arrays(
                 pa.array(np.concatenate([[0], np.cumsum(short)]), pa.int32()), pa.array(prefix)
             )
+            rows = batch.num_rows
+            parities = pa.ListArray.from_arrays(
+                pa.array(np.arange(rows + 1) * PARITY_WORDS, pa.int32()), pa.array(_parities(keys, edges))
+            )
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes), pa.array(digests, pa.binary()), lists], schema.fieldNames()
+                [batch.column("doc_id"), pa.array(sizes), pa.array(digests, pa.binary()), parities, lists],
+                schema.fieldNames(),
             )
 
     return texts.mapInArrow(build, schema)
 
 
 def whole_sets(texts: DataFrame, n: int, levels: np.ndarray) -> DataFrame:
-    """(node, keys, parts): all shingles of each document, and their numbers in parts of the key space."""
+    """(node, keys): all shingles of each document."""
     schema = T.StructType(
         [
             T.StructField("node", texts.schema["doc_id"].dataType),
             T.StructField("keys", T.ArrayType(T.LongType())),
-            T.StructField("parts", T.ArrayType(T.IntegerType())),
         ]
     )
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bt.slices(batches, "text"):
             keys, edges = distinct_shingles(*bt.text_buffer(batch.column("text")), n, levels)
-            rows = batch.num_rows
-            owner = np.repeat(np.arange(rows), np.diff(edges))
-            part = (bt.mix(keys) % np.uint64(PARTS)).astype(np.int64)
-            parts = np.bincount(owner * PARTS + part, minlength=rows * PARTS).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(keys.view(np.int64))),
-                    pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * PARTS, pa.int32()), pa.array(parts)),
-                ],
-                schema.fieldNames(),
-            )
+            lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(keys.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], schema.fieldNames())
 
     return texts.mapInArrow(build, schema)
 
@@ -214,86 +217,67 @@ def _overlap(a: Column, b: Column, threshold: int) -> Column:
     return F.ceil(threshold * (a + b) / F.lit(100 + threshold))
 
 
-def _possible(a: Column, a_place: Column, b: Column, b_place: Column, threshold: int) -> Column:
-    """Length and positional filter for sets of sizes a and b that share the shingle at these places."""
-    most = F.least(a - a_place, b - b_place) + F.least(a_place, b_place)
-    return (100 * F.least(a, b) >= threshold * F.greatest(a, b)) & (most >= _overlap(a, b, threshold))
-
-
-def first_pairs(groups: DataFrame, threshold: int, turn: int) -> DataFrame:
-    """One pair for each document of ``groups`` at most, with a member of another component."""
-
-    def ticket(node: str) -> Column:
-        return F.xxhash64(F.lit(turn), node)
-
-    member = F.struct("node", "size", "place", "component")
-    smallest = groups.groupBy("token").agg(F.min_by(member, ticket("node")).alias("_pivot"))
-    met = groups.join(smallest, "token").where(
-        (F.col("component") != F.col("_pivot.component"))
-        & _possible(F.col("size"), F.col("place"), F.col("_pivot.size"), F.col("_pivot.place"), threshold)
+def _possible(a: str, b: str, threshold: int) -> Column:
+    """Length, positional and suffix filter for two members that share a shingle."""
+    size_a, size_b = F.col(f"{a}.size"), F.col(f"{b}.size")
+    place_a, place_b = F.col(f"{a}.place"), F.col(f"{b}.place")
+    least = _overlap(size_a, size_b, threshold)
+    most = F.least(size_a - place_a, size_b - place_b) + F.least(place_a, place_b)
+    apart = F.lit(0)
+    for word in range(PARITY_WORDS):
+        apart += F.bit_count(F.col(f"{a}.parities")[word].bitwiseXOR(F.col(f"{b}.parities")[word]))
+    return (
+        (100 * F.least(size_a, size_b) >= threshold * F.greatest(size_a, size_b))
+        & (most >= least)
+        & (apart <= size_a + size_b - 2 * least)
     )
-    chosen = met.groupBy("node").agg(F.min_by("_pivot.node", ticket("_pivot.node")).alias("_other"))
-    return chosen.select(F.least("node", "_other").alias("a"), F.greatest("node", "_other").alias("b")).distinct()
 
 
-def candidate_pairs(members: DataFrame, threshold: int, pivots_a_group: int) -> tuple[DataFrame, DataFrame]:
+def candidate_pairs(members: DataFrame, threshold: int, pivots: int, turn: int) -> tuple[DataFrame, DataFrame]:
     """(pairs to compare this round, what is left of the groups after it).
 
-    ``members`` is (token, node, size, place, component, group). A group's pivots meet all members not
-    connected with them; in a small group all members are pivots.
+    ``members`` is (token, node, size, place, parities, component, group). About ``pivots`` members of
+    a group, drawn by a hash of node and round, meet all members not connected with them; in a small
+    group all members are pivots.
     """
-    order = Window.partitionBy("token").orderBy(F.xxhash64("node"), "node")
-    ranked = members.withColumn("turn", F.row_number().over(order))
-    small = F.col("group") <= max(SMALL_GROUP, pivots_a_group)
-    pivots = ranked.where(small | (F.col("turn") <= pivots_a_group)).select(
-        "token",
-        F.col("node").alias("pivot"),
-        F.col("size").alias("pivot_size"),
-        F.col("place").alias("pivot_place"),
-        F.col("component").alias("pivot_component"),
-        F.col("turn").alias("pivot_turn"),
-    )
-    met = ranked.join(pivots, "token").where(
-        (F.col("turn") > F.col("pivot_turn"))
-        & (F.col("component") != F.col("pivot_component"))
-        & _possible(F.col("size"), F.col("place"), F.col("pivot_size"), F.col("pivot_place"), threshold)
+    ticket = F.pmod(F.xxhash64(F.lit(turn), "node"), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    drawn = (F.col("group") <= max(SMALL_GROUP, pivots)) | (ticket * F.col("group") < F.lit(float(pivots)))
+    known = members.withColumn("pivot", drawn)
+    met = (
+        known.alias("x")
+        .join(known.where("pivot").alias("y"), F.col("x.token") == F.col("y.token"))
+        .where(
+            (F.col("x.component") != F.col("y.component"))
+            & (~F.col("x.pivot") | (F.col("x.node") < F.col("y.node")))
+            & _possible("x", "y", threshold)
+        )
     )
-    pairs = met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    left = ranked.where(~small & (F.col("turn") > pivots_a_group)).select("token", "node", "size", "place")
-    return pairs, left
+    pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    return pairs, known.where("not pivot").drop("pivot", "component", "group")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) that are as similar as asked, by their whole sets."""
 
     def side(name: str) -> DataFrame:
-        return sets.select(
-            F.col("node").alias(name), F.col("keys").alias(f"{name}_keys"), F.col("parts").alias(f"{name}_parts")
-        )
+        return sets.select(F.col("node").alias(name), F.col("keys").alias(f"{name}_keys"))
 
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     sizes = F.size("a_keys") + F.size("b_keys")
-    apart = F.aggregate(
-        F.zip_with("a_parts", "b_parts", lambda x, y: F.abs(x - y)), F.lit(0), lambda total, x: total + x
-    )
     shared = F.size(F.array_intersect("a_keys", "b_keys"))
-    near = F.when(
-        apart <= sizes - 2 * _overlap(F.size("a_keys"), F.size("b_keys"), threshold),
-        100 * shared >= threshold * (sizes - shared),
-    )
-    return both.where(near).select("a", "b").distinct()
+    return both.where(100 * shared >= threshold * (sizes - shared)).select("a", "b").distinct()
 
 
 def _mixed_groups(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members with their components, of groups that still hold more than one component."""
     joined = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    token = Window.partitionBy("token")
-    return (
-        joined.withColumn("group", F.count("*").over(token))
-        .withColumn("_mixed", F.min("component").over(token) != F.max("component").over(token))
-        .where("_mixed")
-        .drop("_mixed")
+    mixed = (
+        joined.groupBy("token")
+        .agg(F.count("*").alias("group"), F.min("component").alias("_least"), F.max("component").alias("_most"))
+        .where("_least != _most")
+        .select("token", "group")
     )
+    return joined.join(mixed, "token")
 
 
 def _sets_of(texts: DataFrame, nodes: DataFrame, words: int, levels: np.ndarray) -> DataFrame:
@@ -321,35 +305,34 @@ def near_duplicates(
     nodes = (
         rows.where((F.col("size") > 0) & F.col("doc_id").isNotNull())
         .groupBy("digest")
-        .agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+        .agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("size", "parities", "prefix")))
     )
+    nodes = materialize(nodes, "shingle-nodes")
     entries = nodes.select("node", "size", F.posexplode("prefix").alias("place", "token"))
+    shared = entries.groupBy("token").agg(F.count("*").alias("group")).where("group > 1")
     groups = materialize(
-        entries.withColumn("group", F.count("*").over(Window.partitionBy("token")))
-        .where("group > 1")
-        .select("token", "node", "size", "place", F.col("node").alias("component"), "group"),
+        entries.join(shared, "token")
+        .join(nodes.select("node", "parities"), "node")
+        .withColumn("component", F.col("node")),
         "shingle-groups",
     )
-    links, labels = None, None
-    if not groups.isEmpty():
-        # All documents that can ever be compared: those of possible pairs in small groups, and of large groups.
-        pairs, left = candidate_pairs(groups, threshold, PIVOTS)
-        met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(left.select("node"))
-        sets = _sets_of(texts, met, words, levels)
+    sets, compared, links, labels = None, None, None, None
     turn, pivots = 0, PIVOTS
     while not groups.isEmpty():
-        if turn < FIRST_ROUNDS:
-            pairs, left = first_pairs(groups, threshold, turn), groups
-        else:
-            pairs, left = candidate_pairs(groups, threshold, pivots)
-            pivots *= PIVOT_GROWTH
-        turn += 1
+        pairs, left = candidate_pairs(groups, threshold, pivots, turn)
+        if compared is not None:
+            pairs = pairs.join(compared, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "shingle-pairs")
+        compared = pairs if compared is None else compared.union(pairs)
+        if sets is None:
+            # All documents that can ever be compared: those of this round's pairs, and the rest of large groups.
+            met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(left.select("node"))
+            sets = _sets_of(texts, met, words, levels)
         found = materialize(verified(pairs, sets, threshold), "shingle-links")
         links = found if links is None else links.union(found)
         labels = components(links)
-        left = left.select("token", "node", "size", "place")
         groups = materialize(_mixed_groups(left, labels), "shingle-groups")
+        turn, pivots = turn + 1, pivots * PIVOT_GROWTH
     named = rows.where(F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("node"))
     result = rows.select("doc_id", "size", "digest").join(named, "digest", "left")
     if labels is not None:
