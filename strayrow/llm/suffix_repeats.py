@@ -2,9 +2,11 @@
 
 Suffixes are dealt so that equal beginnings meet. Every window of ``least`` bytes has an anchor, the
 k-gram in it with the smallest hash, and equal windows have equal anchors; the windows of one anchor
-in one place make a piece of text of less than twice that length. Anchors found in one document only
-cannot repeat, and their pieces stay where they are. All other pieces go to the bucket of their
-anchor, equal ones of a block of documents once, with all their places.
+in one place make a piece of text of less than twice that length. Equal windows have their anchor at
+the same distance, so those of one piece all differ: an anchor with a single place cannot repeat, and
+its piece stays where it is. All other pieces go to the bucket of their anchor, equal ones of a block
+of documents once, with all their places. The removal compares documents only, so there the pieces of
+an anchor found in a single document stay as well.
 
 In a bucket the suffixes of its pieces are sorted, the lengths of common prefixes of neighbours
 computed, and a scan with a stack builds the tree of common-prefix intervals. An interval is a
@@ -14,7 +16,7 @@ Every report carries all places, those of nested intervals included. Passages lo
 reported as overlapping repeats, whose union is the whole passage.
 
 An anchor of a great many different pieces (the end of a passage that very many documents share)
-is dealt again by its single windows.
+is dealt again by its single windows: its repeats come as overlapping ones of ``least`` bytes.
 """
 
 from __future__ import annotations
@@ -326,8 +328,11 @@ def _again(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(c).alias(c) for c in df.columns))
 
 
-def repeat_places(texts: DataFrame, size: int, least: int) -> DataFrame:
-    """Places of all maximal repeats, packed by (block, bucket)."""
+def repeat_places(texts: DataFrame, size: int, least: int, within: bool) -> DataFrame:
+    """Places of all maximal repeats, packed by (block, bucket).
+
+    Unless ``within``, those of an anchor that a single document has are left out.
+    """
     anchor_buckets = max(MIN_BUCKETS, -(-size // ANCHOR_BUCKET_BYTES))
     piece_buckets = max(MIN_BUCKETS, -(-size // PIECE_BUCKET_BYTES))
 
@@ -340,16 +345,17 @@ def repeat_places(texts: DataFrame, size: int, least: int) -> DataFrame:
     def anchors(table: pa.Table) -> pa.Table:
         block = Block(table, least)
         block.find()
-        rows = {"bucket": [], "block": [], "tags": [], "documents": [], "pieces": []}
+        rows = {"bucket": [], "block": [], "tags": [], "times": [], "pieces": []}
         if len(block.starts):
-            values, _, documents, pieces = block.anchor_table()
+            values, codes, documents, pieces = block.anchor_table()
+            times = np.bincount(codes, minlength=len(values)) if within else documents
             order, edges = by_bucket(values, anchor_buckets)
             for bucket in np.flatnonzero(np.diff(edges)).tolist():
                 chosen = order[edges[bucket] : edges[bucket + 1]]
                 rows["bucket"].append(bucket)
                 rows["block"].append(table["block"][0].as_py())
                 rows["tags"].append(_packed(values[chosen] >> np.uint64(32), np.uint32))
-                rows["documents"].append(_packed(np.minimum(documents[chosen], 2), np.uint8))
+                rows["times"].append(_packed(np.minimum(times[chosen], 2), np.uint8))
                 rows["pieces"].append(_packed(np.minimum(pieces[chosen], 255), np.uint8))
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         return pa.table(rows, schema=pa.schema(list(zip(rows, kinds, strict=True))))
@@ -357,9 +363,9 @@ def repeat_places(texts: DataFrame, size: int, least: int) -> DataFrame:
     def repeated(table: pa.Table) -> pa.Table:
         tags = _joined(table, "tags", np.uint32).astype(np.uint64)
         _, _, codes = bt.distinct(tags)
-        documents = np.bincount(codes, _joined(table, "documents", np.uint8))[codes]
+        times = np.bincount(codes, _joined(table, "times", np.uint8))[codes]
         pieces = np.bincount(codes, _joined(table, "pieces", np.uint8))[codes]
-        marks = (documents > 1).astype(np.uint8) + (documents > 1) * (pieces > CROWD).astype(np.uint8)
+        marks = (times > 1).astype(np.uint8) + (times > 1) * (pieces > CROWD).astype(np.uint8)
         edges = np.concatenate([[0], np.cumsum(_counts(table, "tags", 4))]).tolist()
         packed = [_packed(marks[a:b], np.uint8) for a, b in zip(edges, edges[1:], strict=False)]
         return pa.table(
@@ -414,7 +420,7 @@ def repeat_places(texts: DataFrame, size: int, least: int) -> DataFrame:
     marked = (
         _again(texts)
         .groupBy("block")
-        .applyInArrow(anchors, "bucket long, block long, tags binary, documents binary, pieces binary")
+        .applyInArrow(anchors, "bucket long, block long, tags binary, times binary, pieces binary")
         .groupBy("bucket")
         .applyInArrow(repeated, "bucket long, block long, marks binary")
     )
@@ -437,11 +443,11 @@ def maximal_repeats(
     """(repeat, doc_id, start, length): every place of every maximal repeat of ``least`` bytes or more.
 
     Rows of one ``repeat`` hold the same bytes. Texts are UTF-8 bytes; repeats do not cross documents.
-    Null and short texts and rows with a null id hold none. A repeat longer than a piece comes as
-    overlapping repeats.
+    Null and short texts and rows with a null id hold none. Places in one document count like those in
+    two. A repeat longer than a piece comes as overlapping repeats.
     """
     texts, size = _in_blocks(docs, id_column, text_column, (), block_bytes)
-    places = repeat_places(texts, size, least)
+    places = repeat_places(texts, size, least, within=True)
 
     def name(left: pa.Table, right: pa.Table) -> pa.Table:
         block = Block(left, least)
@@ -480,7 +486,7 @@ def remove_repeats(
     of one id aren't compared with each other; an empty table gives an empty result.
     """
     texts, size = _in_blocks(docs, id_column, text_column, keep, block_bytes)
-    places = repeat_places(texts, size, least)
+    places = repeat_places(texts, size, least, within=False)
     schema = T.StructType(
         [
             T.StructField("doc_id", T.LongType()),

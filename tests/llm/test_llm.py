@@ -99,6 +99,28 @@ def test_maximal_repeats_have_all_their_places(docs):
     assert {r.doc_id for r in rows} >= {6, 7, 9, 10}
 
 
+@pytest.mark.parametrize("crowd", [suffix_repeats.CROWD, 1])
+def test_maximal_repeats_as_by_brute_force(spark, docs, nothing, monkeypatch, crowd):
+    monkeypatch.setattr(suffix_repeats, "CROWD", crowd)
+    once = "a passage that stands three times in this document and in no other one, word by word. "
+    more = [(20, f"{once}first {once}second {once[:70]}"), (21, "abc" * 40)]
+    table = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    rows = suffix_repeats.maximal_repeats(table).collect()
+    texts = {i: raw(t) for i, t in [*TEXTS, *more] if i is not None}
+    windows, found = defaultdict(set), defaultdict(set)
+    for i, x in texts.items():
+        for at in range(len(x) - 49):
+            windows[x[at : at + 50]].add((i, at))
+    for r in rows:
+        found[texts[r.doc_id][r.start : r.start + r.length]].add((r.doc_id, r.start))
+    covered = {(i, at + n) for x, places in found.items() for i, at in places for n in range(len(x) - 49)}
+    assert covered == {p for places in windows.values() if len(places) > 1 for p in places}
+    for body, places in found.items():
+        every = {(i, at) for i, at in windows[body[:50]] if texts[i][at : at + len(body)] == body}
+        assert places == every and len(every) > 1
+    assert suffix_repeats.maximal_repeats(nothing).count() == 0
+
+
 def test_intervals_are_left_diverse():
     # Suffixes b.., b.. after different letters, and c.. always after b: only the first repeats by itself.
     assert suffix_repeats.intervals([0, 60, 0, 59], [97, 98, 98, 98], 50) == [(0, 1, 60)]
