@@ -31,10 +31,10 @@ def _documents(df: DataFrame, like: DataFrame, text: str = "text") -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: null and empty texts and texts without any letter go."""
+    """Documents in a language: null and empty texts and texts without any letter go, whatever the labels."""
     model = language_id.train(docs)
-    found = language_id.identify(_with_row(docs), model, keep=("text", "_row"))
-    return _documents(found.where(F.col("lang_pred") != language_id.UNKNOWN), docs)
+    found = language_id.identify(_with_row(docs), model, keep=("text", "_row"), with_letters=True)
+    return _documents(found.where("has_letter"), docs)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -183,13 +183,14 @@ def identify(
     id_column: str = "doc_id",
     text_column: str = "text",
     keep: tuple[str, ...] = (),
+    with_letters: bool = False,
 ) -> DataFrame:
-    """Predict every whole text: (id, *keep, lang_pred, score, ambiguous), a row for each row.
+    """Predict every whole text: (id, *keep, lang_pred, score, ambiguous[, has_letter]), a row for each row.
 
     ``lang_pred`` is ``und`` with score 0 where the text is null, empty or has no letter, and
-    everywhere if there is no model. Null ids stay null, repeated rows repeat, an empty table gives
-    an empty result; ties between codewords go to the label first in order. ``keep`` names other
-    columns to carry along under their names.
+    everywhere if there is no model; ``has_letter`` doesn't depend on the model. Null ids stay null,
+    repeated rows repeat, an empty table gives an empty result; ties between codewords go to the label
+    first in order. ``keep`` names other columns to carry along under their names.
     """
     columns = list(dict.fromkeys([id_column, *keep, text_column]))
     carried = [c for c in columns if c == id_column or c in keep]
@@ -199,13 +200,15 @@ def identify(
             T.StructField("lang_pred", T.StringType()),
             T.StructField("score", T.DoubleType()),
             T.StructField("ambiguous", T.BooleanType()),
+            *([T.StructField("has_letter", T.BooleanType())] if with_letters else []),
         ]
     )
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bt.slices(batches, text_column):
             buffer, offsets = bt.text_buffer(batch.column(text_column))
-            known = has_letter(buffer, offsets) if model else np.zeros(batch.num_rows, bool)
+            letters = has_letter(buffer, offsets) if model or with_letters else np.zeros(batch.num_rows, bool)
+            known = letters if model else np.zeros(batch.num_rows, bool)
             names = np.full(batch.num_rows, UNKNOWN, object)
             score = np.zeros(batch.num_rows)
             unsure = np.zeros(batch.num_rows, bool)
@@ -219,6 +222,7 @@ def identify(
                     pa.array(names, pa.string()),
                     pa.array(np.clip(score, 0, 1)),
                     pa.array(unsure),
+                    *([pa.array(letters)] if with_letters else []),
                 ],
                 schema.fieldNames(),
             )

@@ -381,6 +381,14 @@ def test_best_fit_closes_the_fullest_first():
     assert bins == [0, 1, 0, 1] and offsets == [0, 0, 7, 6] and fills == [10, 10]
 
 
+def test_language_stage_keeps_texts_whatever_the_labels(spark, docs):
+    kept = Counter(i for i, _ in TEXTS if i not in (2, 3, 4, 15))
+    usable = F.when(F.col("doc_id").isin(4, 15), "en")
+    for label in (F.lit(None).cast("string"), usable, F.lit("und")):
+        rows = corpus_pipeline.language_stage(spark, docs.withColumn("lang", label), FOLDER)
+        assert rows.columns == docs.columns and Counter(r.doc_id for r in rows.collect()) == kept
+
+
 def test_pipeline_stages(spark, docs):
     columns = ["doc_id", "text", "lang", "block", "score"]
     kept = corpus_pipeline.language_stage(spark, docs, FOLDER)
