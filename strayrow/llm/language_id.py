@@ -19,9 +19,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strayrow.llm import bytetext as bt
+from strayrow.workspace import materialize
 
 FEATURES = 4096
 UNKNOWN = "und"
+#: Pairs of codewords compared while a code is drawn, and codewords compared with all at once.
+CODE_PAIRS = 1 << 31
+CODE_ROWS = 1024
+#: Texts that may hold a letter; which do is told by ``has_letter``, which can know more letters.
+_LETTER = r"[\p{L}\p{Cn}]"
 #: Bytes as features see them: lower case, and all signs, digits and white space as one separator.
 _FOLDED = bt.LOWER_ASCII.copy()
 _FOLDED[[b for b in range(128) if not chr(b).isalpha()]] = 0x20
@@ -68,13 +74,17 @@ def codewords(classes: int, seed: int = 11) -> np.ndarray:
         return np.array(columns, float).T
     bits = 15 + 2 * int(np.ceil(np.log2(classes)))
     draw = np.random.default_rng(seed)
-    best, distance = None, -1
-    for _ in range(200):
+    best, distance, tries = None, 0, 0
+    while best is None or tries < min(200, CODE_PAIRS // classes**2):
+        tries += 1
         code = np.where(draw.random((classes, bits)) < 0.5, 1.0, -1.0)
-        apart = (bits - code @ code.T) / 2
-        np.fill_diagonal(apart, bits)
-        if apart.min() > distance and (np.abs(code.sum(0)) < classes).all():
-            best, distance = code, apart.min()
+        apart = bits
+        for at in range(0, classes, CODE_ROWS):
+            some = (bits - code[at : at + CODE_ROWS] @ code.T) / 2
+            some[np.arange(len(some)), at + np.arange(len(some))] = bits
+            apart = min(apart, some.min())
+        if apart > distance and (np.abs(code.sum(0)) < classes).all():
+            best, distance = code, apart
     return best
 
 
@@ -134,29 +144,33 @@ def train(
     label_column: str = "lang",
     held_out: F.Column | None = None,
     rows_per_language: int = 500,
-    max_languages: int = 100,
+    sample_rows: int = 50_000,
 ) -> LanguageModel | None:
     """Fit on about ``rows_per_language`` rows of each label, chosen by a hash of the id, over whole texts.
 
-    The sample is bounded by ``rows_per_language * max_languages`` (the most frequent labels); null
-    labels, null texts and texts without a letter teach nothing. None without any labelled row.
+    Every label is taught, by one row at least. The sample is bounded by about ``sample_rows``: the more
+    labels, the fewer rows of each. Null labels, null texts and texts without a letter teach nothing.
+    None without any labelled row.
     """
     rows = docs.select(
         docs[id_column].alias("doc_id"),
         docs[text_column].alias("text"),
         docs[label_column].alias("lang"),
         (F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))).alias("_out"),
-    ).where(~F.col("_out") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    if not counts:
-        return None
-    rate = F.create_map(
-        *itertools.chain.from_iterable(
-            (F.lit(r["lang"]), F.lit(min(1.0, rows_per_language / r["count"]))) for r in counts
-        )
-    )
+    ).where(~F.col("_out") & F.col("lang").isNotNull() & F.col("text").rlike(_LETTER))
     draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id", "text"), F.lit(1 << 20)) / (1 << 20)
-    sample = rows.where(draw < rate[F.col("lang")]).select("text", "lang")
+    rows = rows.withColumn("_draw", draw)
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_count"), F.min("_draw").alias("_least"))
+    counts = materialize(counts, "labels")
+    labels = counts.count()
+    if not labels:
+        return None
+    each = max(1, min(rows_per_language, sample_rows // labels))
+    rates = counts.withColumn("_rate", F.least(F.lit(1.0), each / F.col("_count")))
+    drawn = rows.join(F.broadcast(rates), "lang")
+    first = drawn.where((F.col("_least") >= F.col("_rate")) & (F.col("_draw") == F.col("_least")))
+    sample = drawn.where(F.col("_draw") < F.col("_rate")).select("text", "lang")
+    sample = sample.union(first.groupBy("lang").agg(F.min("text").alias("text")).select("text", "lang"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bt.slices(batches, "text"):

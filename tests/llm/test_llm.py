@@ -343,6 +343,22 @@ def test_language_of_held_out_documents(spark, docs, nothing):
     assert language_id.train(nothing) is None and language_id.identify(nothing, None).count() == 0
 
 
+def test_every_label_is_taught(spark):
+    draw = np.random.default_rng(5)
+    letters = np.array([chr(n) for n in range(0x4E00, 0x4E00 + 2000)])
+    rows = []
+    for label in range(130):
+        own = ["".join(draw.choice(letters, 3)) for _ in range(6)]
+        for n in range(3 + (label < 100)):
+            rows.append((len(rows), " ".join(draw.choice(own, 30)), f"l{label:03}"))
+    rows += [(len(rows) + n, f"{n} !!!", "l000") for n in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for model in (language_id.train(table), language_id.train(table, rows_per_language=1, sample_rows=1)):
+        assert model.languages == [f"l{label:03}" for label in range(130)]
+    found = language_id.identify(table, language_id.train(table), keep=("lang",)).where("lang_pred <> 'und'")
+    assert found.where("lang_pred <> lang").count() == 0 and found.count() == len(rows) - 400
+
+
 @pytest.mark.parametrize("classes", [2, 3, 4, 9])
 def test_codewords_differ(classes):
     code = language_id.codewords(classes)
