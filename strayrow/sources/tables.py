@@ -33,9 +33,22 @@ def scan_json(spark: SparkSession, path: str, schema: T.StructType | None = None
 
 
 def scan_json_checked(spark: SparkSession, path: str, schema: T.StructType) -> Parsed:
-    """JSON lines with a declared schema, malformed lines set aside."""
-    lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
-    return split_marked(mark_json(lines, schema), "malformed json", path)
+    """JSON lines with a declared schema, malformed lines set aside.
+
+    A field that is a directory column has the directory's value, as declared; other directory columns
+    follow the schema's.
+    """
+    lines = spark.read.text(path)
+    folders = [c for c in lines.columns if c != "value"]
+    declared = [f for f in schema.fields if f.name in folders]
+    if declared:
+        layout = T.StructType([T.StructField("value", T.StringType()), *declared])
+        lines = spark.read.schema(layout).text(path)
+    lines = lines.filter(F.length(F.trim("value")) > 0)
+    body = T.StructType([f for f in schema.fields if f.name not in folders])
+    parsed = split_marked(mark_json(lines, body), "malformed json", path)
+    names = list(dict.fromkeys([*schema.fieldNames(), *folders]))
+    return Parsed(parsed.rows.select(*(F.col(f"`{c}`") for c in names)), parsed.quarantine)
 
 
 def scan_sites_checked(

@@ -39,6 +39,12 @@ def test_query_without_sql_runs(spark, name):
         assert len(rows) == 5 and {r.alert_text for r in rows} == {"predicted to be an anomaly"}
 
 
+def test_alerts_hold_each_column_once(spark):
+    alerts = contract.queries()["stream_alerts"](spark, FOLDER)
+    assert alerts.columns[-3:] == ["total_bytes", "alert_text", "batch"] and alerts.columns.count("batch") == 1
+    assert [r.batch for r in alerts.select("batch").collect()] == [0] * 5
+
+
 def test_entry(spark):
     rows = contract.entry(spark).collect()
     assert len(rows) == 5

@@ -88,6 +88,18 @@ def test_json_edge_rows(spark, tmp_path):
     assert {r.raw for r in parsed.quarantine.collect()} == {lines[0], lines[1], lines[4], lines[5]}
 
 
+def test_json_directory_columns_stand_once(spark, tmp_path):
+    folder = str(tmp_path / "json")
+    write_lines(spark, f"{folder}/batch=007/site=x", ['{"a":1,"batch":5}', '{"a":2}', "{bad"])
+    write_lines(spark, f"{folder}/batch=8/site=y", ['{"a":3}'])
+    for kind, want in ((T.LongType(), [7, 7, 8]), (T.StringType(), ["007", "007", "8"])):
+        schema = T.StructType([T.StructField("batch", kind), T.StructField("a", T.LongType())])
+        rows = scan_json(spark, folder, schema)
+        assert rows.columns == ["batch", "a", "site"] and rows.schema["batch"].dataType == kind
+        assert sorted(map(tuple, rows.collect())) == list(zip(want, [1, 2, 3], ["x", "x", "y"], strict=True))
+        assert [r.raw for r in scan_json_checked(spark, folder, schema).quarantine.collect()] == ["{bad"]
+
+
 def test_inferred_and_declared_json(spark, tmp_path):
     path = write_lines(spark, str(tmp_path / "json"), ['{"a":0}', '{"a":0.5}'])
     assert scan_json(spark, path).schema["a"].dataType == T.DoubleType()
