@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import unicodedata
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -198,7 +199,10 @@ _tokenizers: dict[str, WordTokenizer] = {}
 def tokenized_pieces(
     docs: DataFrame, path: str, id_column: str, text_column: str, capacity: int, end_id: int
 ) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every text, tokenized where it lies."""
+    """(doc_id, piece, start, length, ids_crc32, _copy) of every text, tokenized where it lies.
+
+    ``_copy`` numbers equal rows of a partition, in whatever order they are read.
+    """
     schema = T.StructType(
         [
             T.StructField("doc_id", docs.schema[id_column].dataType),
@@ -206,19 +210,27 @@ def tokenized_pieces(
             T.StructField("start", T.LongType()),
             T.StructField("length", T.LongType()),
             T.StructField("ids_crc32", T.LongType()),
+            T.StructField("_copy", T.LongType()),
         ]
     )
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _tokenizers:
             _tokenizers[path] = WordTokenizer(path)
+        seen: Counter = Counter()
         for batch in bt.slices(batches, "text"):
             found = np.array(list(cut(batch, _tokenizers[path], capacity, end_id)), np.int64)
+            ids = batch.column("doc_id").take(pa.array(found[:, 0]))
+            copies = []
+            for row in zip(ids.to_pylist(), found[:, 1].tolist(), found[:, 4].tolist(), strict=True):
+                copies.append(seen[row])
+                seen[row] += 1
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id").take(pa.array(found[:, 0])),
+                    ids,
                     pa.array(found[:, 1].astype(np.int32)),
                     *(pa.array(found[:, n]) for n in (2, 3, 4)),
+                    pa.array(copies, pa.int64()),
                 ],
                 schema.fieldNames(),
             )
@@ -244,24 +256,24 @@ def pack(
     of ``capacity`` ids, the last one shorter. Pieces in one sequence fill it from 0 without gaps.
     Null ids stay null, repeated rows are documents of their own, other columns are not read, an
     empty table packs into nothing. ``group_bytes`` of text make a packing group, so the packing's
-    tasks grow in number and not in size.
+    tasks grow in number and not in size; rows of one id, and copies of a row, are dealt to all groups.
     """
     total = docs.select(F.sum(F.octet_length(text_column))).first()[0] or 0
     groups = max(MIN_GROUPS, -(-total // group_bytes))
     pieces = tokenized_pieces(docs, path, id_column, text_column, capacity, end_id)
     schema = T.StructType(
         [
-            *pieces.schema.fields,
+            *pieces.schema.fields[:-1],
             T.StructField("sequence_id", T.LongType()),
             T.StructField("offset", T.LongType()),
         ]
     )
 
-    columns = pieces.columns
+    columns = pieces.columns[:-1]
 
     def fill(key: tuple, table: pa.Table) -> pa.Table:
         group = key[0].as_py()
-        table = table.sort_by([("_order", "ascending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        table = table.sort_by([(c, "ascending") for c in ("_order", "doc_id", "piece", "ids_crc32", "length")])
         bins, offsets, _ = best_fit(table.column("length").to_pylist(), capacity, open_bins)
         numbers = np.array(bins, np.int64) * groups + group
         return (
@@ -270,7 +282,7 @@ def pack(
             .append_column("offset", pa.array(offsets, pa.int64()))
         )
 
-    order = F.xxhash64("doc_id", "piece", F.lit(7))
+    order = F.xxhash64("doc_id", "piece", "ids_crc32", F.spark_partition_id(), "_copy")
     return (
         pieces.withColumn("_order", order)
         .withColumn("_group", F.pmod(F.xxhash64("_order"), F.lit(groups)))

@@ -390,6 +390,15 @@ def test_packing_holds_every_id_once(spark, docs, nothing):
     assert packing.pack(nothing, path).count() == 0
 
 
+def test_rows_of_one_id_are_dealt_to_all_groups(spark):
+    path = tokenizer_path(PACK_TOKENIZER)
+    ids = F.when(F.col("id") < 1000, F.lit(7).cast("long"))
+    texts = F.when(F.col("id") % 2 == 0, F.lit("a copy")).otherwise(F.concat(F.lit("text "), "id"))
+    rows = packing.pack(spark.range(2000).select(ids.alias("doc_id"), texts.alias("text")), path).collect()
+    groups = Counter(r.sequence_id % packing.MIN_GROUPS for r in rows)
+    assert len(rows) == 2000 and max(groups.values()) < 2 * 2000 / packing.MIN_GROUPS
+
+
 def test_best_fit_closes_the_fullest_first():
     bins, offsets, fills = packing.best_fit([6, 5, 4, 3, 5], 10, 1)
     assert fills == [10, 8, 5] or sum(fills) == 23
