@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strayrow.llm import (
+    chat_format,
+    conversation_repair,
     decontamination,
     jaccard_join,
     kdtree_search,
@@ -18,6 +20,7 @@ from strayrow.llm import (
     sharding,
     suffix_repeats,
     token_counts,
+    tokenizer_alignment,
 )
 from strayrow.llm.oracles import ORACLES  # noqa: F401  (read with QUERIES)
 
@@ -89,6 +92,24 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer_path(PACK_TOKENIZER))
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = conversation_repair.damaged(table(spark, folder, "conversations"))
+    mended = conversation_repair.repaired(rows, conversation_repair.audits(rows))
+    return conversation_repair.digests(mended).drop("n_rows")
+
+
+def op12_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    marked = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return chat_format.digests(chat_format.windows(turns.unionByName(marked)))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return tokenizer_alignment.align(docs, tokenizer_path(COUNT_TOKENIZER), tokenizer_path(PIECES))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_repeats": op1_suffix_repeats,
     "op2_sharding": op2_sharding,
@@ -100,4 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": op8_topk,
     "op9_language": op9_language,
     "op10_packing": op10_packing,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_chat_format": op12_chat_format,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
