@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from strayrow.operators.forest import ForestSettings, contrast_fit, forest_estimator
 from strayrow.operators.records import dedupe
-from strayrow.sources.models import publish_model
+from strayrow.sources.models import pointer_number, publish_model
 from strayrow.workspace import materialize
 
 
@@ -50,6 +50,10 @@ def train(records: DataFrame, options: TrainingOptions) -> RandomForestClassific
 def train_and_publish(
     records: DataFrame, options: TrainingOptions, root: str, version: str
 ) -> str:
-    """Train, save and switch to the new model; on any failure the old one stays in use."""
-    model = train(records, options)
-    return publish_model(records.sparkSession, model, root, version)
+    """Train, save and switch to the new model; on any failure the old one stays in use.
+
+    A model published by someone else during the training stays in use too: this one then fails.
+    """
+    spark = records.sparkSession
+    after = pointer_number(spark, root)
+    return publish_model(spark, train(records, options), root, version, after)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strayrow.sources.committed import ATTEMPT, is_committed, only_committed
 from strayrow.sources.parsing import Parsed, mark_csv, mark_json, split_marked
 
 
@@ -26,10 +27,11 @@ def scan_json(spark: SparkSession, path: str, schema: T.StructType | None = None
     """JSON lines. Without a schema Spark infers one, which costs a pass over the data.
 
     With a schema, malformed lines are no records; ``scan_json_checked`` returns them as well.
+    Of a folder that streams write in batches, only entered batches are read.
     """
     if schema is not None:
         return scan_json_checked(spark, path, schema).rows
-    return spark.read.json(path)
+    return only_committed(spark.read.json(path), path)
 
 
 def scan_json_checked(spark: SparkSession, path: str, schema: T.StructType) -> Parsed:
@@ -42,8 +44,11 @@ def scan_json_checked(spark: SparkSession, path: str, schema: T.StructType) -> P
     folders = [c for c in lines.columns if c != "value"]
     declared = [f for f in schema.fields if f.name in folders]
     if declared:
-        layout = T.StructType([T.StructField("value", T.StringType()), *declared])
+        attempt = [T.StructField(ATTEMPT, T.StringType())] if ATTEMPT in folders else []
+        layout = T.StructType([T.StructField("value", T.StringType()), *declared, *attempt])
         lines = spark.read.schema(layout).text(path)
+    lines = only_committed(lines, path)
+    folders = [c for c in folders if c in lines.columns or c != ATTEMPT]
     lines = lines.filter(F.length(F.trim("value")) > 0)
     body = T.StructType([f for f in schema.fields if f.name not in folders])
     parsed = split_marked(mark_json(lines, body), "malformed json", path)
@@ -58,16 +63,13 @@ def scan_sites_checked(
 
     ``date`` and ``site`` come from the directory names, so filters on them prune directories.
     """
-    layout = T.StructType(
-        [
-            T.StructField("value", T.StringType()),
-            T.StructField("date", T.DateType()),
-            T.StructField("site", T.StringType()),
-        ]
-    )
+    names = [("value", T.StringType()), ("date", T.DateType()), ("site", T.StringType())]
+    if is_committed(spark, root):
+        names.append((ATTEMPT, T.StringType()))
+    layout = T.StructType([T.StructField(*field) for field in names])
     # Whole lines: the text source can't take the declared types of directory columns in every case.
     whole = {"sep": LINE_SEPARATOR, "quote": "", "escape": "", "enforceSchema": "true"}
-    lines = spark.read.schema(layout).options(**whole).csv(root)
+    lines = only_committed(spark.read.schema(layout).options(**whole).csv(root), root)
     lines = lines if sites is None else lines.filter(F.col("site").isin(sites))
     lines = lines.filter(F.length(F.trim("value")) > 0)
     parsed = split_marked(mark_json(lines, schema), "malformed json", root)

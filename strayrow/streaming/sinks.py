@@ -1,4 +1,4 @@
-"""Outputs of one micro-batch. Each replaces what an earlier attempt at the batch has written."""
+"""Topic outputs of one micro-batch; ``sources.committed`` has the file outputs."""
 
 from __future__ import annotations
 
@@ -7,11 +7,6 @@ from pyspark.sql import DataFrame
 from strayrow.functions.expressions import to_message
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """JSON lines in a directory of the batch's own, one file per partition."""
-    df.write.mode("overwrite").json(f"{path}/batch={batch_id}")
-
-
 def kafka_write_options(brokers: str, topic: str, linger_ms: int = 10) -> dict[str, str]:
     return {
         "kafka.bootstrap.servers": brokers,

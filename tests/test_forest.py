@@ -13,7 +13,14 @@ from strayrow.operators.forest import (
     score,
 )
 from strayrow.plans.train import TrainingOptions, train, train_and_publish
-from strayrow.sources.models import current_version, load_published, publish_model, save_model
+from strayrow.sources.models import (
+    PublishConflict,
+    current_version,
+    load_published,
+    pointer_number,
+    publish_model,
+    save_model,
+)
 
 COLUMNS = ["a", "b", "c"]
 SMALL = ForestSettings(trees=6, max_depth=8)
@@ -118,6 +125,20 @@ def test_failed_retraining_leaves_the_old_model(spark, records, tmp_path):
     assert trees(load_published(spark, root)) == kept
 
 
+def test_of_two_publishers_one_wins(spark, records, model, tmp_path):
+    root = str(tmp_path / "published")
+    seen = pointer_number(spark, root)
+    publish_model(spark, model, root, "mine", after=seen)
+    with pytest.raises(PublishConflict):
+        publish_model(spark, model, root, "theirs", after=seen)
+    assert current_version(spark, root) == "mine"
+    # A pointer left empty by a publisher that died does not count, and is followed.
+    (tmp_path / "published" / "pointers" / f"{2:012d}").write_text("")
+    assert current_version(spark, root) == "mine" and load_published(spark, root) is not None
+    publish_model(spark, model, root, "next")
+    assert current_version(spark, root) == "next"
+
+
 def test_duplicates_do_not_change_the_training(records):
     options = TrainingOptions(COLUMNS, seed=3, fraction=1.0, forest=SMALL)
     once = train(records, options)

@@ -13,7 +13,7 @@ from strayrow.plans.train import TrainingOptions, train_and_publish
 from strayrow.sources.messages import replay_messages
 from strayrow.sources.models import load_published
 from strayrow.sources.schema import connection_features, connection_schema, message_schema
-from strayrow.sources.tables import scan_records, scan_sites
+from strayrow.sources.tables import scan_json, scan_records, scan_sites
 from strayrow.streaming.landing import land_stream, with_landing_columns
 from strayrow.streaming.scoring import ScoringOptions, await_stream, score_stream
 from strayrow.streaming.sinks import as_messages
@@ -51,7 +51,7 @@ def test_the_whole_loop(spark, tmp_path):
         checkpoint=str(tmp_path / "c1"), enriched_path=str(tmp_path / "out"), available_now=True
     )
     await_stream(*score_stream(replay_messages(spark, inbox), options))
-    enriched = spark.read.schema(enriched_schema).json(str(tmp_path / "out")).drop("batch")
+    enriched = scan_json(spark, str(tmp_path / "out"), enriched_schema).drop("batch")
     assert enriched.count() == 600
     assert enriched.filter(F.col("total_bytes") != F.col("src_bytes") * 2).count() == 0
 

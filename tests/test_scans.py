@@ -210,10 +210,41 @@ def test_a_large_directory_is_compacted_into_several_files(spark, tmp_path):
     frame = spark.createDataFrame(rows, "value string, date string, site string")
     land_table(frame.repartition(40), root)
     compact(spark, root, target, file_bytes=4000)
-    assert 4 <= len(data_files(target)) <= 7
+    sizes = [os.path.getsize(f) for f in data_files(target)]
+    assert len(sizes) == 7 and min(sizes) >= 2000 and max(sizes) <= 6000
     assert spark.read.text(target).count() == 4000
 
 
+def test_one_date_is_compacted_and_others_stay(spark, tmp_path):
+    root, target = str(tmp_path / "landed"), str(tmp_path / "compacted")
+    schema = landed(spark, root)
+    compact(spark, root, target)
+    before = set(data_files(target))
+    landed(spark, root)
+    compact(spark, root, target, dates=["2024-01-02"])
+    after = set(data_files(target))
+    assert {f.split("date=")[1][:10] for f in before ^ after} == {"2024-01-02"}
+    dates = {str(r.date): r["count"] for r in scan_sites(spark, target, schema).groupBy("date").count().collect()}
+    assert dates == {"2024-01-01": 101, "2024-01-02": 200, "2024-01-03": 100}
+    compact(spark, root, target, dates=["1999-01-01"])
+    assert set(data_files(target)) == after
+    with pytest.raises(ValueError):
+        compact(spark, root, root)
+
+
+def test_skewed_files_give_even_ones(spark, tmp_path):
+    root, target = str(tmp_path / "landed"), str(tmp_path / "compacted")
+    folder = tmp_path / "landed" / "date=2024-01-01" / "site=007"
+    folder.mkdir(parents=True)
+    for n, lines in enumerate([1, 3000, 0, 2, 500, 1500, *[3] * 100]):
+        (folder / f"f{n:03d}").write_text("".join(f"{n:05d}-{line:05d}\n" for line in range(lines)))
+    compact(spark, root, target, file_bytes=6000)
+    sizes = [os.path.getsize(f) for f in data_files(target)]
+    assert sum(sizes) == 12 * 5303 and len(sizes) == round(12 * 5303 / 6000)
+    assert min(sizes) > 0.5 * 6000 and max(sizes) < 1.5 * 6000
+    assert all("site=007" in f for f in data_files(target))
+
+
 def test_kafka_options():
     read = kafka_read_options("b:9092", "in", rate_per_sec=100, interval_sec=15)
     assert read["startingOffsets"] == "latest"

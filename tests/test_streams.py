@@ -8,8 +8,11 @@ from pyspark.sql import types as T
 
 from strayrow.operators.forest import ForestSettings, contrast_fit, forest_estimator
 from strayrow.operators.records import dedupe_stream
+from strayrow.plans.train import TrainingOptions, train_and_publish
+from strayrow.sources.committed import CommittedSink
 from strayrow.sources.messages import replay_messages, replay_table
-from strayrow.streaming.landing import land_stream, with_landing_columns
+from strayrow.sources.tables import scan_json, scan_sites
+from strayrow.streaming.landing import compact, land_stream, landed_files, with_landing_columns
 from strayrow.streaming.scoring import BatchScorer, ScoringOptions, await_stream, score_stream
 
 SCHEMA = T.StructType(
@@ -119,21 +122,24 @@ def test_null_features_do_not_stop_the_stream(spark, tmp_path, model):
 
 def test_a_replayed_batch_replaces_its_outputs(spark, tmp_path, model):
     scorer = BatchScorer(options(tmp_path), model)
-    batch = spark.createDataFrame([(json.dumps(message(i)),) for i in range(20)], "value string")
+    # A stream's batches have a session of their own.
+    own = spark.newSession()
+    batch = own.createDataFrame([(json.dumps(message(i)),) for i in range(20)], "value string")
     for _ in range(2):
         scorer(batch, 4)
-    assert scorer.batches == [4]
+    assert scorer.progress(spark) == (1, 4)
     assert spark.read.json(str(tmp_path / "enriched")).count() == 20
+    assert scorer.report == (4, 20, 0)
 
 
 def test_empty_batches_do_not_count(spark, tmp_path):
     scorer = BatchScorer(options(tmp_path, max_batches=1))
     empty = spark.createDataFrame([], "value string")
     scorer(empty, 0)
-    assert scorer.batches == [] and not os.path.exists(tmp_path / "enriched")
+    assert scorer.progress(spark) == (0, -1) and not os.path.exists(tmp_path / "enriched")
     all_bad = spark.createDataFrame([("{bad",)], "value string")
     scorer(all_bad, 1)
-    assert scorer.batches == [1]
+    assert scorer.progress(spark) == (1, 1)
     scorer(empty, 2)
     with pytest.raises(Exception):
         scorer(all_bad, 3)
@@ -146,7 +152,10 @@ def test_the_stream_stops_at_the_limit_and_resumes(spark, tmp_path):
     assert run(spark, inbox, options(tmp_path, max_batches=2)) == 2
     enriched = str(tmp_path / "enriched")
     assert {r.uuid for r in spark.read.json(enriched).collect()} == {"u97", "u98"}
-    assert run(spark, inbox, options(tmp_path)) == 2
+    assert run(spark, inbox, options(tmp_path, max_batches=2)) == 0
+    assert run(spark, inbox, options(tmp_path, max_batches=3)) == 1
+    assert len(os.listdir(tmp_path / "checkpoint" / "batches-done")) <= 2
+    assert run(spark, inbox, options(tmp_path)) == 1
     assert spark.read.json(enriched).count() == 4
     assert run(spark, inbox, options(tmp_path)) == 0
     assert spark.read.json(enriched).count() == 4
@@ -205,3 +214,54 @@ def test_landing_by_arrival_date_and_site(spark, tmp_path):
     files = os.listdir(os.path.join(root, f"date={today}", "site=site1"))
     assert files
     assert spark.read.schema(SCHEMA).json(root).count() == 2
+
+
+def test_runs_share_a_folder_and_lose_nothing(spark, tmp_path):
+    out = str(tmp_path / "shared")
+    for name in "ab":
+        inbox = str(tmp_path / f"in{name}")
+        deliver(inbox, "first", [message(ord(name))])
+        deliver(inbox, "second", [message(ord(name) + 100)])
+        own = options(tmp_path, checkpoint=str(tmp_path / f"checkpoint{name}"), enriched_path=out)
+        assert run(spark, inbox, own) == 2
+    assert {r.uuid for r in scan_json(spark, out, SCHEMA).collect()} == {"u97", "u98", "u197", "u198"}
+
+
+def test_only_entered_attempts_are_read(spark, tmp_path):
+    out = str(tmp_path / "out")
+    rows = spark.range(3)
+    sink = CommittedSink(spark, out, "run", ("batch",))
+    sink.write(rows, 0)
+    sink.write(rows.union(rows), 0)
+    # An attempt that died before its entry, and one that died while it made the entry.
+    rows.withColumn("batch", F.lit(1)).withColumn("_attempt", F.lit("run.1.dead")).write.mode("append").partitionBy(
+        "batch", "_attempt"
+    ).json(out)
+    open(tmp_path / "out" / "_batches" / "run.1", "w").close()
+    schema = T.StructType([T.StructField("id", T.LongType())])
+    assert scan_json(spark, out, schema).count() == 3
+    assert scan_json(spark, out).columns == ["id", "batch"]
+    sink.write(rows.limit(2), 1)
+    found = scan_json(spark, out, schema).groupBy("batch").count().collect()
+    assert {tuple(r) for r in found} == {(0, 3), (1, 2)}
+
+
+def test_enriched_records_are_scanned_and_trained_on_without_a_topic(spark, tmp_path):
+    root = str(tmp_path / "landed")
+    for site in ("site1", "site2"):
+        inbox = str(tmp_path / site)
+        deliver(inbox, "a", [message(n) for n in range(60)] + ["{bad"])
+        deliver(inbox, "b", [message(n) for n in range(60, 90)])
+        run(spark, inbox, options(tmp_path, checkpoint=str(tmp_path / f"c-{site}"), landed_path=root, site=site))
+    enriched = T.StructType([*SCHEMA.fields, T.StructField("total_bytes", T.DoubleType())])
+    landed = scan_sites(spark, root, enriched)
+    assert landed.columns == [*enriched.fieldNames(), "date", "site"]
+    assert {r.site: r["count"] for r in landed.groupBy("site").count().collect()} == {"site1": 90, "site2": 90}
+    assert landed.where("total_bytes <> src_bytes + dst_bytes").count() == 0
+    training = TrainingOptions(["src_bytes", "dst_bytes"], forest=ForestSettings(trees=2, max_depth=3))
+    train_and_publish(landed, training, str(tmp_path / "model"), "1")
+    merged = str(tmp_path / "merged")
+    compact(spark, root, merged)
+    assert scan_sites(spark, merged, enriched).count() == 180
+    files = landed_files(spark, merged).collect()
+    assert len(files) == 2 and {f.site for f in files} == {"site1", "site2"}
