@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-NULL_TEXT = "\\N"
+NULL_MARK = "n"
 HASH_BITS = 60  # 15 hex digits: the widest whole-digit hash that stays positive in a BIGINT
 UNIFORM_BITS = 52
 UNIFORM_STEPS = 1 << UNIFORM_BITS
@@ -21,14 +21,24 @@ UNIFORM_TAG, ORDER_TAG, REPLICA_TAG = 0, 1, 2
 
 
 def row_text(df: DataFrame, columns: Iterable[str]) -> Column:
-    """One text per row from the given columns, independent of the session time zone."""
-    parts = []
+    """One text per row from the given columns, a different one for rows that differ anywhere.
+
+    Every value has its length before it and a null a mark of its own, so no text in one column can
+    look like another column's. It does not depend on the session time zone.
+    """
+    parts = [F.lit("")]
     for name in columns:
-        col = F.col(name)
-        if isinstance(df.schema[name].dataType, T.TimestampType):
+        col, kind = F.col(f"`{name}`"), df.schema[name].dataType
+        if isinstance(kind, T.TimestampType):
             col = F.unix_micros(col)
-        parts.append(F.coalesce(col.cast("string"), F.lit(NULL_TEXT)))
-    return F.concat_ws("|", *parts)
+        elif isinstance(kind, T.BinaryType):
+            col = F.hex(col)
+        elif isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
+            col = F.when(col.isNotNull(), F.to_json(F.struct(col), {"ignoreNullFields": "false"}))
+        text = col.cast("string")
+        sized = F.concat(F.length(text).cast("string"), F.lit(":"), text)
+        parts.append(F.coalesce(sized, F.lit(NULL_MARK)))
+    return F.concat(*parts)
 
 
 def text_hash(text: Column) -> Column:
@@ -37,11 +47,17 @@ def text_hash(text: Column) -> Column:
 
 
 def key_hash(df: DataFrame, key: Iterable[str]) -> Column:
-    """60-bit hash of key columns; whole numbers hash alike whatever their width."""
-    columns = []
-    for name in key:
+    """60-bit hash of key columns; whole numbers hash alike whatever their width.
+
+    Hashing passes nulls over, so which columns are null is hashed too if there are several.
+    """
+    columns, nulls = [], F.lit(0).cast("bigint")
+    for place, name in enumerate(key):
         whole = isinstance(df.schema[name].dataType, T.IntegralType)
         columns.append(F.col(name).cast("bigint") if whole else F.col(name))
+        nulls = nulls + F.shiftleft(F.col(name).isNull().cast("bigint"), place % 63)
+    if len(columns) > 1:
+        columns.append(nulls)
     return F.shiftrightunsigned(F.xxhash64(*columns), 64 - HASH_BITS)
 
 

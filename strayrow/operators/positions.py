@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strayrow.functions.hashing import HASH_BITS, key_hash, row_text, text_hash
@@ -13,7 +13,9 @@ from strayrow.workspace import materialize
 
 ROWS_PER_BUCKET = 1 << 18
 MIN_BUCKET_BITS = 5
-MAX_BUCKET_BITS = 20
+MAX_BUCKET_BITS = 40
+#: Bucket sizes that one task adds up, at most: more buckets are added up in two steps.
+SUM_BITS = 20
 REPEATS_PER_CHUNK = 1000
 
 
@@ -85,6 +87,28 @@ def with_row_hash(df: DataFrame, key: Sequence[str] | None, out: str) -> DataFra
     return numbered.withColumn(out, text_hash(identity)).drop("_copy_no")
 
 
+def _bucket_starts(sizes: DataFrame, group: list[str], bits: int) -> DataFrame:
+    """(group, _bucket, _start): the rows of a group in the buckets before each, from (group, _bucket, _size).
+
+    No task adds up more than 2^``SUM_BITS`` sizes: beyond that, runs of buckets are added up by
+    themselves and shifted by the sums of the runs before them.
+    """
+
+    def before(value: str, by: list[str], order: str) -> Column:
+        frame = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(value).over(frame), F.lit(0))
+
+    if bits <= SUM_BITS:
+        return sizes.select(*group, "_bucket", before("_size", group, "_bucket").alias("_start"))
+    runs = sizes.withColumn("_run", F.shiftright("_bucket", bits - bits // 2))
+    inside = runs.withColumn("_inside", before("_size", [*group, "_run"], "_bucket"))
+    totals = runs.groupBy(*group, "_run").agg(F.sum("_size").alias("_size"))
+    ahead = totals.select(*group, "_run", before("_size", group, "_run").alias("_ahead"))
+    return inside.join(ahead, [*group, "_run"]).select(
+        *group, "_bucket", (F.col("_ahead") + F.col("_inside")).alias("_start")
+    )
+
+
 def rank_by_hash(
     df: DataFrame,
     hash_column: str,
@@ -103,18 +127,10 @@ def rank_by_hash(
     bits = bucket_bits(expected_rows, rows_per_bucket)
     keys = [*group, "_bucket"]
     # Declared non-null, or the join below would hash every row twice to look for nulls.
-    bucket = F.coalesce(F.shiftright(hash_column, HASH_BITS - bits).cast("int"), F.lit(0))
+    bucket = F.coalesce(F.shiftright(hash_column, HASH_BITS - bits), F.lit(0).cast("bigint"))
     bucketed = df.withColumn("_bucket", bucket)
-
-    # One row per bucket: at most 2^20 per group, whatever the number of rows.
-    earlier = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    starts = (
-        bucketed.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_size"))
-        .select(*keys, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))
-    )
+    sizes = bucketed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    starts = _bucket_starts(sizes, list(group), bits)
     within = Window.partitionBy(*keys).orderBy(hash_column, *ties)
     ranked = bucketed.withColumn("_rank", F.row_number().over(within) - 1)
     return (

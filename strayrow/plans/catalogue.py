@@ -25,16 +25,17 @@ from strayrow.operators.positions import dense_index, ordered_index, with_row_id
 from strayrow.operators.records import dedupe, dedupe_stream, enrich, stamp_records
 from strayrow.operators.sampling import bootstrap_rows, marginal_resample, poisson_sample
 from strayrow.plans.replay import stamped_draws
-from strayrow.plans.score import alert_records, score_table
+from strayrow.plans.score import alert_records, score_sites, score_table
 from strayrow.plans.train import TrainingOptions, feature_table, train_and_publish
 from strayrow.sources.messages import replay_messages, replay_table
 from strayrow.sources.models import current_version, load_published
 from strayrow.sources.parsing import mark_json, split_marked
 from strayrow.sources.schema import schema_from_text
 from strayrow.sources.tables import scan_csv, scan_json, scan_records, scan_sites
-from strayrow.streaming.landing import compact, land_stream, land_table
+from strayrow.streaming.landing import compact, land_stream, land_table, landed_files
 from strayrow.streaming.scoring import ScoringOptions, await_stream, score_stream
 from strayrow.streaming.sinks import as_messages
+from strayrow.streaming.state import rocksdb_session, state_rows
 from strayrow.workspace import fresh_folder, materialize
 
 SEED = 7
@@ -42,6 +43,11 @@ FRACTION = 0.1
 EVENT_FEATURES = ["value", "k", "user_id"]
 VECTOR_WIDTH = 64
 LINE_FEATURES = ["quantity", "price", "discounted", "charge"]
+PAIR_FEATURES = ["digit", "triple"]
+PAIR_DIGITS = 6
+PAIR_SITES = 3
+LANDED_FILES = 120
+LANDED_BYTES = 400
 
 LINEITEM_TEXT = """l_orderkey: continuous.
 l_partkey: continuous.
@@ -65,10 +71,10 @@ EVENT_MESSAGE = T.StructType(
     ]
 )
 
-LINE_MESSAGE = T.StructType(
+PAIR_MESSAGE = T.StructType(
     [
         T.StructField("line_id", T.StringType()),
-        *[T.StructField(name, T.DoubleType()) for name in LINE_FEATURES],
+        *[T.StructField(name, T.DoubleType()) for name in PAIR_FEATURES],
     ]
 )
 
@@ -109,6 +115,26 @@ def line_features(spark: SparkSession, sf_dir: str, *others: str) -> DataFrame:
     )
 
 
+def event_pairs(spark: SparkSession, sf_dir: str, shift: int = 1) -> DataFrame:
+    """Two features of which one follows from the other: what a forest learns of them can be told beforehand."""
+    digit = (F.col("user_id") % PAIR_DIGITS).cast("double")
+    events = table(spark, sf_dir, "events").select(
+        "event_id", digit.alias("digit"), (digit * 3 + shift).alias("triple")
+    )
+    return feature_table(events, TrainingOptions(PAIR_FEATURES, ["event_id"]))
+
+
+def pair_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event pairs and, as many again, pairs of independent draws: odd wherever they don't fit together."""
+    both = contrast_set(event_pairs(spark, sf_dir), PAIR_FEATURES, 1.0, SEED + 1, ["event_id"])
+    return both.select(F.col("row_id").alias("line_id"), *PAIR_FEATURES)
+
+
+def pair_model(spark: SparkSession, sf_dir: str):
+    pairs = event_pairs(spark, sf_dir)
+    return contrast_fit(pairs, forest_estimator(SEED), PAIR_FEATURES, 1.0, SEED, ["event_id"])
+
+
 def flagged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by the hour, errors standing in for rows predicted 0."""
     prediction = F.when(F.col("event_type") == "error", 0.0).otherwise(1.0)
@@ -225,6 +251,12 @@ def vector_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feat.vector_columns(vectors, ["value", "user_id"])
 
 
+def vectors_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "value", "user_id")
+    vectors = feat.only_vectors(feat.assemble(events, ["value", "user_id"]))
+    return feat.vector_columns(vectors, ["value", "user_id"])
+
+
 def explode_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = table(spark, sf_dir, "embeddings").select(
         "vec_id", array_to_vector("embedding").alias("features")
@@ -344,8 +376,21 @@ def batch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_flagged(flagged_events(spark, sf_dir), ["batch"])
 
 
+def empty_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of a batch from which every row was filtered out."""
+    return count_flagged(flagged_events(spark, sf_dir).filter(F.col("value") < 0))
+
+
 # --- streams
 
+SLICE_FILES = 4
+
+
+def deliver(slices: list[DataFrame], inbox: str) -> None:
+    """Each slice as the same number of message files, one slice after the other."""
+    for arriving in slices:
+        as_messages(arriving).repartition(SLICE_FILES).write.mode("append").text(inbox)
+
 
 def stream_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     inbox = fresh_folder(spark, "messages")
@@ -363,39 +408,79 @@ def stream_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_json(spark, out, enriched).drop("batch")
 
 
-def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").select(
+def stream_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two streams land enriched records of their sites in one tree, which a trainer scans as it is."""
+    records = event_records(spark, sf_dir)
+    root = fresh_folder(spark, "landed")
+    for site in range(2):
+        inbox = fresh_folder(spark, "messages")
+        own = records.filter(F.col("user_id") % 2 == site)
+        deliver([own.filter(F.col("event_type") == "error"), own.filter(F.col("event_type") != "error")], inbox)
+        options = ScoringOptions(
+            checkpoint=fresh_folder(spark, "checkpoint"),
+            schema=EVENT_MESSAGE,
+            total_of=("value", "user_id"),
+            landed_path=root,
+            site=f"site{site}",
+            available_now=True,
+        )
+        await_stream(*score_stream(replay_messages(spark, inbox, SLICE_FILES), options))
+    enriched = T.StructType([*EVENT_MESSAGE.fields, T.StructField("total_bytes", T.DoubleType())])
+    return scan_sites(spark, root, enriched).drop("date")
+
+
+def deduplicated(spark: SparkSession, sf_dir: str) -> tuple[str, str, T.StructType]:
+    """(output, checkpoint, schema): four slices of time, with the last day of each sent again by the next.
+
+    Two slices arrive before the stream is stopped and started again.
+    """
+    own = rocksdb_session(spark)
+    events = table(own, sf_dir, "events").select(
         "event_id", F.col("ts").cast("timestamp").alias("event_time"), "event_type", "value"
     )
-    inbox = fresh_folder(spark, "retried")
-    feat.union_rows(events, events).write.parquet(inbox)
-    replayed = replay_table(spark, inbox, events.schema)
-    out = fresh_folder(spark, "unique")
-    once = dedupe_stream(replayed, ["event_id"], "event_time", "60 days").drop("event_time")
-    query = (
-        once.writeStream.format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", fresh_folder(spark, "checkpoint"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return spark.read.schema(once.schema).parquet(out)
+    ends = events.agg(F.min("event_time").alias("low"), F.max("event_time").alias("high")).first()
+    step = (ends["high"] - ends["low"]) / 4
+    inbox, out, checkpoint = (fresh_folder(spark, name) for name in ("retried", "unique", "checkpoint"))
+    time = F.col("event_time")
+    for half in range(2):
+        for number in (2 * half, 2 * half + 1):
+            begin, end = ends["low"] + number * step, ends["low"] + (number + 1) * step
+            again = F.lit(begin) - F.expr("INTERVAL 1 DAY")
+            until = time < F.lit(end) if number < 3 else time <= F.lit(ends["high"])
+            arriving = events.filter((time >= again) & until)
+            arriving.repartition(SLICE_FILES).write.mode("append").parquet(inbox)
+        replayed = replay_table(own, inbox, events.schema, files_per_batch=SLICE_FILES)
+        once = dedupe_stream(replayed, ["event_id"], "event_time", "2 days").drop("event_time")
+        query = (
+            once.writeStream.format("parquet")
+            .option("path", out)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    return out, checkpoint, once.schema
+
+
+def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _, schema = deduplicated(spark, sf_dir)
+    return spark.read.schema(schema).parquet(out)
+
+
+def stream_dedupe_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys still held at the end: those for which a copy could still come in time."""
+    _, checkpoint, _ = deduplicated(spark, sf_dir)
+    return state_rows(rocksdb_session(spark), checkpoint).agg(F.count(F.lit(1)).alias("keys"))
 
 
 def stream_max_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four slices of the ids arrive one after the other; the stream stops after two batches."""
+    """Four slices of the ids arrive one after the other; the limit of two holds over a restart after the first."""
     records = event_records(spark, sf_dir)
     ends = records.agg(F.min("event_id").alias("low"), F.max("event_id").alias("high")).first()
     slice_no = F.floor(
         (F.col("event_id") - ends["low"]) * 4 / F.lit(ends["high"] - ends["low"] + 1)
     )
     inbox = fresh_folder(spark, "slices")
-    tasks = spark.sparkContext.defaultParallelism
-    for number in range(4):
-        arriving = as_messages(records.filter(slice_no == number))
-        arriving.repartition(tasks).write.mode("append").text(inbox)
-    per_slice = len(spark.read.text(inbox).inputFiles()) // 4
     out = fresh_folder(spark, "enriched")
     options = ScoringOptions(
         checkpoint=fresh_folder(spark, "checkpoint"),
@@ -405,7 +490,9 @@ def stream_max_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
         available_now=True,
         max_batches=2,
     )
-    await_stream(*score_stream(replay_messages(spark, inbox, per_slice), options))
+    for arriving in (range(1), range(1, 4)):
+        deliver([records.filter(slice_no == number) for number in arriving], inbox)
+        await_stream(*score_stream(replay_messages(spark, inbox, SLICE_FILES), options))
     return scan_json(spark, out, EVENT_MESSAGE).select("event_id", "user_id", "value")
 
 
@@ -425,6 +512,33 @@ def landing_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_sites(spark, merged, EVENT_MESSAGE).withColumn("date", F.col("date").cast("string"))
 
 
+def compact_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything is compacted, then more arrives for the last date, and only that is compacted again."""
+    events = table(spark, sf_dir, "events").select(
+        F.concat_ws(" ", "event_id", "event_type", "props").alias("value"),
+        F.col("ts").cast("date").cast("string").alias("date"),
+        F.concat(F.lit("site"), F.col("user_id") % 2).alias("site"),
+    )
+    size = events.agg(F.sum(F.octet_length("value") + 1).alias("bytes"), F.max("date").alias("last")).first()
+    file_bytes = max(LANDED_BYTES, size["bytes"] // LANDED_FILES)
+    landed, merged = fresh_folder(spark, "landed"), fresh_folder(spark, "compacted")
+    land_table(events.repartition(SLICE_FILES), landed)
+    compact(spark, landed, merged, file_bytes)
+    before = materialize(landed_files(spark, merged).select("path"), "listing")
+    late = events.filter(F.col("date") == size["last"])
+    land_table(late.withColumn("value", F.concat(F.lit("late "), "value")), landed)
+    compact(spark, landed, merged, file_bytes, [size["last"]])
+    after = materialize(landed_files(spark, merged), "listing")
+    files = after.join(before.withColumn("kept", F.lit(True)), "path", "left").groupBy("date", "site").agg(
+        F.count(F.lit(1)).alias("files"),
+        F.count_if(F.col("length") > 1.5 * file_bytes).alias("large_files"),
+        F.count_if(F.col("length") < 0.5 * file_bytes).alias("small_files"),
+        F.count_if(F.col("kept").isNull()).alias("new_files"),
+    )
+    lines = spark.read.schema("value string, date string, site string").text(merged)
+    return lines.groupBy("date", "site").agg(F.count(F.lit(1)).alias("rows")).join(files, ["date", "site"])
+
+
 def line_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines and, as many again, lines put together from independent draws."""
     lines = materialize(with_row_id(line_features(spark, sf_dir), None, "line_id"), "lines")
@@ -437,30 +551,41 @@ def line_model(spark: SparkSession, sf_dir: str, settings: ForestSettings = Fore
     return contrast_fit(lines, forest_estimator(SEED, settings), LINE_FEATURES, 1.0, SEED)
 
 
-def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def alert_stream(spark: SparkSession, sf_dir: str) -> ScoringOptions:
+    """A scoring stream over pairs that arrive in three batches; gives the options of the stream that ran."""
+    messages = materialize(pair_messages(spark, sf_dir), "pairs")
     inbox = fresh_folder(spark, "messages")
-    as_messages(line_messages(spark, sf_dir)).write.text(inbox)
-    out = fresh_folder(spark, "alerts")
+    deliver([messages.filter(F.col("digit") % PAIR_SITES == n) for n in range(PAIR_SITES)], inbox)
     options = ScoringOptions(
         checkpoint=fresh_folder(spark, "checkpoint"),
-        schema=LINE_MESSAGE,
-        features=LINE_FEATURES,
-        total_of=("price", "charge"),
+        schema=PAIR_MESSAGE,
+        features=PAIR_FEATURES,
+        total_of=PAIR_FEATURES,
         order=("line_id",),
-        alert_path=out,
+        alert_path=fresh_folder(spark, "alerts"),
+        report_path=fresh_folder(spark, "report"),
         available_now=True,
     )
-    model = line_model(spark, sf_dir)
-    await_stream(*score_stream(replay_messages(spark, inbox), options, model))
+    model = pair_model(spark, sf_dir)
+    await_stream(*score_stream(replay_messages(spark, inbox, SLICE_FILES), options, model))
+    return options
+
+
+def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     alert = T.StructType(
         [
-            *LINE_MESSAGE.fields,
+            *PAIR_MESSAGE.fields,
             T.StructField("total_bytes", T.DoubleType()),
             T.StructField("alert_text", T.StringType()),
             T.StructField("batch", T.LongType()),
         ]
     )
-    return scan_json(spark, out, alert)
+    return scan_json(spark, alert_stream(spark, sf_dir).alert_path, alert)
+
+
+def stream_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = T.StructType([T.StructField(c, T.LongType()) for c in ("batch", "rows", "anomalies")])
+    return scan_json(spark, alert_stream(spark, sf_dir).report_path, counts)
 
 
 # --- the model
@@ -475,9 +600,9 @@ def forest_train(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def forest_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = feat.assemble(line_messages(spark, sf_dir), LINE_FEATURES)
-    model = line_model(spark, sf_dir)
-    soft = score(lines, model).select("line_id", "features", F.col("prediction").alias("soft"))
+    pairs = feat.assemble(pair_messages(spark, sf_dir), PAIR_FEATURES)
+    model = pair_model(spark, sf_dir)
+    soft = score(pairs, model).select("line_id", "features", F.col("prediction").alias("soft"))
     both = score(soft, model, "hard").withColumnRenamed("prediction", "hard")
     source = F.substring_index("line_id", ":", 1).alias("source")
     return both.groupBy(source).agg(
@@ -488,34 +613,47 @@ def forest_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Publish twice, fail a third time, then score with whatever is current."""
-    lines = with_row_id(line_features(spark, sf_dir), None, "line_id")
-    records = materialize(lines, "records")
+    """Publish twice, fail a third time, then score with whatever is current: only the second finds these odd."""
+    pairs, shifted = event_pairs(spark, sf_dir), event_pairs(spark, sf_dir, 4)
     root = fresh_folder(spark, "model")
-    small = ForestSettings(trees=4, max_depth=5)
-    options = TrainingOptions(LINE_FEATURES, ["line_id"], seed=SEED, forest=small)
-    train_and_publish(records, options, root, "1")
-    train_and_publish(records, options._replace(seed=SEED + 1), root, "2")
+    small = ForestSettings(trees=5, max_depth=12)
+    options = TrainingOptions(PAIR_FEATURES, ["event_id"], fraction=1.0, seed=SEED, forest=small)
+    train_and_publish(pairs, options, root, "1")
+    train_and_publish(shifted, options, root, "2")
     try:
-        train_and_publish(records.drop("charge"), options, root, "3")
+        train_and_publish(pairs.drop("triple"), options, root, "3")
     except Exception:  # the column is missing on purpose
         pass
-    scored = score_table(records, load_published(spark, root), LINE_FEATURES)
-    rows = scored.filter(F.col("prediction").isin(0.0, 1.0)).agg(F.count(F.lit(1)).alias("rows"))
+    scored = score_table(pairs, load_published(spark, root), PAIR_FEATURES)
+    rows = count_flagged(scored).select("rows", "anomalies")
     return rows.withColumn("version", F.lit(current_version(spark, root)))
 
 
 def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row gets exactly one prediction, by either vote."""
-    model = line_model(spark, sf_dir, ForestSettings(trees=4, max_depth=5))
-    lines = line_features(spark, sf_dir, "l_returnflag")
-    soft = score_table(lines, model, LINE_FEATURES).withColumnRenamed("prediction", "soft")
+    """Every row's prediction, by either vote."""
+    model = pair_model(spark, sf_dir)
+    soft = score_table(pair_messages(spark, sf_dir), model, PAIR_FEATURES).withColumnRenamed("prediction", "soft")
     both = score(soft.drop("rawPrediction", "probability"), model, "hard")
-    return both.groupBy("l_returnflag").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(F.col("soft").isin(0.0, 1.0)).alias("soft_rows"),
-        F.count_if(F.col("prediction").isin(0.0, 1.0)).alias("hard_rows"),
+    return both.select("line_id", *PAIR_FEATURES, "soft", F.col("prediction").alias("hard"))
+
+
+def site_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One model of all sites' records scores the records of the sites that are in service."""
+    messages = pair_messages(spark, sf_dir)
+    site = F.concat(F.lit("site"), (F.col("digit") % PAIR_SITES).cast("int"))
+    day = F.concat(F.lit("2024-01-0"), (F.col("digit") % 2 + 1).cast("int"))
+    root = fresh_folder(spark, "sites")
+    land_table(
+        messages.select(to_message(messages.columns).alias("value"), day.alias("date"), site.alias("site")), root
     )
+    landed = scan_sites(spark, root, PAIR_MESSAGE)
+    real = landed.filter(F.col("line_id").startswith("real:"))
+    options = TrainingOptions(PAIR_FEATURES, ["line_id"], fraction=1.0, seed=SEED)
+    models = fresh_folder(spark, "model")
+    train_and_publish(real, options, models, "1")
+    registry = materialize(landed.select("site").distinct().withColumn("on", F.col("site") != "site1"), "registry")
+    scored = score_sites(landed, registry.filter("on"), load_published(spark, models), PAIR_FEATURES)
+    return count_flagged(scored, ["site"])
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -535,6 +673,7 @@ QUERIES = {
     "kafka_encode": kafka_encode,
     "enrich_sum": enrich_sum,
     "vector_columns": vector_columns,
+    "vectors_only": vectors_only,
     "explode_vector": explode_vector,
     "label_index": label_index,
     "labeled_points": labeled_points,
@@ -554,13 +693,19 @@ QUERIES = {
     "anomaly_filter": anomaly_filter,
     "alerts_first5": alerts_first5,
     "batch_counts": batch_counts,
+    "empty_counts": empty_counts,
     "stream_enrich": stream_enrich,
+    "stream_landing": stream_landing,
     "stream_dedupe": stream_dedupe,
+    "stream_dedupe_state": stream_dedupe_state,
     "stream_max_batches": stream_max_batches,
     "landing_compact": landing_compact,
+    "compact_date": compact_date,
     "stream_alerts": stream_alerts,
+    "stream_report": stream_report,
     "forest_train": forest_train,
     "forest_score": forest_score,
     "model_publish": model_publish,
     "scored_rows": scored_rows,
+    "site_scores": site_scores,
 }

@@ -3,9 +3,19 @@
 from __future__ import annotations
 
 from strayrow.functions.expressions import ALERT_TEXT
-from strayrow.functions.hashing import NULL_TEXT, ORDER_TAG, UNIFORM_STEPS, UNIFORM_TAG
+from strayrow.functions.hashing import ORDER_TAG, UNIFORM_STEPS, UNIFORM_TAG
 from strayrow.functions.poisson import poisson_thresholds
-from strayrow.plans.catalogue import EVENT_FEATURES, FRACTION, SEED, VECTOR_WIDTH
+from strayrow.plans.catalogue import (
+    EVENT_FEATURES,
+    FRACTION,
+    LANDED_BYTES,
+    LANDED_FILES,
+    PAIR_DIGITS,
+    PAIR_FEATURES,
+    PAIR_SITES,
+    SEED,
+    VECTOR_WIDTH,
+)
 
 EVENT_K = "CAST(json_extract(props, '$.k') AS BIGINT)"
 FLAGGED = """
@@ -15,8 +25,8 @@ FROM events"""
 
 
 def row_text(columns: list[str]) -> str:
-    parts = [f"coalesce(CAST({c} AS VARCHAR), '{NULL_TEXT}')" for c in columns]
-    return f"concat_ws('|', {', '.join(parts)})"
+    parts = [f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), 'n')" for c in columns]
+    return f"concat({', '.join(parts)})"
 
 
 def text_hash(text: str) -> str:
@@ -71,22 +81,22 @@ def with_row_hash(source: str, key: str | None) -> str:
     return f"SELECT *, key_mix // 16 AS row_hash FROM ({mixed(source, [key], 'key_mix')})"
 
 
-def with_uniform(source: str, key: str | None) -> str:
+def with_uniform(source: str, key: str | None, seed: int = SEED) -> str:
     """``source`` (feature, ...) with the hash of the row and the uniform of the feature."""
-    numbers = ["row_hash", f"{SEED}", "feature", f"{UNIFORM_TAG}"]
+    numbers = ["row_hash", f"{seed}", "feature", f"{UNIFORM_TAG}"]
     hashed = mixed(with_row_hash(source, key), numbers, "uniform")
     return f"SELECT *, uniform // 4096 AS u FROM ({hashed})"
 
 
-def with_order(source: str) -> str:
-    numbers = ["row_hash", f"{SEED}", "feature", "draw", f"{ORDER_TAG}"]
+def with_order(source: str, seed: int = SEED) -> str:
+    numbers = ["row_hash", f"{seed}", "feature", "draw", f"{ORDER_TAG}"]
     return f"SELECT *, mixture // 16 AS place_hash FROM ({mixed(source, numbers, 'mixture')})"
 
 
-def covering_draws(source: str, wanted: str, key: str | None) -> str:
+def covering_draws(source: str, wanted: str, key: str | None, seed: int = SEED) -> str:
     """CTEs from ``source`` (feature, payload...) to its draws."""
     return f"""
-source AS ({with_uniform(source, key)}),
+source AS ({with_uniform(source, key, seed)}),
 size AS (SELECT count(*) AS n, {wanted} AS m FROM source WHERE feature = 0),
 rate AS (SELECT m, (m + 7.5 * sqrt(m) + 40.0) / n AS rate FROM size),
 cdf AS (
@@ -96,7 +106,7 @@ cdf AS (
 drawn AS (
   SELECT s.*, k AS draw
   FROM source s JOIN cdf ON CAST(u AS BIGINT) >= step AND step < {UNIFORM_STEPS} - 1),
-ordered AS ({with_order('SELECT * FROM drawn')})"""
+ordered AS ({with_order('SELECT * FROM drawn', seed)})"""
 
 
 def long_form(columns: dict[str, str], key: str, source: str) -> str:
@@ -106,10 +116,12 @@ def long_form(columns: dict[str, str], key: str, source: str) -> str:
     )
 
 
-def resampled(long: str, key: str, names: list[str], mode: str, fraction: float) -> str:
+def resampled(
+    long: str, key: str, names: list[str], mode: str, fraction: float, seed: int = SEED
+) -> str:
     """CTEs up to ``synthetic``: the marginal resample of a long-form source."""
     if mode == "exact":
-        ctes = covering_draws(long, f"floor({fraction} * count(*) + 1e-9)", key)
+        ctes = covering_draws(long, f"floor({fraction} * count(*) + 1e-9)", key, seed)
         condition = "AND position < (SELECT m FROM rate)"
     else:
         drawn = f"SELECT *, unnest(range({repeats('u')})) AS draw FROM ({with_uniform(long, key)})"
@@ -166,6 +178,22 @@ FROM embeddings"""
 _events_by_id = f"SELECT event_id, value, {EVENT_K} AS k, user_id, 0 AS feature FROM events"
 _event_uuid = f"md5(concat_ws('|', CAST(sequence_id AS VARCHAR), {row_text(STAMPED)}))"
 
+# What a forest learns of pairs that always fit together: 0 for those that don't.
+PAIRS = {"digit": f"user_id % {PAIR_DIGITS}", "triple": f"(user_id % {PAIR_DIGITS}) * 3 + 1"}
+_pair_resample = resampled(
+    long_form(PAIRS, "event_id", "events"), "event_id", PAIR_FEATURES, "exact", 1.0, SEED + 1
+)
+PAIR_MESSAGES = f"""{_pair_resample},
+messages AS (
+  SELECT 'real' AS source, 'real:' || {row_text(['event_id'])} AS line_id,
+         CAST({PAIRS['digit']} AS DOUBLE) AS digit, CAST({PAIRS['triple']} AS DOUBLE) AS triple
+  FROM events
+  UNION ALL SELECT 'synthetic', 'synthetic:' || CAST(row_no AS VARCHAR), digit, triple FROM synthetic),
+scored AS (
+  SELECT *, CASE WHEN triple = 3 * digit + 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS vote,
+         CAST(digit AS BIGINT) % {PAIR_SITES} AS slice
+  FROM messages)"""
+
 ORACLES = {
     "csv_declared_scan": """
 SELECT CAST(l_orderkey AS DOUBLE) AS l_orderkey, CAST(l_partkey AS DOUBLE) AS l_partkey,
@@ -203,6 +231,7 @@ SELECT l_orderkey, l_linenumber, nullif(l_discount, 0) AS discount, l_extendedpr
        nullif(l_discount, 0) + l_extendedprice AS total
 FROM lineitem""",
     "vector_columns": "SELECT event_id, value, CAST(user_id AS DOUBLE) AS user_id FROM events",
+    "vectors_only": "SELECT value, CAST(user_id AS DOUBLE) AS user_id FROM events",
     "explode_vector": """
 SELECT vec_id, CAST(unnest(range(len(embedding))) AS INT) AS feature,
        CAST(unnest(embedding) AS DOUBLE) AS value
@@ -282,6 +311,54 @@ WHERE place <= 5""",
 SELECT batch, count(*) AS rows, count(*) FILTER (WHERE prediction <= 0) AS anomalies,
        FALSE AS empty
 FROM ({FLAGGED}) GROUP BY batch""",
+    "empty_counts": """
+SELECT count(*) AS rows, count(*) AS anomalies, count(*) = 0 AS empty FROM events WHERE value < 0""",
+    "stream_landing": """
+SELECT event_id, replace(CAST(ts AS VARCHAR), ' ', 'T') AS utc, user_id, event_type, value,
+       value + user_id AS total_bytes, 'site' || CAST(user_id % 2 AS VARCHAR) AS site
+FROM events""",
+    "stream_dedupe_state": """
+SELECT count(*) AS keys FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 4 DAY""",
+    "compact_date": f"""
+WITH lines AS (
+  SELECT concat_ws(' ', event_id, event_type, props) AS value, CAST(CAST(ts AS DATE) AS VARCHAR) AS date,
+         'site' || CAST(user_id % 2 AS VARCHAR) AS site
+  FROM events),
+size AS (
+  SELECT greatest({LANDED_BYTES}, sum(strlen(value) + 1) // {LANDED_FILES}) AS file_bytes, max(date) AS last
+  FROM lines),
+landed AS (
+  SELECT * FROM lines
+  UNION ALL SELECT 'late ' || value, date, site FROM lines WHERE date = (SELECT last FROM size)),
+folders AS (
+  SELECT date, site, count(*) AS rows, sum(strlen(value) + 1) AS bytes FROM landed GROUP BY date, site),
+counted AS (
+  SELECT *, CAST(greatest(1, round(CAST(bytes AS DOUBLE) / file_bytes)) AS BIGINT) AS files
+  FROM folders, size)
+SELECT date, site, rows, files, CAST(0 AS BIGINT) AS large_files,
+       CAST(bytes < 0.5 * file_bytes AS BIGINT) AS small_files,
+       CASE WHEN date = last THEN files ELSE 0 END AS new_files
+FROM counted""",
+    "stream_alerts": f"""
+WITH {PAIR_MESSAGES},
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY slice ORDER BY line_id) AS place FROM scored WHERE vote = 0)
+SELECT line_id, digit, triple, digit + triple AS total_bytes, '{ALERT_TEXT}' AS alert_text, slice AS batch
+FROM placed WHERE place <= 5""",
+    "stream_report": f"""
+WITH {PAIR_MESSAGES}
+SELECT slice AS batch, count(*) AS rows, count(*) FILTER (WHERE vote = 0) AS anomalies
+FROM scored GROUP BY slice""",
+    "forest_score": f"""
+WITH {PAIR_MESSAGES}
+SELECT source, count(*) AS rows, count(*) FILTER (WHERE vote = 0) AS soft_anomalies,
+       count(*) FILTER (WHERE vote = 0) AS hard_anomalies
+FROM scored GROUP BY source""",
+    "site_scores": f"""
+WITH {PAIR_MESSAGES}
+SELECT 'site' || CAST(slice AS VARCHAR) AS site, count(*) AS rows,
+       count(*) FILTER (WHERE vote = 0) AS anomalies, FALSE AS empty
+FROM scored WHERE slice <> 1 GROUP BY slice""",
     "stream_enrich": """
 SELECT event_id, replace(CAST(ts AS VARCHAR), ' ', 'T') AS utc, user_id, event_type, value,
        value + user_id AS total_bytes
@@ -295,8 +372,9 @@ WHERE floor((event_id - low) * 4 / (high - low + 1)) < 2""",
 SELECT event_id, replace(CAST(ts AS VARCHAR), ' ', 'T') AS utc, user_id, event_type, value,
        CAST(CAST(ts AS DATE) AS VARCHAR) AS date, 'site' || CAST(user_id % 2 AS VARCHAR) AS site
 FROM events""",
-    "model_publish": "SELECT count(*) AS rows, '2' AS version FROM lineitem",
-    "scored_rows": """
-SELECT l_returnflag, count(*) AS rows, count(*) AS soft_rows, count(*) AS hard_rows
-FROM lineitem GROUP BY l_returnflag""",
+    "model_publish": f"""
+SELECT count(*) AS rows, count(*) FILTER (WHERE user_id % {PAIR_DIGITS} > 0) AS anomalies, '2' AS version
+FROM events""",
+    "scored_rows": f"""
+WITH {PAIR_MESSAGES} SELECT line_id, digit, triple, vote AS soft, vote AS hard FROM scored""",
 }

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from strayrow.operators.alerts import ALERTS_PER_BATCH, anomalies, first_alerts
 from strayrow.operators.features import assemble
@@ -32,3 +33,26 @@ def alert_records(
 ) -> DataFrame:
     """The first anomalies of a table, as alert records."""
     return first_alerts(anomalies(score_table(records, model, columns)), order, limit)
+
+
+#: Up to so many sites are broadcast, which lets Spark skip the other sites' directories.
+MAX_BROADCAST_SITES = 100_000
+
+
+def score_sites(
+    landed: DataFrame,
+    sites: DataFrame,
+    model: RandomForestClassificationModel,
+    columns: Sequence[str],
+    vote: str = "soft",
+    handle_invalid: str = "error",
+) -> DataFrame:
+    """Score the records of the given sites (column ``site``) with the model all sites share.
+
+    ``landed`` is a scan of a ``date=/site=`` tree. The sites are a table, whatever query it comes from:
+    the directories of other sites are pruned when the job runs, not read and dropped.
+    """
+    wanted = sites.select("site").where(F.col("site").isNotNull()).distinct()
+    if wanted.count() <= MAX_BROADCAST_SITES:
+        wanted = F.broadcast(wanted)
+    return score_table(landed.join(wanted, "site"), model, columns, vote, handle_invalid)

@@ -51,6 +51,13 @@ def test_sizes_are_counted_without_reading_values(spark, wide):
     assert any("ReadSchema: struct<id:bigint>" in line for line in scans)
 
 
+def test_draws_are_counted_without_reading_features(spark, wide):
+    table, columns = wide
+    text = plan(marginal_resample(table, columns, 0.1, 1, ["id"], rows=2000))
+    schemas = [line.split("ReadSchema: ")[1] for line in text.splitlines() if "FileScan" in line]
+    assert len(schemas) == 2 and "struct<id:bigint>" in schemas
+
+
 def test_a_sample_has_no_shuffle(spark, wide):
     table, _ = wide
     text = plan(poisson_sample(table.select("id", "f0"), 0.1, 1, ["id"]))
