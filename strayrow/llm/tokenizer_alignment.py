@@ -6,6 +6,9 @@ that end inside one character, parts of a multibyte character or byte-fallback t
 are told apart by their decoded bytes, counted back from the character's end. Where both have a cut, the
 text falls into groups.
 
+Both tokenizers read words apart, with the space before them, so a text is cut there and every different
+word is tokenized and aligned once a task; what a document has of each word is put together again.
+
 How often two ids are linked over the whole corpus comes back to the documents by blocks: a block of
 neighbouring texts is one list of different id pairs, summed and looked up once, however often its
 documents hold them. Texts are tokenized once; links are kept as places in their block's list.
@@ -31,11 +34,13 @@ from strayrow.llm import bytetext as bt
 from strayrow.workspace import materialize
 
 #: Text bytes read at once, and of a block whose id pairs are listed together.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 4 << 20
 BLOCK_BYTES = 8 << 20
-#: Long texts are tokenized in parts of about so many characters, cut where neither tokenizer joins.
-PART_CHARS = 1 << 16
-_CUT = re.compile("(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
+#: Words a Python worker remembers, and their bytes; it starts afresh beyond that.
+MAX_WORDS = 500_000
+MAX_WORD_BYTES = 32 << 20
+#: A single space between no space and a letter or digit: neither tokenizer joins what stands before and after.
+_CUT = re.compile(r"(?<=\S) (?=[^\W_])")
 
 
 class Vocabulary:
@@ -97,7 +102,7 @@ class PieceTokens:
         )
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[tuple[int, int]]]]:
-        found = [self.model.encode_as_offset_mapping(t) for t in texts]
+        found = self.model.encode(texts, return_type="offset_mapping", num_threads=1)
         return [e["ids"] for e in found], [e["offsets"] for e in found]
 
 
@@ -106,18 +111,6 @@ def tokenizers(a_path: str, b_path: str) -> tuple[ByteTokens, PieceTokens]:
     return ByteTokens(a_path), PieceTokens(b_path)
 
 
-def parts(text: str, size: int) -> list[str]:
-    """The text cut at single spaces between ASCII letters or digits, which are left out, every ``size`` characters."""
-    found, start = [], 0
-    while len(text) - start > size:
-        cut = _CUT.search(text, start + size)
-        if cut is None:
-            break
-        found.append(text[start : cut.start()])
-        start = cut.end()
-    return [*found, text[start:]]
-
-
 def byte_ends(starts: np.ndarray, ends: np.ndarray, chars: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Where tokens end, in bytes, given their spans in characters, the characters' first bytes and the tokens' sizes.
 
@@ -134,7 +127,7 @@ def byte_ends(starts: np.ndarray, ends: np.ndarray, chars: np.ndarray, sizes: np
 
 
 class Encoded:
-    """Tokens of one tokenizer over the parts of a slice of texts, as far as their bytes are those of the parts."""
+    """One tokenizer's tokens of many texts, as far as their bytes are those of the texts with a space before."""
 
     def __init__(self, tokens, texts: list[str], shift: int, joined: np.ndarray, edges: np.ndarray, chars: np.ndarray, firsts: np.ndarray):
         ids, spans = tokens.encode(texts)
@@ -176,42 +169,31 @@ def _numbers(limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 _written = lru_cache(maxsize=2)(_numbers)
 
 
-class Slice:
-    """A slice of texts, aligned: tokens, groups and links of each."""
+class Aligned:
+    """Texts with a space before, aligned: their tokens, groups and links, and the groups written out.
+
+    ``pairs`` has the links of all texts, text by text; ``written`` is ``;a1,a2|b1;a3|b2,b3`` for each text.
+    """
 
-    def __init__(self, texts: list[str | None], a: ByteTokens, b: PieceTokens, part_chars: int):
-        cut = [(row, p) for row, t in enumerate(texts) if t for p in (parts(t, part_chars) if b.words else [t])]
-        rows, pieces = np.array([r for r, _ in cut], np.int64), [p for _, p in cut]
-        joined = np.frombuffer("".join(f" {p}" for p in pieces).encode(), np.uint8)
-        sizes = np.array([len(p.encode()) + 1 for p in pieces], np.int64)
-        edges = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    def __init__(self, texts: list[str], a: ByteTokens, b: PieceTokens):
+        joined = np.frombuffer("".join(f" {t}" for t in texts).encode(), np.uint8)
+        edges = np.cumsum([0, *(len(t.encode()) + 1 for t in texts)], dtype=np.int64)
         chars = np.append(np.flatnonzero((joined & 0xC0) != 0x80), len(joined))
-        firsts = np.concatenate([[0], np.cumsum([len(p) + 1 for p in pieces])]).astype(np.int64)
-        where = (joined, edges, chars, firsts)
-        found = (Encoded(a, pieces, 0, *where), Encoded(b, pieces, 1, *where)) if pieces else ()
+        firsts = np.cumsum([0, *(len(t) + 1 for t in texts)], dtype=np.int64)
+        left = Encoded(a, texts, 0, joined, edges, chars, firsts)
+        right = Encoded(b, texts, 1, joined, edges, chars, firsts)
+        self.good = left.good & right.good
+        for x in (left, right):
+            x.take(self.good[x.owner])
         n = len(texts)
-        good = np.zeros(n, bool)
-        good[rows] = True
-        for x in found:
-            good[rows[~x.good]] = False
-        for x in found:
-            x.take(good[rows[x.owner]])
-            x.owner = rows[x.owner]
-        if not found:
-            none = np.zeros(0, np.int64)
-            self.n_a = self.n_b = self.n_groups = np.zeros(n, np.int64)
-            self.pairs, self.digests = none, [""] * n
-            return
-        left, right = found
         shared = np.intersect1d(left.ends, right.ends, assume_unique=True)
         ends_a, ends_b = np.searchsorted(left.ends, shared), np.searchsorted(right.ends, shared)
-        self.n_a, self.n_b = (np.bincount(x.owner, minlength=n) for x in found)
+        self.n_a, self.n_b = np.bincount(left.owner, minlength=n), np.bincount(right.owner, minlength=n)
         self.n_groups = np.bincount(left.owner[ends_a], minlength=n)
         self.pairs = left.ids[ends_a] * len(b.vocabulary.sizes) + right.ids[ends_b]
-        self.digests = self._digests(left, right, shared, good, len(a.vocabulary.sizes), len(b.vocabulary.sizes))
+        self.written = self._written(left, right, shared, max(len(a.vocabulary.sizes), len(b.vocabulary.sizes)))
 
-    def _digests(self, left: Encoded, right: Encoded, shared: np.ndarray, good: np.ndarray, n_a: int, n_b: int) -> list[str]:
-        """SHA-256 of ``a1,a2|b1;a3|b2,b3``, ids in order, for each text."""
+    def _written(self, left: Encoded, right: Encoded, shared: np.ndarray, limit: int) -> list[bytes]:
         group_a, group_b = np.searchsorted(shared, left.ends), np.searchsorted(shared, right.ends)
         count = len(shared)
         before_a = np.concatenate([[0], np.cumsum(np.bincount(group_a, minlength=count))])
@@ -224,17 +206,91 @@ class Slice:
         ids[place_a], ids[place_b] = left.ids, right.ids
         marks[place_a[before_a[:-1]]] = ord(";")
         marks[place_b[before_b[:-1]]] = ord("|")
-        data, starts, sizes = _written(max(n_a, n_b))
+        data, starts, sizes = _numbers(limit)
         lengths = sizes[ids]
         text = data[bt.expand(starts[ids], lengths)]
         at = np.concatenate([[0], np.cumsum(lengths)])
         text[at[:-1]] = marks
-        edges = np.concatenate([[0], np.cumsum(self.n_a + self.n_b)])
-        spans = zip(at[edges[:-1]].tolist(), at[edges[1:]].tolist(), good.tolist(), strict=True)
-        return [hashlib.sha256(text[s + 1 : e].data).hexdigest() if ok else "" for s, e, ok in spans]
+        cuts = at[np.cumsum([0, *(self.n_a + self.n_b)])].tolist()
+        whole = text.tobytes()
+        return [whole[s:e] for s, e in zip(cuts, cuts[1:], strict=False)]
+
+
+@lru_cache(maxsize=2)
+def _numbers(limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, sizes) of ``;n``, of all numbers below ``limit``; the first byte is a mark to be set."""
+    written = [b";%d" % n for n in range(limit)]
+    sizes = np.array([len(w) for w in written], np.int64)
+    return np.frombuffer(b"".join(written), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+
+class Words:
+    """Words aligned so far, numbered; texts are put together from them."""
+
+    def __init__(self, a: ByteTokens, b: PieceTokens):
+        self.a, self.b = a, b
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.written: list[bytes] = []
+        self.bytes = 0
+        none = np.zeros(0, np.int64)
+        self.good = np.zeros(0, bool)
+        self.n_a = self.n_b = self.n_groups = self.pairs = none
+
+    def learn(self, words: list[str]) -> None:
+        found = Aligned(words, self.a, self.b)
+        start = len(self.numbers)
+        self.numbers.update(zip(words, range(start, start + len(words)), strict=True))
+        self.written += found.written
+        self.bytes += sum(map(len, words)) + sum(map(len, found.written))
+        for name in ("good", "n_a", "n_b", "n_groups", "pairs"):
+            setattr(self, name, np.concatenate([getattr(self, name), getattr(found, name)]))
+
+    def align(self, texts: list[str | None]) -> Texts:
+        if len(self.numbers) > MAX_WORDS or self.bytes > MAX_WORD_BYTES:
+            self.forget()
+        cut = [(_CUT.split(t) if self.b.words else [t]) if t else [] for t in texts]
+        words = list(chain.from_iterable(cut))
+        new = [w for w in dict.fromkeys(words) if w not in self.numbers]
+        if new:
+            self.learn(new)
+        number = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        return Texts(self, number, np.cumsum([0, *map(len, cut)], dtype=np.int64))
+
+
+class Texts:
+    """Texts as runs of words: their tokens, groups, links and digests. A text with a word that fails has none."""
+
+    def __init__(self, words: Words, number: np.ndarray, edges: np.ndarray):
+        n = len(edges) - 1
+        owner = np.repeat(np.arange(n), np.diff(edges))
+        failed = np.bincount(owner, ~words.good[number], n) > 0
+        kept = ~failed[owner]
+        number, owner = number[kept], owner[kept]
+
+        def total(of: np.ndarray) -> np.ndarray:
+            return np.bincount(owner, of[number], n).astype(np.int64)
+
+        self.n_a, self.n_b, self.n_groups = total(words.n_a), total(words.n_b), total(words.n_groups)
+        starts = np.cumsum(words.n_groups) - words.n_groups
+        self.pairs = words.pairs[bt.expand(starts[number], words.n_groups[number])]
+        ends = np.searchsorted(owner, np.arange(n + 1))
+        said = list(map(words.written.__getitem__, number.tolist()))
+        self.digests = [
+            hashlib.sha256(b"".join(said[s:e])[1:]).hexdigest() if e > s else ""
+            for s, e in zip(ends.tolist(), ends[1:].tolist(), strict=False)
+        ]
+
+
+@lru_cache(maxsize=1)
+def remembered(a_path: str, b_path: str) -> Words:
+    """The words a Python worker has aligned in any of its tasks."""
+    return Words(*tokenizers(a_path, b_path))
 
 
-def encoded(texts: DataFrame, a_path: str, b_path: str, part_chars: int = PART_CHARS) -> DataFrame:
+def encoded(texts: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """A row a text: (block, doc_id, n_a, n_b, n_groups, groups_sha256, links), a block's first also with its list.
 
     ``links`` are places in the block's ``pairs``, whose ``counts`` are the links of the block. A pair is
@@ -254,7 +310,7 @@ def encoded(texts: DataFrame, a_path: str, b_path: str, part_chars: int = PART_C
         ]
     )
 
-    def block(number: int, batches: list[pa.RecordBatch], found: list[Slice]) -> pa.RecordBatch:
+    def block(number: int, batches: list[pa.RecordBatch], found: list[Texts]) -> pa.RecordBatch:
         pairs = np.concatenate([x.pairs for x in found])
         listed, places, counts = np.unique(pairs, return_inverse=True, return_counts=True)
         groups = np.concatenate([x.n_groups for x in found])
@@ -276,13 +332,13 @@ def encoded(texts: DataFrame, a_path: str, b_path: str, part_chars: int = PART_C
         )
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = tokenizers(a_path, b_path)
+        words = remembered(a_path, b_path)
         number = TaskContext.get().partitionId() << 32
         held, found, size = [], [], 0
         for batch in bt.slices(batches, "text", SLICE_BYTES):
             column = batch.column("text")
             held.append(batch.select(["doc_id"]))
-            found.append(Slice(column.to_pylist(), a, b, part_chars))
+            found.append(words.align(column.to_pylist()))
             size += column.nbytes
             if size >= BLOCK_BYTES:
                 yield block(number, held, found)
@@ -299,7 +355,6 @@ def align(
     b_path: str,
     id_column: str = "doc_id",
     text_column: str = "text",
-    part_chars: int = PART_CHARS,
 ) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256), a row for each row of ``docs``.
 
@@ -308,10 +363,10 @@ def align(
     texts, and texts that the tokens' bytes do not give back (the piece model rewrites some characters),
     have no tokens: zeros and an empty ``groups_sha256``. Special tokens in texts are plain text. Rows of
     one id, or none, stay rows of their own; other columns are not read; an empty table gives an empty
-    result. A text is tokenized in one task, in parts where it holds single spaces.
+    result. A text is read in one task.
     """
     texts = docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text"))
-    rows = materialize(encoded(texts, a_path, b_path, part_chars), "aligned-texts")
+    rows = materialize(encoded(texts, a_path, b_path), "aligned-texts")
     _, b = tokenizers(a_path, b_path)
     modulus = F.lit(len(b.vocabulary.sizes))
     listed = rows.where(F.size("pairs") > 0).select(

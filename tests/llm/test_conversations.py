@@ -234,6 +234,7 @@ TEXTS = [
     (None, "the same the same"),
     (10, "a\x00b \x7f​"),
     (11, "  lead and trail  "),
+    (12, "one. Two, (three) – vier  fünf \u0301x a\u200b b c\u00a0d e\tf 1 2 3.5 a_b _c d_ e' s 't x\u0301 y"),
 ]
 
 
@@ -283,13 +284,14 @@ def aligned(rows):
         yield doc, len(x), len(y), len(groups), len(links), best, sum(counts[link] for link in links), digest
 
 
-@pytest.mark.parametrize("part", [tokenizer_alignment.PART_CHARS, 12])
-def test_alignment_as_by_brute_force(spark, monkeypatch, part):
-    if part == 12:
-        monkeypatch.setattr(tokenizer_alignment, "BLOCK_BYTES", 64)
+@pytest.mark.parametrize("size", [tokenizer_alignment.BLOCK_BYTES, 64])
+def test_alignment_as_by_brute_force(spark, monkeypatch, size):
+    monkeypatch.setattr(tokenizer_alignment, "BLOCK_BYTES", size)
+    monkeypatch.setattr(tokenizer_alignment, "SLICE_BYTES", size)
+    monkeypatch.setattr(tokenizer_alignment, "MAX_WORDS", size)
     table = spark.createDataFrame([(*r, 1, 2) for r in TEXTS], "doc_id long, text string, pairs int, block int")
     paths = tokenizer_path(COUNT_TOKENIZER), tokenizer_path(PIECES)
-    got = tokenizer_alignment.align(table, *paths, part_chars=part).collect()
+    got = tokenizer_alignment.align(table, *paths).collect()
     assert Counter(map(tuple, got)) == Counter(aligned(TEXTS))
     assert tokenizer_alignment.align(table.limit(0), *paths).count() == 0
 
