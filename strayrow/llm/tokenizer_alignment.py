@@ -34,13 +34,18 @@ from strayrow.llm import bytetext as bt
 from strayrow.workspace import materialize
 
 #: Text bytes read at once, and of a block whose id pairs are listed together.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 BLOCK_BYTES = 8 << 20
-#: Words a Python worker remembers, and their bytes; it starts afresh beyond that.
-MAX_WORDS = 500_000
+#: Words a Python worker remembers, and their bytes; beyond that it forgets those met least often.
+MAX_WORDS = 400_000
 MAX_WORD_BYTES = 32 << 20
+#: Words tokenized at once: the libraries give objects of 1 to 2 KB for each.
+NEW_WORDS = 10_000
 #: A single space between no space and a letter or digit: neither tokenizer joins what stands before and after.
 _CUT = re.compile(r"(?<=\S) (?=[^\W_])")
+_WORD = re.compile(r"[^\W_](.*\S)?", re.DOTALL)
+#: New words that are given to the tokenizers as one text.
+JOINED = 100
 
 
 class Vocabulary:
@@ -170,22 +175,35 @@ _written = lru_cache(maxsize=2)(_numbers)
 
 
 class Aligned:
-    """Texts with a space before, aligned: their tokens, groups and links, and the groups written out.
+    """Words with a space before, aligned: their tokens, groups and links, and the groups written out.
 
-    ``pairs`` has the links of all texts, text by text; ``written`` is ``;a1,a2|b1;a3|b2,b3`` for each text.
+    ``joined`` words that may stand beside others are tokenized together; those of a text that fails have
+    no tokens and are not ``good``. ``pairs`` has the links of all words, word by word; ``written`` is
+    ``;a1,a2|b1;a3|b2,b3`` for each.
     """
 
-    def __init__(self, texts: list[str], a: ByteTokens, b: PieceTokens):
-        joined = np.frombuffer("".join(f" {t}" for t in texts).encode(), np.uint8)
-        edges = np.cumsum([0, *(len(t.encode()) + 1 for t in texts)], dtype=np.int64)
-        chars = np.append(np.flatnonzero((joined & 0xC0) != 0x80), len(joined))
-        firsts = np.cumsum([0, *(len(t) + 1 for t in texts)], dtype=np.int64)
-        left = Encoded(a, texts, 0, joined, edges, chars, firsts)
-        right = Encoded(b, texts, 1, joined, edges, chars, firsts)
-        self.good = left.good & right.good
-        for x in (left, right):
-            x.take(self.good[x.owner])
-        n = len(texts)
+    def __init__(self, words: list[str], a: ByteTokens, b: PieceTokens, joined: int = JOINED):
+        plain = [w for w in words if b.words and _WORD.fullmatch(w)]
+        kept = set(plain)
+        self.words = plain + [w for w in words if w not in kept]
+        cuts = np.array([*range(0, len(plain), joined), *range(len(plain), len(words) + 1)], np.int64)
+        texts = [" ".join(self.words[s:e]) for s, e in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
+        buffer = np.frombuffer("".join(f" {w}" for w in self.words).encode(), np.uint8)
+        edges = np.cumsum([0, *(len(w.encode()) + 1 for w in self.words)], dtype=np.int64)
+        chars = np.append(np.flatnonzero((buffer & 0xC0) != 0x80), len(buffer))
+        firsts = np.cumsum([0, *(len(w) + 1 for w in self.words)], dtype=np.int64)
+        sides = [Encoded(x, texts, shift, buffer, edges[cuts], chars, firsts[cuts]) for shift, x in enumerate((a, b))]
+        good = sides[0].good & sides[1].good
+        # Both must end where a word does.
+        of_word = np.repeat(np.arange(len(texts)), np.diff(cuts))
+        whole = np.isin(edges[1:], sides[0].ends) & np.isin(edges[1:], sides[1].ends)
+        good[of_word[~whole]] = False
+        for x in sides:
+            x.take(good[x.owner])
+            x.owner = np.searchsorted(edges, x.ends) - 1
+        left, right = sides
+        self.good = good[of_word]
+        n = len(words)
         shared = np.intersect1d(left.ends, right.ends, assume_unique=True)
         ends_a, ends_b = np.searchsorted(left.ends, shared), np.searchsorted(right.ends, shared)
         self.n_a, self.n_b = np.bincount(left.owner, minlength=n), np.bincount(right.owner, minlength=n)
@@ -229,34 +247,49 @@ class Words:
 
     def __init__(self, a: ByteTokens, b: PieceTokens):
         self.a, self.b = a, b
-        self.forget()
-
-    def forget(self) -> None:
         self.numbers: dict[str, int] = {}
         self.written: list[bytes] = []
         self.bytes = 0
-        none = np.zeros(0, np.int64)
         self.good = np.zeros(0, bool)
-        self.n_a = self.n_b = self.n_groups = self.pairs = none
+        self.n_a = self.n_b = self.n_groups = self.pairs = self.met = np.zeros(0, np.int64)
+
+    def forget(self, most: int = 0) -> None:
+        """Forget all words but those met more than once, ``most`` of them."""
+        often = np.flatnonzero(self.met > 1)
+        kept = np.sort(often[np.argsort(-self.met[often], kind="stable")[:most]])
+        named = {number: word for word, number in self.numbers.items()}
+        starts = np.cumsum(self.n_groups) - self.n_groups
+        self.pairs = self.pairs[bt.expand(starts[kept], self.n_groups[kept])]
+        self.numbers = {named[k]: n for n, k in enumerate(kept.tolist())}
+        self.written = [self.written[k] for k in kept.tolist()]
+        self.bytes = sum(map(len, self.numbers)) + sum(map(len, self.written))
+        for name in ("good", "n_a", "n_b", "n_groups"):
+            setattr(self, name, getattr(self, name)[kept])
+        self.met = np.ones(len(kept), np.int64)
 
     def learn(self, words: list[str]) -> None:
-        found = Aligned(words, self.a, self.b)
-        start = len(self.numbers)
-        self.numbers.update(zip(words, range(start, start + len(words)), strict=True))
-        self.written += found.written
-        self.bytes += sum(map(len, words)) + sum(map(len, found.written))
+        parts = [Aligned(words[at : at + NEW_WORDS], self.a, self.b) for at in range(0, len(words), NEW_WORDS)]
+        failed = [w for x in parts for w, good in zip(x.words, x.good.tolist(), strict=True) if not good]
+        parts += [Aligned(failed[at : at + NEW_WORDS], self.a, self.b, 1) for at in range(0, len(failed), NEW_WORDS)]
+        for found in parts:
+            # A word that failed beside others gets a new number.
+            self.numbers.update(zip(found.words, range(len(self.written), len(self.written) + len(found.words)), strict=True))
+            self.written += found.written
+            self.bytes += sum(map(len, found.words)) + sum(map(len, found.written))
         for name in ("good", "n_a", "n_b", "n_groups", "pairs"):
-            setattr(self, name, np.concatenate([getattr(self, name), getattr(found, name)]))
+            setattr(self, name, np.concatenate([getattr(self, name), *(getattr(found, name) for found in parts)]))
+        self.met = np.concatenate([self.met, np.zeros(len(self.good) - len(self.met), np.int64)])
 
     def align(self, texts: list[str | None]) -> Texts:
-        if len(self.numbers) > MAX_WORDS or self.bytes > MAX_WORD_BYTES:
-            self.forget()
+        if len(self.written) > MAX_WORDS or self.bytes > MAX_WORD_BYTES:
+            self.forget(MAX_WORDS // 2 if self.bytes <= MAX_WORD_BYTES else 0)
         cut = [(_CUT.split(t) if self.b.words else [t]) if t else [] for t in texts]
         words = list(chain.from_iterable(cut))
         new = [w for w in dict.fromkeys(words) if w not in self.numbers]
         if new:
             self.learn(new)
         number = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        self.met += np.bincount(number, minlength=len(self.met))
         return Texts(self, number, np.cumsum([0, *map(len, cut)], dtype=np.int64))
 
 
