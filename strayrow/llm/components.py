@@ -1,45 +1,97 @@
-"""Connected components of a table of links, by label passing and pointer jumping."""
+"""Connected components of a table of links, by contraction.
+
+Every batch of links is contracted where it lies: its nodes point to the least node they reach in it.
+Where batches give a node several, they become the links of the next, smaller round. A node comes from
+a batch once, however many links it has, so a hub is as many rows as there are batches. The pointers of
+all rounds, followed from the last to the first, give every node its component.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strayrow.workspace import materialize
 
+#: Links contracted together.
+BATCH_LINKS = 500_000
+
+
+def least_reachable(a: np.ndarray, b: np.ndarray, nodes: int) -> np.ndarray:
+    """For nodes 0, 1, ... the least node that links (a, b) connect each with."""
+    label = np.arange(nodes)
+    while True:
+        least = np.minimum(label[a], label[b])
+        following = label.copy()
+        np.minimum.at(following, a, least)
+        np.minimum.at(following, b, least)
+        # What a node pointed to points on, and everything that points to it follows.
+        np.minimum.at(following, label[a], least)
+        np.minimum.at(following, label[b], least)
+        following = following[following]
+        if np.array_equal(following, label):
+            return label
+        label = following
+
+
+def contracted(links: DataFrame) -> DataFrame:
+    """(node, root): every node of each batch of links (a, b) with the least node it reaches there."""
+    kind = links.schema["a"].dataType
+    schema = T.StructType([T.StructField("node", kind), T.StructField("root", kind)])
+
+    def stars(batch: pa.Table) -> pa.RecordBatch:
+        both = pa.chunked_array([*batch["a"].chunks, *batch["b"].chunks]).combine_chunks()
+        coded = both.dictionary_encode()
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        codes = rank[coded.indices.to_numpy(zero_copy_only=False)]
+        half = len(codes) // 2
+        roots = least_reachable(codes[:half], codes[half:], len(order))
+        named = coded.dictionary.take(pa.array(order))
+        return pa.RecordBatch.from_arrays([named, named.take(pa.array(roots))], ["node", "root"])
+
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= BATCH_LINKS:
+                yield stars(pa.Table.from_batches(held))
+                held, rows = [], 0
+        if rows:
+            yield stars(pa.Table.from_batches(held))
+
+    return links.select("a", "b").mapInArrow(contract, schema)
+
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) for every node of ``links`` (a, b): the smallest node reachable from it.
-
-    Every step gives a node the smallest label among its own, its neighbours' and its label's label;
-    labels are written between steps. It ends when a step changes nothing.
-    """
-    both = materialize(
-        links.select(F.col("a").alias("node"), F.col("b").alias("other"))
-        .union(links.select("b", "a"))
-        .where("node != other")
-        .distinct(),
-        "component-links",
-    )
-    labels = materialize(
-        both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("component")), "component-labels"
-    )
+    """(node, component) for every node of ``links`` (a, b): the smallest node reachable from it."""
+    rounds = []
     while True:
-        offered = both.join(
-            labels.select(F.col("node").alias("other"), F.col("component").alias("_offer")), "other"
-        ).select("node", "_offer")
-        jumped = labels.select(F.col("component").alias("_at"), "node").join(
-            labels.select(F.col("node").alias("_at"), F.col("component").alias("_offer")), "_at"
+        stars = materialize(contracted(links), "component-stars")
+        least = stars.groupBy("node").agg(F.min("root").alias("component"), F.max("root").alias("_most"))
+        least = materialize(least, "component-roots")
+        rounds.append(least.select("node", "component"))
+        # A root has a row of its own, so what it points to is among the links too.
+        split = least.where("component <> _most").select("node", "component")
+        links = materialize(
+            stars.join(split, "node").where("component <> root").select(F.col("component").alias("a"), F.col("root").alias("b")).distinct(),
+            "component-links",
         )
-        least = offered.union(jumped.select("node", "_offer")).groupBy("node").agg(F.min("_offer").alias("_least"))
-        following = materialize(
-            labels.join(least, "node").select(
-                "node",
-                F.least("component", "_least").alias("component"),
-                (F.col("_least") < F.col("component")).alias("changed"),
-            ),
-            "component-labels",
+        if links.isEmpty():
+            break
+    labels = rounds.pop()
+    while rounds:
+        named = labels.select(F.col("node").alias("component"), F.col("component").alias("_last"))
+        joined = rounds.pop().join(named, "component", "left")
+        labels = materialize(
+            joined.select("node", F.coalesce("_last", "component").alias("component")), "component-labels"
         )
-        labels = following.select("node", "component")
-        if following.where("changed").isEmpty():
-            return labels
+    return labels

@@ -1,20 +1,26 @@
 """Near-duplicate documents by an exact Jaccard join of word n-grams.
 
-Every document is the set of its shingles, ordered rare first by how many documents hold a shingle
-(counted over all documents in a table of fixed size, where some shingles share a counter; any order
-that is the same for all documents keeps the join exact). Two sets as similar as asked share a
-shingle in their first few, the prefix, so documents meet on prefix shingles alone. Three bounds drop
-pairs before their sets are fetched: the lengths; what the places of the shared shingle leave
-possible; and, as the suffix filter, how many parts of the key space hold an odd number of shingles
-of one set and an even number of the other, since two sets differ in at least as many shingles. The
-intersection then decides once per pair.
-
-Equal sets are one node from the start. Documents that share a prefix shingle are compared in rounds:
-each with a few members of the group drawn by hash, then with four times as many each round, and
-always only across components; what has been compared with all others leaves the group. So a large
-group of near copies costs a few comparisons for each, no link that joins two components is missed,
-and groups of connected texts are never expanded into all their pairs. Groups are counted and drawn
-from by aggregates and hashes alone, so none is gathered or sorted in one task.
+Every document is the set of its shingles, ordered rare first by how many documents hold a shingle. Two
+sets as similar as asked share a shingle in their first few, the prefix, so documents meet on prefix
+shingles alone, and only on those that some other document holds: a document with enough shingles of
+its own meets none. Equal sets are one node from the start and are counted once.
+
+How many documents hold a shingle is counted in cells, ``CELLS`` for every shingle of the corpus. Blocks
+of documents send the cells they use to the tasks that count them, as sorted differences, and get a
+level for each cell back in the same order; no table of counts is held in one place. Where shingles
+share a cell the order changes, never the result, as it is the same for all documents.
+
+Three bounds drop pairs before they are compared: the lengths; what the places of the shared shingle
+leave possible; and, in place of probing the suffixes, how many parts of the key space hold an odd
+number of shingles of one set and an even number of the other, since two sets differ in at least as
+many shingles. The intersection then decides once per pair.
+
+Documents that share a prefix shingle are compared in rounds: each with a few members of the group
+drawn by hash, then with four times as many each round, and always only across components; what has
+been compared with all others leaves the group. So a large group of near copies costs a few comparisons
+for each, no link that joins two components is missed, and groups of connected texts are never expanded
+into all their pairs. Groups are counted and drawn from by aggregates and hashes alone, so none is
+gathered or sorted in one task.
 """
 
 from __future__ import annotations
@@ -32,18 +38,16 @@ from strayrow.llm import bytetext as bt
 from strayrow.llm.components import components
 from strayrow.workspace import materialize
 
-#: Counters of the rarity table, in chunks that are merged apart.
-COUNTER_BITS = 20
-CHUNK_BITS = 14
-#: Text bytes whose counts one task merges, and partial sums merged per task after that.
-MERGE_BYTES = 4 << 30
-MERGE_FAN = 256
+#: Counting cells for each shingle of the corpus, at least, and shingles whose cells one task counts.
+CELLS = 16
+PART_SHINGLES = 4_000_000
+#: Text bytes of a block of documents, a row counting for some itself.
+BLOCK_BYTES = 8 << 20
+ROW_BYTES = 256
 #: Groups up to this size are compared in full; of larger ones about so many members in the first round.
 SMALL_GROUP = 16
 PIVOTS = 3
 PIVOT_GROWTH = 4
-#: Up to so many ids are broadcast to fetch the sets of the documents that are compared.
-BROADCAST_IDS = 300_000
 #: Words of 64 parts of the key space whose parities the suffix filter compares.
 PARITY_WORDS = 8
 _FACTORS = bt.mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
@@ -68,12 +72,9 @@ def shingles(buffer: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarra
     return bt.mix(hashes), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def distinct_shingles(buffer: np.ndarray, offsets: np.ndarray, n: int, levels: np.ndarray | None):
-    """(keys, edges): each text's distinct shingles in ascending order, rare ones first given ``levels``."""
+def distinct_shingles(buffer: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, edges): each text's distinct shingles in ascending order."""
     hashes, edges = shingles(buffer, offsets, n)
-    if levels is not None:
-        rank = levels[(hashes >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)].astype(np.uint64)
-        hashes = (rank << np.uint64(56)) | (hashes >> np.uint64(8))
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(edges))
     order = np.lexsort((hashes, owner))
     hashes, owner = hashes[order], owner[order]
@@ -83,64 +84,127 @@ def distinct_shingles(buffer: np.ndarray, offsets: np.ndarray, n: int, levels: n
     return hashes, np.searchsorted(owner, np.arange(len(offsets)))
 
 
-def _merge_counts(df: DataFrame, fan: int) -> DataFrame:
-    """Add up sparse counters of each (chunk, part)."""
+def set_digests(keys: np.ndarray, edges: np.ndarray) -> list[bytes]:
+    """MD5 of each set of shingles: equal sets are one node."""
+    cuts = edges.tolist()
+    return [
+        hashlib.md5(keys[a:b].tobytes(), usedforsecurity=False).digest() for a, b in zip(cuts, cuts[1:], strict=False)
+    ]
 
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(1 << CHUNK_BITS, np.int64)
-        for cells, counts in zip(table["cells"], table["counts"], strict=True):
-            np.add.at(total, np.frombuffer(cells.as_buffer(), np.uint16), np.frombuffer(counts.as_buffer(), np.int64))
-        used = np.flatnonzero(total)
+
+def described(texts: DataFrame, n: int) -> DataFrame:
+    """(doc_id, text_key, size, digest) of every row."""
+    schema = T.StructType(
+        [
+            texts.schema["doc_id"],
+            T.StructField("text_key", T.LongType()),
+            T.StructField("size", T.LongType()),
+            T.StructField("digest", T.BinaryType()),
+        ]
+    )
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bt.slices(batches, "text"):
+            keys, edges = distinct_shingles(*bt.text_buffer(batch.column("text")), n)
+            digests = pa.array(set_digests(keys, edges), pa.binary())
+            columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(np.diff(edges)), digests]
+            yield pa.RecordBatch.from_arrays(columns, schema.fieldNames())
+
+    return texts.mapInArrow(describe, schema)
+
+
+def blocks_of_sets(texts: DataFrame, n: int, blocks: int) -> DataFrame:
+    """(block, digest, text): a text of every set that has shingles, dealt to blocks by its digest.
+
+    A task sends one text of each set it meets; sets of all tasks are then reduced to one, in order, so a
+    set that a third of all rows have is a row for each task.
+    """
+    schema = "block int, digest binary, text string"
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[bytes] = set()
+        for batch in bt.slices(batches, "text"):
+            keys, edges = distinct_shingles(*bt.text_buffer(batch.column("text")), n)
+            digests = set_digests(keys, edges)
+            wanted = []
+            for row, (size, digest) in enumerate(zip(np.diff(edges).tolist(), digests, strict=True)):
+                if size and digest not in met:
+                    met.add(digest)
+                    wanted.append(row)
+            chosen = [digests[row] for row in wanted]
+            numbers = [int.from_bytes(d[:8], "little") % blocks for d in chosen]
+            text = batch.column("text").take(pa.array(wanted, pa.int64()))
+            columns = [pa.array(numbers, pa.int32()), pa.array(chosen, pa.binary()), text]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "digest", "text"])
+
+    dealt = texts.select("text").mapInArrow(deal, schema).repartition("block")
+    return dealt.groupBy("block", "digest").agg(F.first("text").alias("text"))
+
+
+class Cells:
+    """Counting cells for a corpus of so many shingles, and the parts that are counted apart."""
+
+    def __init__(self, total: int):
+        self.bits = max(16, (total * CELLS - 1).bit_length())
+        self.part_bits = max(0, ((total - 1) // PART_SHINGLES).bit_length())
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        return keys >> np.uint64(64 - self.bits)
+
+    def cut(self, cells: np.ndarray) -> np.ndarray:
+        """Where the parts of sorted cells begin and end."""
+        firsts = np.arange((1 << self.part_bits) + 1, dtype=np.uint64) << np.uint64(self.bits - self.part_bits)
+        return np.searchsorted(cells, firsts)
+
+
+def _packed(cells: np.ndarray) -> bytes:
+    """Sorted cells as differences, byte by byte: high bytes are nearly all zero and compress well."""
+    steps = np.diff(cells, prepend=np.uint64(0))
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(packed, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def cell_levels(blocks: DataFrame, n: int, cells: Cells) -> DataFrame:
+    """(of_block, part, levels): for the sorted cells of each block in a part, how frequent each is.
+
+    Level 0 is a cell that one set has; above that there are four levels to a doubling.
+    """
+
+    def used(table: pa.Table) -> pa.Table:
+        found = cells.of(_block_keys(table, n)[0])
+        values, counts = np.unique(found, return_counts=True)
+        cuts = cells.cut(values).tolist()
+        counts = np.minimum(counts, 0xFFFF).astype(np.uint16)
+        spans = [(part, a, b) for part, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
         return pa.table(
             {
-                "chunk": pa.array([table["chunk"][0].as_py()], pa.int32()),
-                "part": pa.array([table["part"][0].as_py()], pa.int64()),
-                "cells": pa.array([used.astype(np.uint16).tobytes()], pa.binary()),
-                "counts": pa.array([total[used].tobytes()], pa.binary()),
+                "of_block": pa.array([table["block"][0].as_py()] * len(spans), pa.int32()),
+                "part": pa.array([part for part, _, _ in spans], pa.int32()),
+                "cells": pa.array([_packed(values[a:b]) for _, a, b in spans], pa.binary()),
+                "counts": pa.array([counts[a:b].tobytes() for _, a, b in spans], pa.binary()),
             }
         )
 
-    dealt = df.withColumn("part", F.pmod("part", F.lit(fan)))
-    return dealt.groupBy("chunk", "part").applyInArrow(add, "chunk int, part long, cells binary, counts binary")
+    def level(table: pa.Table) -> pa.Table:
+        asked = [_unpacked(x) for x in table["cells"].to_pylist()]
+        counts = np.concatenate([np.frombuffer(x, np.uint16) for x in table["counts"].to_pylist()])
+        _, place = np.unique(np.concatenate(asked), return_inverse=True)
+        total = np.bincount(place, counts)
+        levels = np.where(total < 2, 0, np.minimum(4 * np.log2(np.maximum(total, 1)), 255)).astype(np.uint8)[place]
+        ends = np.cumsum([len(x) for x in asked])
+        answers = [x.tobytes() for x in np.split(levels, ends[:-1])]
+        return pa.table([table["of_block"], table["part"], pa.array(answers, pa.binary())], ["of_block", "part", "levels"])
 
+    sent = blocks.groupBy("block").applyInArrow(used, "of_block int, part int, cells binary, counts binary")
+    return sent.groupBy("part").applyInArrow(level, "of_block int, part int, levels binary")
 
-def rarity_levels(texts: DataFrame, n: int) -> np.ndarray:
-    """For each counter a level, four to a doubling, of how many documents hold its shingles."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << COUNTER_BITS, np.int64)
-        for batch in bt.slices(batches, "text"):
-            keys, _ = distinct_shingles(*bt.text_buffer(batch.column("text")), n, None)
-            total += np.bincount(
-                (keys >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=1 << COUNTER_BITS
-            )
-        for chunk in np.flatnonzero(total.reshape(-1, 1 << CHUNK_BITS).any(1)).tolist():
-            part = total[chunk << CHUNK_BITS : (chunk + 1) << CHUNK_BITS]
-            used = np.flatnonzero(part)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([chunk], pa.int32()),
-                    pa.array([used.astype(np.uint16).tobytes()], pa.binary()),
-                    pa.array([part[used].tobytes()], pa.binary()),
-                ],
-                ["chunk", "cells", "counts"],
-            )
-
-    size = texts.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    counted = texts.select("text").mapInArrow(count, "chunk int, cells binary, counts binary")
-    counted = counted.withColumn("part", F.spark_partition_id().cast("long"))
-    fan = max(1, -(-size // MERGE_BYTES))
-    counted = _merge_counts(counted, fan)
-    while fan > 1:
-        fan = -(-fan // MERGE_FAN)
-        counted = _merge_counts(counted, fan)
-    levels = np.zeros(1 << COUNTER_BITS, np.uint8)
-    # One row for each chunk: the table's size is fixed by COUNTER_BITS.
-    for row in counted.collect():
-        at = (row["chunk"] << CHUNK_BITS) + np.frombuffer(row["cells"], np.uint16).astype(np.int64)
-        found = np.frombuffer(row["counts"], np.int64)
-        levels[at] = np.minimum(4 * np.log2(found + 1), 255)
-    return levels
+def _block_keys(table: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray]:
+    return distinct_shingles(*bt.text_buffer(table["text"].combine_chunks()), n)
 
 
 def needed(size, threshold: int):
@@ -157,59 +221,65 @@ def _parities(keys: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view(np.int64)
 
 
-def shingle_sets(texts: DataFrame, n: int, threshold: int, levels: np.ndarray) -> DataFrame:
-    """(doc_id, size, digest of the set, parities, prefix) of every document."""
+def prefixed_sets(blocks: DataFrame, levels: DataFrame, n: int, threshold: int, cells: Cells) -> DataFrame:
+    """(node, size, parities, places, tokens, keys) of the sets with a prefix shingle that others may have.
+
+    ``places`` are those of the prefix in the whole set, rare first; ``keys`` the whole set.
+    """
+    longs = T.ArrayType(T.LongType())
     schema = T.StructType(
         [
-            texts.schema["doc_id"],
+            T.StructField("node", T.BinaryType()),
             T.StructField("size", T.LongType()),
-            T.StructField("digest", T.BinaryType()),
-            T.StructField("parities", T.ArrayType(T.LongType())),
-            T.StructField("prefix", T.ArrayType(T.LongType())),
+            T.StructField("parities", longs),
+            T.StructField("places", longs),
+            T.StructField("tokens", longs),
+            T.StructField("keys", longs),
         ]
     )
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bt.slices(batches, "text"):
-            keys, edges = distinct_shingles(*bt.text_buffer(batch.column("text")), n, levels)
-            sizes = np.diff(edges)
-            short = np.where(sizes > 0, sizes - needed(sizes, threshold) + 1, 0)
-            prefix = keys[bt.expand(edges[:-1], short)].view(np.int64)
-            digests = [
-                hashlib.md5(keys[a:b].tobytes(), usedforsecurity=False).digest()
-                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)
-            ]
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.concatenate([[0], np.cumsum(short)]), pa.int32()), pa.array(prefix)
-            )
-            rows = batch.num_rows
-            parities = pa.ListArray.from_arrays(
-                pa.array(np.arange(rows + 1) * PARITY_WORDS, pa.int32()), pa.array(_parities(keys, edges))
-            )
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes), pa.array(digests, pa.binary()), parities, lists],
-                schema.fieldNames(),
-            )
-
-    return texts.mapInArrow(build, schema)
-
-
-def whole_sets(texts: DataFrame, n: int, levels: np.ndarray) -> DataFrame:
-    """(node, keys): all shingles of each document."""
-    schema = T.StructType(
-        [
-            T.StructField("node", texts.schema["doc_id"].dataType),
-            T.StructField("keys", T.ArrayType(T.LongType())),
-        ]
-    )
+    def lists(edges: np.ndarray, values: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(values))
+
+    def edges_of(sizes: np.ndarray) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+    def build(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table([pa.array([], t) for t in _arrow_types()], schema.fieldNames())
+        keys, edges = _block_keys(left, n)
+        ordered = sorted(zip(right["part"].to_pylist(), right["levels"].to_pylist(), strict=True))
+        known = np.frombuffer(b"".join(x for _, x in ordered), np.uint8)
+        values, place = np.unique(cells.of(keys), return_inverse=True)
+        rank = known[place]
+        sizes = np.diff(edges)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.lexsort((keys, rank, owner))
+        at = np.arange(len(keys)) - edges[:-1][owner]
+        short = sizes - needed(sizes, threshold) + 1
+        # In order, level 0 comes first: those are in no other set.
+        met = (at < short[owner]) & (rank[order] > 0)
+        tokens, places, owners = keys[order][met], at[met], owner[met]
+        counts = np.bincount(owners, minlength=len(sizes))
+        rows = np.flatnonzero(counts)
+        inside = bt.expand(edges[:-1][rows], sizes[rows])
+        parities = _parities(keys, edges).reshape(-1, PARITY_WORDS)[rows].ravel()
+        return pa.table(
+            [
+                left["digest"].take(pa.array(rows)).combine_chunks(),
+                pa.array(sizes[rows]),
+                lists(np.arange(len(rows) + 1) * PARITY_WORDS, parities),
+                lists(edges_of(counts[rows]), places),
+                lists(edges_of(counts[rows]), tokens.view(np.int64)),
+                lists(edges_of(sizes[rows]), keys[inside].view(np.int64)),
+            ],
+            schema.fieldNames(),
+        )
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bt.slices(batches, "text"):
-            keys, edges = distinct_shingles(*bt.text_buffer(batch.column("text")), n, levels)
-            lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(keys.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], schema.fieldNames())
+    def _arrow_types() -> list[pa.DataType]:
+        return [pa.binary(), pa.int64(), *[pa.list_(pa.int64())] * 4]
 
-    return texts.mapInArrow(build, schema)
+    return blocks.groupBy("block").cogroup(levels.groupBy("of_block")).applyInArrow(build, schema)
 
 
 def _overlap(a: Column, b: Column, threshold: int) -> Column:
@@ -218,25 +288,35 @@ def _overlap(a: Column, b: Column, threshold: int) -> Column:
 
 
 def _possible(a: str, b: str, threshold: int) -> Column:
-    """Length, positional and suffix filter for two members that share a shingle."""
+    """Length and positional filter for two members that share a shingle."""
     size_a, size_b = F.col(f"{a}.size"), F.col(f"{b}.size")
     place_a, place_b = F.col(f"{a}.place"), F.col(f"{b}.place")
-    least = _overlap(size_a, size_b, threshold)
     most = F.least(size_a - place_a, size_b - place_b) + F.least(place_a, place_b)
+    return (100 * F.least(size_a, size_b) >= threshold * F.greatest(size_a, size_b)) & (
+        most >= _overlap(size_a, size_b, threshold)
+    )
+
+
+def near_enough(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) whose sets' parities do not tell them apart."""
+
+    def side(name: str) -> DataFrame:
+        return sets.select(
+            F.col("node").alias(name), F.col("size").alias(f"{name}_size"), F.col("parities").alias(f"{name}_odd")
+        )
+
     apart = F.lit(0)
     for word in range(PARITY_WORDS):
-        apart += F.bit_count(F.col(f"{a}.parities")[word].bitwiseXOR(F.col(f"{b}.parities")[word]))
-    return (
-        (100 * F.least(size_a, size_b) >= threshold * F.greatest(size_a, size_b))
-        & (most >= least)
-        & (apart <= size_a + size_b - 2 * least)
-    )
+        apart += F.bit_count(F.get("a_odd", F.lit(word)).bitwiseXOR(F.get("b_odd", F.lit(word))))
+    sizes = F.col("a_size") + F.col("b_size")
+    least = _overlap(F.col("a_size"), F.col("b_size"), threshold)
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= sizes - 2 * least).select("a", "b")
 
 
 def candidate_pairs(members: DataFrame, threshold: int, pivots: int, turn: int) -> tuple[DataFrame, DataFrame]:
     """(pairs to compare this round, what is left of the groups after it).
 
-    ``members`` is (token, node, size, place, parities, component, group). About ``pivots`` members of
+    ``members`` is (token, node, size, place, component, group). About ``pivots`` members of
     a group, drawn by a hash of node and round, meet all members not connected with them; in a small
     group all members are pivots.
     """
@@ -280,43 +360,15 @@ def _mixed_groups(members: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.join(mixed, "token")
 
 
-def _sets_of(texts: DataFrame, nodes: DataFrame, words: int, levels: np.ndarray) -> DataFrame:
-    """Whole sets of the given documents. Few ids go to the texts; many are joined by shuffling."""
-    nodes = materialize(nodes.select(F.col("node").alias("doc_id")).distinct(), "shingle-wanted")
-    wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
-    return materialize(whole_sets(texts.join(wanted, "doc_id", "left_semi"), words, levels), "shingle-sets")
-
-
-def near_duplicates(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, threshold: int = 80
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id), a row for each row of ``docs``.
-
-    Texts are lower-cased (A-Z) and cut into words at ASCII white space; a document is the set of its
-    shingles of ``words`` words, or its whole word sequence if it has fewer. Two documents link when
-    their Jaccard similarity is at least ``threshold`` per cent; ``component_id`` is the smallest id
-    reachable by links. Null, empty and blank texts have no shingles and link with nothing. Rows with
-    a null id get a null component. Rows of one id are one document; an empty table gives an empty
-    result; other columns are not read.
-    """
-    texts = docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text"))
-    levels = rarity_levels(texts, words)
-    rows = materialize(shingle_sets(texts, words, threshold, levels), "shingle-rows")
-    nodes = (
-        rows.where((F.col("size") > 0) & F.col("doc_id").isNotNull())
-        .groupBy("digest")
-        .agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("size", "parities", "prefix")))
+def linked_sets(sets: DataFrame, threshold: int) -> DataFrame | None:
+    """(node, component) of the sets that are linked with others; None if no set shares a prefix shingle."""
+    entry = F.explode(F.arrays_zip("tokens", "places")).alias("entry")
+    entries = sets.select("node", "size", entry).select(
+        "node", "size", F.col("entry.tokens").alias("token"), F.col("entry.places").alias("place")
     )
-    nodes = materialize(nodes, "shingle-nodes")
-    entries = nodes.select("node", "size", F.posexplode("prefix").alias("place", "token"))
     shared = entries.groupBy("token").agg(F.count("*").alias("group")).where("group > 1")
-    groups = materialize(
-        entries.join(shared, "token")
-        .join(nodes.select("node", "parities"), "node")
-        .withColumn("component", F.col("node")),
-        "shingle-groups",
-    )
-    sets, compared, links, labels = None, None, None, None
+    groups = materialize(entries.join(shared, "token").withColumn("component", F.col("node")), "shingle-groups")
+    compared, links, labels = None, None, None
     turn, pivots = 0, PIVOTS
     while not groups.isEmpty():
         pairs, left = candidate_pairs(groups, threshold, pivots, turn)
@@ -324,24 +376,53 @@ def near_duplicates(
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "shingle-pairs")
         compared = pairs if compared is None else compared.union(pairs)
-        if sets is None:
-            # All documents that can ever be compared: those of this round's pairs, and the rest of large groups.
-            met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(left.select("node"))
-            sets = _sets_of(texts, met, words, levels)
-        found = materialize(verified(pairs, sets, threshold), "shingle-links")
-        links = found if links is None else links.union(found)
+        found = materialize(verified(near_enough(pairs, sets, threshold), sets, threshold), "shingle-links")
+        # What earlier rounds have connected is kept as a link from every node to its component.
+        links = found if labels is None else found.union(labels.select(F.col("component").alias("a"), F.col("node").alias("b")))
         labels = components(links)
         groups = materialize(_mixed_groups(left, labels), "shingle-groups")
         turn, pivots = turn + 1, pivots * PIVOT_GROWTH
-    named = rows.where(F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("node"))
-    result = rows.select("doc_id", "size", "digest").join(named, "digest", "left")
+    return labels
+
+
+def near_duplicates(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, threshold: int = 80
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id, text_key), a row for each row of ``docs``.
+
+    Texts are lower-cased (A-Z) and cut into words at ASCII white space; a document is the set of its
+    shingles of ``words`` words, or its whole word sequence if it has fewer. Two documents link when
+    their Jaccard similarity is at least ``threshold`` per cent; ``component_id`` is the smallest id
+    reachable by links. Null, empty and blank texts have no shingles and link with nothing. Rows with
+    a null id get a null component. Rows of one id are documents of their own, which ``text_key``, the
+    xxHash64 of the text, tells apart; an empty table gives an empty result; other columns are not read.
+    """
+    text = docs[text_column]
+    texts = docs.select(docs[id_column].alias("doc_id"), text.alias("text"), text_key(text).alias("text_key"))
+    rows = materialize(described(texts, words), "shingle-rows")
+    named = rows.where((F.col("size") > 0) & F.col("doc_id").isNotNull())
+    nodes = named.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("size").alias("size"))
+    shingled = nodes.agg(F.sum("size")).first()[0] or 0
+    size = texts.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES)).first()[0] or 0
+    cells = Cells(max(1, shingled))
+    blocks = blocks_of_sets(texts.where("doc_id is not null"), words, max(1, -(-size // BLOCK_BYTES)))
+    levels = cell_levels(blocks, words, cells)
+    sets = materialize(prefixed_sets(blocks, levels, words, threshold, cells), "shingle-sets")
+    labels = linked_sets(sets, threshold)
     if labels is not None:
-        result = result.join(labels, "node", "left")
+        joined = nodes.join(labels.select(F.col("node").alias("digest"), "component"), "digest", "left")
+        joined = joined.select("digest", "least", F.coalesce("component", "digest").alias("component"))
+        smallest = joined.groupBy("component").agg(F.min("least").alias("component_id"))
+        nodes = joined.join(smallest, "component")
     else:
-        result = result.withColumn("component", F.lit(None).cast(texts.schema["doc_id"].dataType))
-    own = F.when(F.col("size") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "node"))
-    return result.select(
-        "doc_id",
-        F.col("size").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), own).alias("component_id"),
-    )
+        nodes = nodes.withColumn("component_id", F.col("least"))
+    own = F.col("doc_id").alias("component_id")
+    columns = ("doc_id", F.col("size").alias("n_shingles"))
+    alone = rows.where((F.col("size") == 0) | F.col("doc_id").isNull()).select(*columns, own, "text_key")
+    # Of empty sets, which a large part of all rows may be, none takes part in the join.
+    found = named.join(nodes.select("digest", "component_id"), "digest").select(*columns, "component_id", "text_key")
+    return found.union(alone)
+
+
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
