@@ -52,7 +52,8 @@ def score_sites(
     ``landed`` is a scan of a ``date=/site=`` tree. The sites are a table, whatever query it comes from:
     the directories of other sites are pruned when the job runs, not read and dropped.
     """
-    wanted = sites.select("site").where(F.col("site").isNotNull()).distinct()
+    # Spark prunes by a table only if it is filtered by some comparison; this one leaves out null sites.
+    wanted = sites.select("site").where(F.length("site") >= 0).distinct()
     if wanted.count() <= MAX_BROADCAST_SITES:
         wanted = F.broadcast(wanted)
     return score_table(landed.join(wanted, "site"), model, columns, vote, handle_invalid)

@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -21,6 +22,7 @@ from strayrow.sources.models import (
     publish_model,
     save_model,
 )
+from strayrow.workspace import materialize
 
 COLUMNS = ["a", "b", "c"]
 SMALL = ForestSettings(trees=6, max_depth=8)
@@ -93,6 +95,40 @@ def test_votes_agree_mostly_and_hard_counts_trees(spark, records, model):
         score(fresh, model, "loud")
 
 
+WALK = """
+WITH RECURSIVE nodes AS (
+    SELECT treeID AS tree, unnest(nodeData) FROM '{model}/data/*.parquet'),
+walk AS (
+    SELECT row_id, features, tree, id, leftChild, rightChild, split, impurityStats, prediction
+    FROM points, nodes WHERE id = 0
+    UNION ALL
+    SELECT row_id, features, n.tree, n.id, n.leftChild, n.rightChild, n.split, n.impurityStats, n.prediction
+    FROM walk w JOIN nodes n ON n.tree = w.tree AND w.leftChild >= 0 AND n.id = CASE
+        WHEN features[w.split.featureIndex + 1] <= w.split.leftCategoriesOrThreshold[1]
+        THEN w.leftChild ELSE w.rightChild END),
+votes AS (
+    SELECT row_id, sum(impurityStats[2] / (impurityStats[1] + impurityStats[2])) AS ones, count(*) AS trees,
+           count(*) FILTER (WHERE prediction = 1) AS hard_ones
+    FROM walk WHERE leftChild < 0 GROUP BY row_id)
+SELECT row_id, CAST(2 * ones > trees AS INT) AS soft, CAST(2 * hard_ones > trees AS INT) AS hard FROM votes
+"""
+
+
+def test_votes_are_those_of_the_saved_node_table(spark, records, model, tmp_path):
+    """The saved forest's own nodes, walked by recursive SQL in another engine, row by row."""
+    fresh = materialize(contrast_set(records, COLUMNS, 0.3, 99, ["uuid"]), "fresh")
+    points = assemble(fresh, COLUMNS)
+    soft = score(points, model).select("row_id", "features", F.col("prediction").alias("soft"))
+    both = score(soft, model, "hard").select("row_id", "soft", F.col("prediction").alias("hard"))
+    ours = sorted((r.row_id, int(r.soft), int(r.hard)) for r in both.collect())
+    path = publish_model(spark, model, str(tmp_path / "published"), "1")
+    fresh.select("row_id", F.array(*COLUMNS).alias("features")).write.parquet(str(tmp_path / "points"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW points AS SELECT * FROM '{tmp_path}/points/*.parquet'")
+    assert sorted(con.execute(WALK.format(model=path)).fetchall()) == ours
+    assert {r[1] for r in ours} == {r[2] for r in ours} == {0, 1}
+
+
 def test_any_two_class_estimator_can_be_wrapped(records):
     other = contrast_fit(records, LogisticRegression(maxIter=2), COLUMNS, 0.2, 5, ["uuid"])
     assert other.numClasses == 2

@@ -2,11 +2,16 @@
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import __spark_entry__ as contract
+from strayrow.operators.forest import ForestSettings, contrast_fit, forest_estimator
 from strayrow.operators.positions import dense_index, number_copies
 from strayrow.operators.records import dedupe
 from strayrow.operators.sampling import marginal_resample, poisson_sample
+from strayrow.plans.score import score_sites
+from strayrow.sources.tables import scan_sites
+from strayrow.streaming.landing import land_table
 from strayrow.workspace import materialize
 
 FOLDER = "/root/testdata/sf0.001"
@@ -80,3 +85,25 @@ def test_dropping_copies_aggregates_first(spark, wide):
     table, columns = wide
     assert "partial_first" in plan(dedupe(table, ["id"]))
     assert "partial_min" in plan(dedupe(table, ["id"], ["f0"]))
+
+
+def test_only_the_files_of_the_wanted_sites_are_read(spark, tmp_path):
+    root = str(tmp_path / "landed")
+    rows = spark.range(300).select(
+        F.to_json(F.struct(F.col("id").cast("double").alias("a"), (F.col("id") * 2.0).alias("b"))).alias("value"),
+        F.lit("2024-01-01").alias("date"),
+        F.concat(F.lit("site"), F.col("id") % 3).alias("site"),
+    )
+    land_table(rows.repartition(4), root)
+    schema = T.StructType([T.StructField("a", T.DoubleType()), T.StructField("b", T.DoubleType())])
+    landed = scan_sites(spark, root, schema)
+    model = contrast_fit(landed, forest_estimator(1, ForestSettings(trees=2, max_depth=3)), ["a", "b"], 1.0, 1)
+    registry = materialize(landed.select("site").distinct().withColumn("on", F.col("site") == "site1"), "registry")
+    scored = score_sites(landed, registry.where("on"), model, ["a", "b"])
+    assert "dynamicpruning" in plan(scored)
+    for other in ("site0", "site2"):
+        for file in (tmp_path / "landed" / "date=2024-01-01" / f"site={other}").glob("part-*"):
+            file.unlink()
+    assert len(scored.select("a", "prediction").collect()) == 100
+    with pytest.raises(Exception, match="[Ff]ile"):
+        landed.collect()
