@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from strayrow.llm import decontamination, jaccard_join, language_id, packing, suffix_repeats
 from strayrow.llm.queries import PACK_TOKENIZER, table, tokenizer_path
-from strayrow.workspace import shared_folder
+from strayrow.workspace import materialize, shared_folder
+
+#: Up to so many rows to be dropped are broadcast, 16 bytes each; more are joined by shuffling.
+MAX_BROADCAST_COPIES = 1_000_000
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -38,13 +41,32 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (5-word shingles, 0.8) the document with the smallest id stays.
+    """Of each group of near duplicates (5-word shingles, 0.8) one row of the smallest id stays.
 
-    Rows without id stay; rows of one id are one document and stay or go together.
+    Rows of one id are documents of their own, told apart by their texts; of those with the smallest id of
+    a group the one with the least hash of its text stays, and of equal ones any. Rows without id or
+    without words stay.
     """
-    classes = jaccard_join.near_duplicates(docs, words=5, threshold=80)
-    copies = classes.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    columns = docs.columns
+    found = jaccard_join.near_duplicates(docs, words=5, threshold=80)
+    found = materialize(found.where("doc_id is not null and n_shingles > 0").drop("n_shingles"), "near-duplicates")
+    keys = ["doc_id", "text_key"]
+    first = F.col("component_id") == F.col("doc_id")
+    repeated = found.where(first).groupBy("group_key").agg(
+        F.min("doc_id").alias("doc_id"), F.min("text_key").alias("_least"), F.count("*").alias("_rows")
+    )
+    repeated = materialize(repeated.where("_rows > 1").drop("_rows"), "repeated-ids")
+    copies = found.where(~first).select(keys)
+    others = found.where(first).join(repeated.drop("doc_id"), "group_key").where("text_key <> _least").select(keys)
+    copies = materialize(copies.union(others).distinct(), "copies")
+    if copies.count() <= MAX_BROADCAST_COPIES:
+        copies = F.broadcast(copies)
+    kept = docs.withColumn("text_key", jaccard_join.text_key(F.col("text"))).join(copies, keys, "left_anti")
+    if not repeated.isEmpty():
+        twice = repeated.select("doc_id", F.col("_least").alias("text_key")).distinct()
+        once = kept.join(twice, keys, "left_semi").dropDuplicates(keys)
+        kept = kept.join(twice, keys, "left_anti").unionByName(once)
+    return kept.select(*columns)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
