@@ -5,18 +5,22 @@ k-gram in it with the smallest hash, and equal windows have equal anchors; the w
 in one place make a piece of text of less than twice that length. Equal windows have their anchor at
 the same distance, so those of one piece all differ: an anchor with a single place cannot repeat, and
 its piece stays where it is. All other pieces go to the bucket of their anchor, equal ones of a block
-of documents once, with all their places. The removal compares documents only, so there the pieces of
-an anchor found in a single document stay as well.
+of documents once, with the smallest id there; their places stay in the block. The removal compares
+documents only, so there the pieces of an anchor found in a single document stay as well.
 
 In a bucket the suffixes of its pieces are sorted, the lengths of common prefixes of neighbours
 computed, and a scan with a stack builds the tree of common-prefix intervals. An interval is a
 repeat that cannot be longer to the right; it is reported if what stands to the left of its members
 differs, or is the end of a piece for any of them, so that it cannot be longer to the left either.
-Every report carries all places, those of nested intervals included. Passages longer than a piece are
-reported as overlapping repeats, whose union is the whole passage.
-
-An anchor of a great many different pieces (the end of a passage that very many documents share)
-is dealt again by its single windows: its repeats come as overlapping ones of ``least`` bytes.
+Reports go back to the blocks, which apply them to all places of a piece, those of nested intervals
+included. Passages longer than a piece are reported as overlapping repeats, whose union is the whole
+passage.
+
+An anchor of a great many different pieces (the end of a passage that very many documents share) is
+split: every window of the pieces reaches further to one side of the anchor than to the other, so
+half of them share a longer gram on the left and half on the right. That goes on, as long as a gram is
+crowded, up to whole windows, which cannot differ; suffixes are sorted and intervals scanned in
+every part. How far it goes depends on the counts of the whole corpus, not on its layout.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,13 +40,14 @@ GRAM = 24
 #: Text bytes of a block: a task holds some 60 times as much while it looks for anchors.
 BLOCK_BYTES = 2 << 20
 MIN_BLOCKS = 16
+ROW_BYTES = 64
 #: Text bytes for each bucket of anchors, and for each bucket of pieces.
 ANCHOR_BUCKET_BYTES = 32 << 20
 PIECE_BUCKET_BYTES = 6 << 20
 MIN_BUCKETS = 16
 #: Rows that are filled at once, which bounds the memory for positions.
 MATRIX_ROWS = 8192
-#: Pieces of one anchor beyond which it is dealt by windows.
+#: Different pieces of one gram beyond which it is split into two longer ones.
 CROWD = 2000
 _TAG = np.uint64(0xFFFFFFFF)
 
@@ -74,6 +80,7 @@ class Block:
         """Runs of windows of one anchor: (start, number of windows, document, anchor hash) of each."""
         empty = np.zeros(0, np.int64)
         self.starts, self.windows, self.owners, self.anchors = empty, empty, empty, empty.astype(np.uint64)
+        self.places = empty
         n, least, gram = len(self.buffer), self.least, min(GRAM, self.least)
         counts = np.maximum(np.diff(self.offsets) - least + 1, 0) * self.named
         if not counts.any():
@@ -91,7 +98,21 @@ class Block:
         self.starts = window[first]
         self.windows = np.diff(np.append(first, len(window)))
         self.owners = np.searchsorted(self.offsets, self.starts, side="right") - 1
-        self.anchors = grams[anchor[first]]
+        self.places = anchor[first]
+        self.anchors = grams[self.places]
+
+    def node(self, runs: np.ndarray, low: int, high: int):
+        """Of runs of windows those with a window that begins ``low`` to ``high`` - 1 bytes before its anchor.
+
+        (which runs, first windows, numbers of windows, hashes of what all such windows share)
+        """
+        first = self.places[runs] - self.starts[runs]
+        begin, end = np.minimum(first, high - 1), np.maximum(first - self.windows[runs] + 1, low)
+        inside = np.flatnonzero(begin >= end)
+        place = self.places[runs[inside]]
+        grams = bt.range_hashes(self.sums, place - low, place - high + 1 + self.least)
+        keys = bt.mix(grams ^ np.uint64((low << 32) + high))
+        return runs[inside], place - begin[inside], begin[inside] - end[inside] + 1, keys
 
     def anchor_table(self):
         """(distinct anchors, number of each run's anchor, in how many documents, with how many pieces)."""
@@ -186,6 +207,86 @@ def intervals(prefixes: list[int], lefts: list[int], least: int) -> list[tuple[i
     return found
 
 
+def halves(low: int, high: int) -> list[tuple[int, int]]:
+    """The two parts of a range of windows; none of a single one."""
+    middle = (low + high) // 2
+    return [(low, middle), (middle, high)] if high - low > 1 else []
+
+
+def _by_bucket(values: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order by bucket, edges of the buckets in it)."""
+    bucket = (values % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+class Deal:
+    """What a block deals to buckets, from the marks of its anchors and grams: the same in every pass over it."""
+
+    def __init__(self, block: Block, marks: dict[int, list[tuple[int, bytes]]], anchor_buckets: int):
+        block.find()
+        self.block = block
+        self.buckets = anchor_buckets
+        values, _, codes = bt.distinct(block.anchors)
+        state = self.read(values, marks.get(0, []))[codes]
+        self.whole, self.crowded = np.flatnonzero(state == 1), np.flatnonzero(state == 2)
+        self.marks = marks
+
+    def read(self, values: np.ndarray, rows: list[tuple[int, bytes]]) -> np.ndarray:
+        """The marks of sorted different keys, as the buckets have sent them."""
+        marks = np.zeros(len(values), np.uint8)
+        order, edges = _by_bucket(values, self.buckets)
+        for bucket, packed in rows:
+            marks[order[edges[bucket] : edges[bucket + 1]]] = _unpacked(packed, np.uint8)
+        return marks
+
+    def nodes(self) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, hashes of the pieces) of all grams that a crowded anchor may be split into, whole windows left out."""
+        keys, bodies = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        todo = halves(0, self.block.least - min(GRAM, self.block.least) + 1)
+        while todo and len(self.crowded):
+            low, high = todo.pop()
+            if high - low > 1:
+                _, starts, windows, grams = self.block.node(self.crowded, low, high)
+                keys.append(grams)
+                bodies.append(bt.range_hashes(self.block.sums, starts, starts + windows + self.block.least - 1))
+                todo += halves(low, high)
+        return np.concatenate(keys), np.concatenate(bodies)
+
+    def pieces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, lengths, owners, keys) of all pieces: those of anchors, and parts of those of crowded ones."""
+        block = self.block
+        found = [(block.starts[self.whole], block.windows[self.whole], block.owners[self.whole], block.anchors[self.whole])]
+        if len(self.crowded):
+            keys, _, _ = bt.distinct(self.nodes()[0])
+            marks = self.read(keys, self.marks.get(1, []))
+            todo = [(self.crowded, *x) for x in halves(0, block.least - min(GRAM, block.least) + 1)]
+            while todo:
+                runs, low, high = todo.pop()
+                runs, starts, windows, grams = block.node(runs, low, high)
+                split = np.zeros(len(runs), bool)
+                if high - low > 1 and len(runs):
+                    split = marks[np.searchsorted(keys, grams)] == 2
+                    todo += [(runs[split], *x) for x in halves(low, high)]
+                found.append((starts[~split], windows[~split], block.owners[runs[~split]], grams[~split]))
+        starts, windows, owners, keys = (np.concatenate(x) for x in zip(*found, strict=True))
+        return starts, windows + block.least - 1, owners, keys
+
+    def dealt(self, buckets: int):
+        """(starts and owners of all places, places by distinct piece, their edges, rows of each bucket's distinct pieces)."""
+        starts, lengths, owners, keys = self.pieces()
+        block = self.block
+        if not len(starts):
+            return None
+        matrix = body_matrix(block.buffer, starts, lengths, int(lengths.max()))
+        hashes = bt.range_hashes(block.sums, starts, starts + lengths)
+        sample, group = exact_groups(bt.mix(hashes ^ keys), matrix, lengths)
+        by_group = np.argsort(group, kind="stable")
+        group_edges = np.searchsorted(group[by_group], np.arange(len(sample) + 1))
+        order, edges = _by_bucket(bt.mix(keys[sample]), buckets)
+        return starts, lengths, owners, sample, by_group, group_edges, order, edges
+
+
 def _packed(values: np.ndarray, kind: str) -> bytes:
     """Values as compressed bytes, their number first."""
     raw = np.ascontiguousarray(values, kind).tobytes()
@@ -208,45 +309,36 @@ def _counts(table: pa.Table, name: str, width: int) -> list[int]:
     return [int.from_bytes(p[:4], "little") // width for p in table[name].to_pylist()]
 
 
-def bucket_repeats(table: pa.Table, least: int) -> pa.Table:
-    """All places of the maximal repeats among a bucket's pieces, a row for each block."""
+def bucket_repeats(table: pa.Table, least: int) -> dict[str, list]:
+    """The maximal repeats among a bucket's pieces: for each block, what to report of each of its pieces, in columns."""
     table = table.sort_by("block")
     lengths = _joined(table, "lengths", np.uint16).astype(np.int64)
     bodies = _joined(table, "bodies", np.uint8)
-    times = _joined(table, "times", np.int32).astype(np.int64)
-    place_block = np.repeat(table["block"].to_numpy(), _counts(table, "ordinals", 4))
-    ordinals = _joined(table, "ordinals", np.int32)
-    positions = _joined(table, "positions", np.int32).astype(np.int64)
-    ids = _joined(table, "ids", np.int64)
+    times = _joined(table, "times", np.uint8).astype(np.int64)
+    firsts = _joined(table, "firsts", np.int64)
+    counts = _counts(table, "times", 1)
 
     starts = np.cumsum(lengths) - lengths
     sums = bt.prefix_hashes(bodies)
     width = int(lengths.max())
     matrix = body_matrix(bodies, starts, lengths, width)
     sample, codes = exact_groups(bt.range_hashes(sums, starts, starts + lengths), matrix, lengths)
-    # Places by distinct piece.
-    piece = np.repeat(codes, times)
-    by_piece = np.argsort(piece, kind="stable")
-    place_edges = np.searchsorted(piece[by_piece], np.arange(len(sample) + 1))
-    first_id = np.minimum.reduceat(ids[by_piece], place_edges[:-1])
-    n_places = np.diff(place_edges)
+    first_id = np.full(len(sample), np.iinfo(np.int64).max)
+    np.minimum.at(first_id, codes, firsts)
+    n_places = np.bincount(codes, times)
 
     # Suffixes that share their first bytes with another distinct piece's.
-    counts = lengths[sample] - least + 1
-    owner = np.repeat(np.arange(len(sample)), counts)
-    offset = bt.expand(np.zeros(len(sample), np.int64), counts)
+    windows = lengths[sample] - least + 1
+    owner = np.repeat(np.arange(len(sample)), windows)
+    offset = bt.expand(np.zeros(len(sample), np.int64), windows)
     at = starts[sample][owner] + offset
     _, _, same = bt.distinct(bt.range_hashes(sums, at, at + least))
     shared = np.bincount(same)[same] > 1
     owner, offset, at = owner[shared], offset[shared], at[shared]
-    reports_leaf, reports_length, reports_offset, reports_number, reports_first = [], [], [], [], []
     # A piece with several places is a repeat by itself: the common prefix of equal suffixes is all of it.
     alone = np.flatnonzero(n_places > 1)
-    reports_leaf.append(alone)
-    reports_length.append(lengths[sample][alone])
-    reports_offset.append(np.zeros(len(alone), np.int64))
-    reports_number.append(np.arange(len(alone)))
-    reports_first.append(first_id[alone])
+    leafs, sizes_of, offsets = [alone], [lengths[sample][alone]], [np.zeros(len(alone), np.int64)]
+    numbers, lowest_of = [np.arange(len(alone))], [first_id[alone]]
     if len(owner):
         size = lengths[sample][owner] - offset
         suffixes = body_matrix(bodies, at, size, width)
@@ -260,56 +352,34 @@ def bucket_repeats(table: pa.Table, least: int) -> pa.Table:
             sizes = found[:, 1] - found[:, 0] + 1
             member = bt.expand(found[:, 0], sizes)
             lowest = np.minimum.reduceat(first_id[owner[member]], np.cumsum(sizes) - sizes)
-            reports_leaf.append(owner[member])
-            reports_length.append(np.repeat(found[:, 2], sizes))
-            reports_offset.append(offset[member])
-            reports_number.append(np.repeat(len(alone) + np.arange(len(found)), sizes))
-            reports_first.append(np.repeat(lowest, sizes))
-    leaf = np.concatenate(reports_leaf)
-    each = n_places[leaf]
-    place = by_piece[bt.expand(place_edges[leaf], each)]
-    report = np.repeat(np.arange(len(leaf)), each)
-    length = np.concatenate(reports_length)[report]
-    start = positions[place] + np.concatenate(reports_offset)[report]
-    number = np.concatenate(reports_number)[report]
-    later = ids[place] > np.concatenate(reports_first)[report]
-    block = place_block[place]
-    order = np.argsort(block, kind="stable")
-    values, edges = np.unique(block[order], return_index=True)
-    edges = np.append(edges, len(order))
-    rows = {"block": [], "bucket": [], "ordinals": [], "starts": [], "lengths": [], "repeats": [], "later": []}
-    bucket = table["bucket"][0].as_py()
-    for value, a, b in zip(values.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        chosen = order[a:b]
-        rows["block"].append(value)
-        rows["bucket"].append(bucket)
-        rows["ordinals"].append(_packed(ordinals[place[chosen]], np.int32))
-        rows["starts"].append(_packed(start[chosen], np.int32))
+            leafs.append(owner[member])
+            sizes_of.append(np.repeat(found[:, 2], sizes))
+            offsets.append(offset[member])
+            numbers.append(np.repeat(len(alone) + np.arange(len(found)), sizes))
+            lowest_of.append(np.repeat(lowest, sizes))
+    leaf, length, offset, number, lowest = (np.concatenate(x) for x in (leafs, sizes_of, offsets, numbers, lowest_of))
+    by_leaf = np.argsort(leaf, kind="stable")
+    leaf_edges = np.searchsorted(leaf[by_leaf], np.arange(len(sample) + 1))
+    rows = {name: [] for name in ("block", "bucket", "reports", *(c for c, _ in _FIELDS))}
+    ends = np.cumsum(counts).tolist()
+    for row, (begin, end) in enumerate(zip([0, *ends], ends, strict=False)):
+        reported = np.diff(leaf_edges)[codes[begin:end]]
+        chosen = by_leaf[bt.expand(leaf_edges[codes[begin:end]], reported)]
+        if not len(chosen):
+            continue
+        rows["block"].append(table["block"][row].as_py())
+        rows["bucket"].append(table["bucket"][row].as_py())
+        rows["reports"].append(_packed(reported, np.int32))
+        rows["offsets"].append(_packed(offset[chosen], np.uint16))
         rows["lengths"].append(_packed(length[chosen], np.uint16))
         rows["repeats"].append(_packed(number[chosen], np.int32))
-        rows["later"].append(_packed(later[chosen], np.uint8))
-    return pa.table(rows, schema=_PLACES)
-
-
-_PLACES = pa.schema(
-    [
-        ("block", pa.int64()),
-        ("bucket", pa.int64()),
-        ("ordinals", pa.binary()),
-        ("starts", pa.binary()),
-        ("lengths", pa.binary()),
-        ("repeats", pa.binary()),
-        ("later", pa.binary()),
-    ]
-)
-_PLACES_DDL = (
-    "block long, bucket long, ordinals binary, starts binary, lengths binary, repeats binary, later binary"
-)
+        rows["firsts"].append(_packed(lowest[chosen], np.int64))
+    return rows
 
 
 def _in_blocks(docs: DataFrame, id_column: str, text_column: str, keep: tuple[str, ...], block_bytes: int):
-    """(texts by block, their size in bytes). Equal rows are in one block."""
-    size = docs.select(F.sum(F.octet_length(text_column))).first()[0] or 0
+    """(texts by block, their size in bytes, a row counting for some itself). Equal rows are in one block."""
+    size = docs.select(F.sum(F.coalesce(F.octet_length(text_column), F.lit(0)) + ROW_BYTES)).first()[0] or 0
     blocks = max(MIN_BLOCKS, -(-size // block_bytes))
     text = F.coalesce(docs[text_column].cast("string"), F.lit(""))
     key = F.xxhash64(docs[id_column], text)
@@ -328,113 +398,154 @@ def _again(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(c).alias(c) for c in df.columns))
 
 
-def repeat_places(texts: DataFrame, size: int, least: int, within: bool) -> DataFrame:
-    """Places of all maximal repeats, packed by (block, bucket).
+_MARKS = pa.schema([("level", pa.int32()), ("block", pa.int64()), ("bucket", pa.int64()), ("marks", pa.binary())])
+_TAGS = pa.schema([*_MARKS, ("tags", pa.binary()), ("times", pa.binary()), ("pieces", pa.binary())])
+_FIELDS = (("offsets", np.uint16), ("lengths", np.uint16), ("repeats", np.int32), ("firsts", np.int64))
+_REPORTS = pa.schema([*_MARKS, *((c, pa.binary()) for c in ("reports", *(c for c, _ in _FIELDS)))])
+_PIECES = pa.schema([*_MARKS, *((c, pa.binary()) for c in ("lengths", "bodies", "times", "firsts"))])
+
+
+def _ddl(schema: pa.Schema) -> str:
+    kinds = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
+    return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
+
+
+def _rows(schema: pa.Schema, marks: pa.Table, **columns: list) -> pa.Table:
+    """Rows of ``schema`` from some of its columns, and the marks, which travel along to the next stage."""
+    n = len(next(iter(columns.values())))
+    made = pa.table([pa.array(columns.get(f.name, [None] * n), f.type) for f in schema], schema=schema)
+    kept = marks.filter(pc.is_valid(marks["marks"])).select(_MARKS.names)
+    for field in list(schema)[len(_MARKS) :]:
+        kept = kept.append_column(field, pa.nulls(len(kept), field.type))
+    return pa.concat_tables([made, kept.select(schema.names).cast(schema)])
 
-    Unless ``within``, those of an anchor that a single document has are left out.
+
+def repeat_reports(texts: DataFrame, size: int, least: int, within: bool, make, schema) -> DataFrame:
+    """``make(block, reports)`` of every block, where reports are those of its pieces, at all their places.
+
+    They come bucket by bucket: (owners, starts in the block, lengths, repeats, smallest ids, bucket).
+    Unless ``within``, anchors that a single document has are left out. Marks tell a block which
+    of its anchors (level 0) and of the longer grams of crowded ones (level 1) are dealt whole (1) or split (2).
     """
     anchor_buckets = max(MIN_BUCKETS, -(-size // ANCHOR_BUCKET_BYTES))
     piece_buckets = max(MIN_BUCKETS, -(-size // PIECE_BUCKET_BYTES))
 
-    def by_bucket(values: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """(order by bucket, edges of the buckets in it)."""
-        bucket = (values % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+    def tagged(block: int, level: int, marks: pa.Table, values, times, pieces) -> pa.Table:
+        order, edges = _by_bucket(values, anchor_buckets)
+        used = np.flatnonzero(np.diff(edges)).tolist()
+        chosen = [order[edges[bucket] : edges[bucket + 1]] for bucket in used]
+        return _rows(
+            _TAGS,
+            marks,
+            level=[level] * len(used),
+            block=[block] * len(used),
+            bucket=used,
+            tags=[_packed(values[x] >> np.uint64(32), np.uint32) for x in chosen],
+            times=[_packed(np.minimum(times[x], 2), np.uint8) for x in chosen],
+            pieces=[_packed(pieces[x], np.uint32) for x in chosen],
+        )
 
     def anchors(table: pa.Table) -> pa.Table:
-        block = Block(table, least)
+        block, none = Block(table, least), np.zeros(0, np.uint64)
         block.find()
-        rows = {"bucket": [], "block": [], "tags": [], "times": [], "pieces": []}
-        if len(block.starts):
-            values, codes, documents, pieces = block.anchor_table()
-            times = np.bincount(codes, minlength=len(values)) if within else documents
-            order, edges = by_bucket(values, anchor_buckets)
-            for bucket in np.flatnonzero(np.diff(edges)).tolist():
-                chosen = order[edges[bucket] : edges[bucket + 1]]
-                rows["bucket"].append(bucket)
-                rows["block"].append(table["block"][0].as_py())
-                rows["tags"].append(_packed(values[chosen] >> np.uint64(32), np.uint32))
-                rows["times"].append(_packed(np.minimum(times[chosen], 2), np.uint8))
-                rows["pieces"].append(_packed(np.minimum(pieces[chosen], 255), np.uint8))
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.table(rows, schema=pa.schema(list(zip(rows, kinds, strict=True))))
-
-    def repeated(table: pa.Table) -> pa.Table:
-        tags = _joined(table, "tags", np.uint32).astype(np.uint64)
-        _, _, codes = bt.distinct(tags)
-        times = np.bincount(codes, _joined(table, "times", np.uint8))[codes]
-        pieces = np.bincount(codes, _joined(table, "pieces", np.uint8))[codes]
-        marks = (times > 1).astype(np.uint8) + (times > 1) * (pieces > CROWD).astype(np.uint8)
-        edges = np.concatenate([[0], np.cumsum(_counts(table, "tags", 4))]).tolist()
-        packed = [_packed(marks[a:b], np.uint8) for a, b in zip(edges, edges[1:], strict=False)]
-        return pa.table(
-            {"bucket": table["bucket"], "block": table["block"], "marks": pa.array(packed, pa.binary())}
-        )
+        marks = _MARKS.empty_table()
+        if not len(block.starts):
+            return tagged(0, 0, marks, none, none, none)
+        values, codes, documents, pieces = block.anchor_table()
+        times = np.bincount(codes, minlength=len(values)) if within else documents
+        return tagged(table["block"][0].as_py(), 0, marks, values, times, pieces)
+
+    def grams(left: pa.Table, right: pa.Table) -> pa.Table:
+        none = np.zeros(0, np.uint64)
+        marks = _marks(right)
+        if not len(left) or not any((_unpacked(m, np.uint8) == 2).any() for _, m in marks.get(0, [])):
+            return tagged(0, 1, right, none, none, none)
+        keys, bodies = Deal(Block(left, least), marks, anchor_buckets).nodes()
+        values, _, codes = bt.distinct(keys)
+        pieces = _distinct_pairs(codes, bodies, len(values))
+        return tagged(left["block"][0].as_py(), 1, right, values, np.full(len(values), 2), pieces)
+
+    def marked(table: pa.Table) -> pa.Table:
+        found = [table.filter(pc.is_valid(table["marks"])).select(_MARKS.names)]
+        for level in (0, 1):
+            some = table.filter(pc.and_(pc.is_valid(table["tags"]), pc.equal(table["level"], level)))
+            if not len(some):
+                continue
+            _, _, codes = bt.distinct(_joined(some, "tags", np.uint32).astype(np.uint64))
+            times = np.bincount(codes, _joined(some, "times", np.uint8))[codes]
+            pieces = np.bincount(codes, _joined(some, "pieces", np.uint32))[codes]
+            state = (times > 1).astype(np.uint8) + (times > 1) * (pieces > CROWD).astype(np.uint8)
+            edges = np.concatenate([[0], np.cumsum(_counts(some, "tags", 4))]).tolist()
+            packed = [_packed(state[a:b], np.uint8) for a, b in zip(edges, edges[1:], strict=False)]
+            made = [some["level"], some["block"], some["bucket"], pa.array(packed, pa.binary())]
+            found.append(pa.table(made, schema=_MARKS))
+        return pa.concat_tables([x.cast(_MARKS) for x in found])
 
     def pieces(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["bucket", "block", "lengths", "bodies", "times", "ids", "ordinals", "positions"]
-        rows: dict[str, list] = {name: [] for name in names}
+        used, parts, dealt = [], [], None
         if len(left) and len(right):
             block = Block(left, least)
-            block.find()
-            values, _, codes = bt.distinct(block.anchors)
-            order, edges = by_bucket(values, anchor_buckets)
-            marks = np.zeros(len(values), np.uint8)
-            for bucket, packed in zip(right["bucket"].to_pylist(), right["marks"].to_pylist(), strict=True):
-                marks[order[edges[bucket] : edges[bucket + 1]]] = _unpacked(packed, np.uint8)
-            state = marks[codes]
-            whole, crowded = state == 1, state == 2
-            starts, lengths = block.starts[whole], block.windows[whole] + least - 1
-            owners, keys = block.owners[whole], block.anchors[whole]
-            if crowded.any():
-                single = bt.expand(block.starts[crowded], block.windows[crowded])
-                starts = np.concatenate([starts, single])
-                lengths = np.concatenate([lengths, np.full(len(single), least)])
-                owners = np.concatenate([owners, np.repeat(block.owners[crowded], block.windows[crowded])])
-                keys = np.concatenate([keys, bt.range_hashes(block.sums, single, single + least)])
-            if len(starts):
-                matrix = body_matrix(block.buffer, starts, lengths, int(lengths.max()))
-                hashes = bt.range_hashes(block.sums, starts, starts + lengths)
-                sample, group = exact_groups(bt.mix(hashes ^ keys), matrix, lengths)
-                by_group = np.argsort(group, kind="stable")
-                group_edges = np.searchsorted(group[by_group], np.arange(len(sample) + 1))
-                times = np.diff(group_edges)
-                order, edges = by_bucket(bt.mix(keys[sample]), piece_buckets)
-                for bucket in np.flatnonzero(np.diff(edges)).tolist():
-                    chosen = order[edges[bucket] : edges[bucket + 1]]
-                    at = sample[chosen]
-                    place = by_group[bt.expand(group_edges[chosen], times[chosen])]
-                    owner = owners[place]
-                    rows["bucket"].append(bucket)
-                    rows["block"].append(left["block"][0].as_py())
-                    rows["lengths"].append(_packed(lengths[at], np.uint16))
-                    rows["bodies"].append(_packed(block.buffer[bt.expand(starts[at], lengths[at])], np.uint8))
-                    rows["times"].append(_packed(times[chosen], np.int32))
-                    rows["ids"].append(_packed(block.ids[owner], np.int64))
-                    rows["ordinals"].append(_packed(owner, np.int32))
-                    rows["positions"].append(_packed(starts[place] - block.offsets[owner], np.int32))
-        kinds = [pa.int64(), pa.int64()] + [pa.binary()] * 6
-        return pa.table(rows, schema=pa.schema(list(zip(names, kinds, strict=True))))
-
-    marked = (
-        _again(texts)
-        .groupBy("block")
-        .applyInArrow(anchors, "bucket long, block long, tags binary, times binary, pieces binary")
-        .groupBy("bucket")
-        .applyInArrow(repeated, "bucket long, block long, marks binary")
-    )
-    dealt = (
-        _again(texts)
-        .groupBy("block")
-        .cogroup(marked.groupBy("block"))
-        .applyInArrow(
-            pieces,
-            "bucket long, block long, lengths binary, bodies binary, times binary, ids binary, "
-            "ordinals binary, positions binary",
+            dealt = Deal(block, _marks(right), anchor_buckets).dealt(piece_buckets)
+        if dealt is not None:
+            starts, lengths, owners, sample, by_group, group_edges, order, edges = dealt
+            first = np.minimum.reduceat(block.ids[owners[by_group]], group_edges[:-1])
+            times = np.minimum(np.diff(group_edges), 2)
+            used = np.flatnonzero(np.diff(edges)).tolist()
+            parts = [order[edges[bucket] : edges[bucket + 1]] for bucket in used]
+        return _rows(
+            _PIECES,
+            right,
+            block=[left["block"][0].as_py()] * len(used) if used else [],
+            bucket=used,
+            lengths=[_packed(lengths[sample[x]], np.uint16) for x in parts],
+            bodies=[
+                _packed(block.buffer[bt.expand(starts[sample[x]], lengths[sample[x]])], np.uint8) for x in parts
+            ],
+            times=[_packed(times[x], np.uint8) for x in parts],
+            firsts=[_packed(first[x], np.int64) for x in parts],
         )
-    )
-    return dealt.groupBy("bucket").applyInArrow(lambda table: bucket_repeats(table, least), _PLACES_DDL)
+
+    def reported(table: pa.Table) -> pa.Table:
+        some = table.filter(pc.is_valid(table["bodies"]))
+        columns = bucket_repeats(some, least) if len(some) else {"block": []}
+        return _rows(_REPORTS, table, **columns)
+
+    def places(block: Block, table: pa.Table):
+        rows = [r for r in table.to_pylist() if r["reports"] is not None]
+        dealt = Deal(block, _marks(table), anchor_buckets).dealt(piece_buckets) if rows else None
+        for row in rows:
+            starts, _, owners, _, by_group, group_edges, order, edges = dealt
+            chosen = order[edges[row["bucket"]] : edges[row["bucket"] + 1]]
+            piece = np.repeat(chosen, _unpacked(row["reports"], np.int32).astype(np.int64))
+            each = np.diff(group_edges)[piece]
+            place = by_group[bt.expand(group_edges[piece], each)]
+            fields = [np.repeat(_unpacked(row[c], kind).astype(np.int64), each) for c, kind in _FIELDS]
+            yield owners[place], starts[place] + fields[0], *fields[1:], row["bucket"]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        block = Block(left, least)
+        return make(block, places(block, right))
+
+    def blocks():
+        return _again(texts).groupBy("block")
+
+    # The texts are shuffled once: every stage meets them in their blocks again.
+    counted = blocks().applyInArrow(anchors, _ddl(_TAGS)).groupBy("bucket").applyInArrow(marked, _ddl(_MARKS))
+    split = blocks().cogroup(counted.groupBy("block")).applyInArrow(grams, _ddl(_TAGS))
+    marks = split.groupBy("bucket").applyInArrow(marked, _ddl(_MARKS))
+    dealt = blocks().cogroup(marks.groupBy("block")).applyInArrow(pieces, _ddl(_PIECES))
+    found = dealt.groupBy("bucket").applyInArrow(reported, _ddl(_REPORTS))
+    return blocks().cogroup(found.groupBy("block")).applyInArrow(run, schema)
+
+
+def _marks(table: pa.Table) -> dict[int, list[tuple[int, bytes]]]:
+    """(bucket, marks) of each level."""
+    found: dict[int, list[tuple[int, bytes]]] = {}
+    columns = (table[c].to_pylist() for c in ("level", "bucket", "marks"))
+    for level, bucket, marks in zip(*columns, strict=True):
+        if marks is not None:
+            found.setdefault(level, []).append((bucket, marks))
+    return found
 
 
 def maximal_repeats(
@@ -447,26 +558,18 @@ def maximal_repeats(
     two. A repeat longer than a piece comes as overlapping repeats.
     """
     texts, size = _in_blocks(docs, id_column, text_column, (), block_bytes)
-    places = repeat_places(texts, size, least, within=True)
 
-    def name(left: pa.Table, right: pa.Table) -> pa.Table:
-        block = Block(left, least)
-        numbers, starts, lengths, ids = [], [], [], []
-        for row in right.to_pylist():
-            ordinals = _unpacked(row["ordinals"], np.int32)
-            numbers.append((row["bucket"] << 32) + _unpacked(row["repeats"], np.int32).astype(np.int64))
-            starts.append(_unpacked(row["starts"], np.int32).astype(np.int64))
-            lengths.append(_unpacked(row["lengths"], np.uint16).astype(np.int64))
-            ids.append(block.ids[ordinals])
-        columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (numbers, ids, starts, lengths)]
-        return pa.table([pa.array(c) for c in columns], names=["repeat", "doc_id", "start", "length"])
-
-    return (
-        _again(texts)
-        .groupBy("block")
-        .cogroup(places.groupBy("block"))
-        .applyInArrow(name, "repeat long, doc_id long, start long, length long")
-    )
+    def name(block: Block, reports) -> pa.Table:
+        columns: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
+        for owners, starts, lengths, repeats, _, bucket in reports:
+            found = ((bucket << 32) + repeats, block.ids[owners], starts - block.offsets[owners], lengths)
+            for column, values in zip(columns, found, strict=True):
+                column.append(values)
+        made = [pa.array(np.concatenate(c)) for c in columns]
+        return pa.table(made, names=["repeat", "doc_id", "start", "length"])
+
+    ddl = "repeat long, doc_id long, start long, length long"
+    return repeat_reports(texts, size, least, True, name, ddl)
 
 
 def remove_repeats(
@@ -486,7 +589,6 @@ def remove_repeats(
     of one id aren't compared with each other; an empty table gives an empty result.
     """
     texts, size = _in_blocks(docs, id_column, text_column, keep, block_bytes)
-    places = repeat_places(texts, size, least, within=False)
     schema = T.StructType(
         [
             T.StructField("doc_id", T.LongType()),
@@ -500,17 +602,13 @@ def remove_repeats(
     )
     names = schema.fieldNames()
 
-    def remove(left: pa.Table, right: pa.Table) -> pa.Table:
-        block = Block(left, least)
+    def remove(block: Block, reports) -> pa.Table:
         n, offsets = len(block.buffer), block.offsets
         change = np.zeros(n + 1, np.int64)
-        for row in right.select(["ordinals", "starts", "lengths", "later"]).to_pylist():
-            later = _unpacked(row["later"], np.uint8).astype(bool)
-            begin = offsets[_unpacked(row["ordinals"], np.int32)[later]]
-            begin = begin + _unpacked(row["starts"], np.int32)[later]
-            end = begin + _unpacked(row["lengths"], np.uint16)[later]
-            np.add.at(change, begin, 1)
-            np.add.at(change, end, -1)
+        for owners, starts, lengths, _, firsts, _ in reports:
+            later = block.ids[owners] > firsts
+            np.add.at(change, starts[later], 1)
+            np.add.at(change, (starts + lengths)[later], -1)
         gone = np.cumsum(change[:-1]) > 0
         opens = gone.copy()
         opens[1:] &= ~gone[:-1]
@@ -532,4 +630,4 @@ def remove_repeats(
             columns.append(pa.array([p.decode("utf-8", "ignore") for p in parts], pa.string()))
         return pa.table(columns, names=names)
 
-    return _again(texts).groupBy("block").cogroup(places.groupBy("block")).applyInArrow(remove, schema)
+    return repeat_reports(texts, size, least, False, remove, schema)
