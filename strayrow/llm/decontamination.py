@@ -23,6 +23,8 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SHINGLE = 3
 #: Benchmark tables of more shingles than this are joined by shuffling instead of broadcasting.
 BROADCAST_ROWS = 500_000
+#: Up to so many documents with hits are broadcast to the table of documents.
+BROADCAST_DOCUMENTS = 100_000
 
 
 def words_of(text: Column) -> Column:
@@ -64,30 +66,36 @@ def window_shingles(windows: DataFrame) -> DataFrame:
 
 
 def document_matches(docs: DataFrame, shingles: DataFrame, sizes: list[int], reach: int, small: bool) -> DataFrame:
-    """(_id, _text, place, n_words, shingle, following words) wherever a document has a benchmark shingle."""
+    """(_id, _text, place, n_words, shingle, following words) wherever a document has a benchmark shingle.
+
+    A ``small`` table of shingles goes to the texts. Otherwise the places of all shingles are shuffled, as a
+    few numbers each, and the words that follow are fetched for those that match: a text is then
+    shuffled once, however many words it has.
+    """
     texts = docs.select("_id", "_text", words_of(F.col("text")).alias("words"))
     texts = texts.select("_id", "_text", "words", F.size("words").alias("n_words"))
-    placed = texts.select("*", F.posexplode("words").alias("place", "_word"))
+    # Outer, or Spark would cut the words a second time to leave out texts that have none.
+    placed = texts.select("*", F.posexplode_outer("words").alias("place", "_word"))
     wanted = shingles.select("shingle").distinct()
     wanted = F.broadcast(wanted) if small else wanted
+    narrow = ["_id", "_text", "place", "n_words", "shingle"]
+    following = F.slice("words", F.col("place") + 1, F.lit(reach)).alias("words")
     matches = None
     for size in sizes:
         rest = [F.get(F.col("words"), F.col("place") + n) for n in range(1, size)]
-        found = (
-            placed.where(F.col("place") <= F.col("n_words") - size)
-            .withColumn("shingle", F.xxhash64(F.lit(size), "_word", *rest))
-            .join(wanted, "shingle")
-            .select(
-                "_id",
-                "_text",
-                "place",
-                "n_words",
-                "shingle",
-                F.slice("words", F.col("place") + 1, F.lit(reach)).alias("words"),
-            )
+        found = placed.where(F.col("place") <= F.col("n_words") - size).withColumn(
+            "shingle", F.xxhash64(F.lit(size), "_word", *rest)
         )
+        found = found if small else found.select(narrow)
+        found = found.join(wanted, "shingle").select(*narrow, *([following] if small else []))
         matches = found if matches is None else matches.union(found)
-    return matches
+    if small:
+        return matches
+    matches = materialize(matches, "benchmark-places")
+    keys = ["_id", "_text"]
+    again = docs.join(matches.select(keys).distinct(), keys, "left_semi").dropDuplicates(keys)
+    again = again.select(*keys, words_of(F.col("text")).alias("words"))
+    return matches.join(again, keys).select(*narrow, following)
 
 
 def find_windows(docs: DataFrame, windows: DataFrame, size: int) -> DataFrame:
@@ -169,23 +177,28 @@ def contamination(
         .groupBy(keys)
         .agg(F.sort_array(F.collect_list("item")).alias("_items"))
     )
-    n_words = F.regexp_count(F.coalesce(F.col(text_column), F.lit("")), F.lit(ANY_CASE_WORD)).cast("long")
+    found = materialize(covered.join(found_items, keys), "benchmark-documents")
     columns = [c for c in dict.fromkeys(keep) if c != id_column]
+    few = found.count() <= BROADCAST_DOCUMENTS
+    n_words = F.regexp_count(F.coalesce(F.col("_said"), F.lit("")), F.lit(ANY_CASE_WORD)).cast("long")
     base = docs.select(
         F.col(id_column).alias("doc_id"),
         *(F.col(c).alias(f"_keep{n}") for n, c in enumerate(columns)),
         id_key.alias("_id"),
         text_key.alias("_text"),
-        n_words.alias("n_words"),
+        F.col(text_column).alias("_said"),
     )
+    # Where texts stay in place the words are counted after the join, and only if they are asked for.
+    base = base if few else base.withColumn("_said", n_words)
+    n_words = n_words if few else F.col("_said")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    result = base.join(covered.join(found_items, keys), keys, "left")
+    result = base.join(F.broadcast(found) if few else found, keys, "left")
     return result.select(
         "doc_id",
         *(F.col(f"_keep{n}").alias(c) for n, c in enumerate(columns)),
-        "n_words",
+        n_words.alias("n_words"),
         n_hit.alias("n_hit"),
         F.when(F.col("_items").isNull(), 0).otherwise(F.size("_items")).cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", F.coalesce("_items", F.array().cast("array<string>"))), 256).alias("items_sha256"),
-        ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"),
+        ((n_hit > 0) & (share * n_hit >= n_words)).alias("contaminated"),
     )
