@@ -25,7 +25,7 @@ QUERY_BLOCK = 2048
 LEAF_ROWS = 128
 #: Sums of products below this are exact in doubles.
 _EXACT = 2**53
-_RESULT = "query_id long, vec_id long, score long"
+_RESULT = "query_no long, query_id long, vec_id long, score long"
 
 
 def integer_vectors(rows: DataFrame, id_column: str, vector_column: str, scale: int) -> DataFrame:
@@ -105,7 +105,7 @@ def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
 
 
 def search_shard(left: pa.Table, right: pa.Table, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, ids, scores) for the queries in ``right`` over the vectors in ``left``, all of one length."""
+    """(place of the query, ids, scores) for the queries in ``right`` over the vectors in ``left``, all of one length."""
     vectors, queries = _matrix(left["vector"], len(left)), _matrix(right["vector"], len(right))
     reach = float(np.abs(vectors.astype(float)).max()) * float(np.abs(queries.astype(float)).max())
     if reach * vectors.shape[1] < _EXACT:
@@ -117,7 +117,7 @@ def search_shard(left: pa.Table, right: pa.Table, k: int) -> Iterator[tuple[int,
     lowest = -float("inf")
     for n, (own, known) in enumerate(zip(right["query_id"].to_pylist(), right["known"].to_pylist(), strict=True)):
         ids, scores = tree.search(queries[n], bounds[n], own, k, lowest if known is None else known)
-        yield own, ids, scores
+        yield n, ids, scores
 
 
 def _search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -126,9 +126,11 @@ def _search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         found = list(search_shard(left, right, k)) if len(left) and len(right) else []
         ids = [np.asarray(f[1], np.int64) for f in found]
+        asked = pa.array([n for (n, _, _), i in zip(found, ids, strict=True) for _ in i], pa.int64())
         return pa.table(
             {
-                "query_id": pa.array([q for (q, _, _), i in zip(found, ids, strict=True) for _ in i], pa.int64()),
+                "query_no": right["query_no"].take(asked),
+                "query_id": right["query_id"].take(asked),
                 "vec_id": pa.array([v for i in ids for v in i.tolist()], pa.int64()),
                 "score": pa.array([int(s) for f in found for s in f[2]], pa.int64()),
             }
@@ -152,8 +154,8 @@ def top_k(
 
     ``is_query`` is a condition on the column ``vec_id``. Ties go to the smaller id; a query's own id
     is no candidate; vectors of another length are not comparable. Rows with a null id, a null or
-    empty vector, or a component that is null or not finite take no part. Repeated ids are rows of
-    their own. A score beyond 64 bits is an error. Tables without a query give an empty result.
+    empty vector, or a component that is null or not finite take no part. Rows of a repeated
+    id are queries and candidates of their own, but no candidates for one another. A score beyond 64 bits is an error. Tables without a query give an empty result.
     """
     vectors = integer_vectors(rows, id_column, vector_column, scale)
     count = vectors.count()
@@ -165,21 +167,23 @@ def top_k(
         F.pmod(F.xxhash64("vec_id", "vector"), F.lit(shards)).cast("int").alias("shard"),
     )
     queries = vectors.where(is_query).withColumnRenamed("vec_id", "query_id")
+    # Written out, so that a row keeps its number: rows of one id are queries of their own.
+    queries = materialize(queries.withColumn("query_no", F.monotonically_increasing_id()), "topk-queries")
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     queries = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
     every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     every_shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
     dealt = vectors.withColumn("block", every_block)
     home = materialize(_search(dealt, queries.withColumn("known", F.lit(None).cast("long")), k), "topk-home")
-    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    place = Window.partitionBy("query_no").orderBy(F.desc("score"), "vec_id")
     known = (
         home.withColumn("_rank", F.row_number().over(place))
         .where(F.col("_rank") == k)
-        .select("query_id", F.col("score").alias("known"))
+        .select("query_no", F.col("score").alias("known"))
     )
     travelling = (
         queries.withColumnRenamed("shard", "_home")
-        .join(known, "query_id", "left")
+        .join(known, "query_no", "left")
         .withColumn("shard", every_shard)
         .where(F.col("shard") != F.col("_home"))
         .drop("_home")
