@@ -105,8 +105,8 @@ class Lattice:
         lengths = np.arange(1, reach + 1, dtype=np.uint64)
         return self._find(bt.mix(raw + lengths * np.uint64(0xD6E8FEB86659FD93)))
 
-    def _forward(self, letters: np.ndarray, lengths: np.ndarray):
-        """(forward log sums by position, arcs by position) of words of at most the matrix's width."""
+    def _forward(self, letters: np.ndarray, with_arcs: bool = True):
+        """(forward log sums by position, arcs by position if asked for) of words of at most the matrix's width."""
         rows, width = letters.shape
         sums = np.zeros((rows, width + 1), np.uint64)
         np.cumsum(bt._BYTE_VALUES[letters] * bt.powers(width), axis=1, out=sums[:, 1:])
@@ -122,7 +122,8 @@ class Lattice:
             paths = np.concatenate([paths, (forward[:, at - 1] + single[letters[:, at - 1]])[:, None]], axis=1)
             top = paths.max(1)
             forward[:, at] = top + np.log(np.exp(paths - top[:, None]).sum(1))
-            arcs.append(piece)
+            if with_arcs:
+                arcs.append(piece)
         return forward, arcs
 
     @staticmethod
@@ -148,7 +149,7 @@ class Lattice:
         """Natural log of each word's probability over all segmentations."""
         result = np.zeros(len(starts))
         for rows, letters, lengths in self._matrices(buffer, starts, ends):
-            forward, _ = self._forward(letters, lengths)
+            forward, _ = self._forward(letters, with_arcs=False)
             result[rows] = forward[np.arange(len(rows)), lengths]
         return result
 
@@ -157,7 +158,7 @@ class Lattice:
         total = np.zeros(len(self.log_share))
         single = self.log_share[len(self.pieces) :]
         for rows, letters, lengths in self._matrices(buffer, starts, ends):
-            forward, arcs = self._forward(letters, lengths)
+            forward, arcs = self._forward(letters)
             n, width = letters.shape
             backward = np.full((n, width + 1), _NEVER)
             backward[np.arange(n), lengths] = 0
