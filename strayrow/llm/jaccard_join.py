@@ -288,35 +288,25 @@ def _overlap(a: Column, b: Column, threshold: int) -> Column:
 
 
 def _possible(a: str, b: str, threshold: int) -> Column:
-    """Length and positional filter for two members that share a shingle."""
+    """Length, positional and parity bounds for two members that share a shingle."""
     size_a, size_b = F.col(f"{a}.size"), F.col(f"{b}.size")
     place_a, place_b = F.col(f"{a}.place"), F.col(f"{b}.place")
+    least = _overlap(size_a, size_b, threshold)
     most = F.least(size_a - place_a, size_b - place_b) + F.least(place_a, place_b)
-    return (100 * F.least(size_a, size_b) >= threshold * F.greatest(size_a, size_b)) & (
-        most >= _overlap(size_a, size_b, threshold)
-    )
-
-
-def near_enough(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose sets' parities do not tell them apart."""
-
-    def side(name: str) -> DataFrame:
-        return sets.select(
-            F.col("node").alias(name), F.col("size").alias(f"{name}_size"), F.col("parities").alias(f"{name}_odd")
-        )
-
     apart = F.lit(0)
     for word in range(PARITY_WORDS):
-        apart += F.bit_count(F.get("a_odd", F.lit(word)).bitwiseXOR(F.get("b_odd", F.lit(word))))
-    sizes = F.col("a_size") + F.col("b_size")
-    least = _overlap(F.col("a_size"), F.col("b_size"), threshold)
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= sizes - 2 * least).select("a", "b")
+        apart += F.bit_count(F.col(f"{a}.parities")[word].bitwiseXOR(F.col(f"{b}.parities")[word]))
+    return (
+        (100 * F.least(size_a, size_b) >= threshold * F.greatest(size_a, size_b))
+        & (most >= least)
+        & (apart <= size_a + size_b - 2 * least)
+    )
 
 
 def candidate_pairs(members: DataFrame, threshold: int, pivots: int, turn: int) -> tuple[DataFrame, DataFrame]:
     """(pairs to compare this round, what is left of the groups after it).
 
-    ``members`` is (token, node, size, place, component, group). About ``pivots`` members of
+    ``members`` is (token, node, size, place, parities, component, group). About ``pivots`` members of
     a group, drawn by a hash of node and round, meet all members not connected with them; in a small
     group all members are pivots.
     """
@@ -363,8 +353,8 @@ def _mixed_groups(members: DataFrame, labels: DataFrame) -> DataFrame:
 def linked_sets(sets: DataFrame, threshold: int) -> DataFrame | None:
     """(node, component) of the sets that are linked with others; None if no set shares a prefix shingle."""
     entry = F.explode(F.arrays_zip("tokens", "places")).alias("entry")
-    entries = sets.select("node", "size", entry).select(
-        "node", "size", F.col("entry.tokens").alias("token"), F.col("entry.places").alias("place")
+    entries = sets.select("node", "size", "parities", entry).select(
+        "node", "size", "parities", F.col("entry.tokens").alias("token"), F.col("entry.places").alias("place")
     )
     shared = entries.groupBy("token").agg(F.count("*").alias("group")).where("group > 1")
     groups = materialize(entries.join(shared, "token").withColumn("component", F.col("node")), "shingle-groups")
@@ -376,7 +366,7 @@ def linked_sets(sets: DataFrame, threshold: int) -> DataFrame | None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "shingle-pairs")
         compared = pairs if compared is None else compared.union(pairs)
-        found = materialize(verified(near_enough(pairs, sets, threshold), sets, threshold), "shingle-links")
+        found = materialize(verified(pairs, sets, threshold), "shingle-links")
         # What earlier rounds have connected is kept as a link from every node to its component.
         links = found if labels is None else found.union(labels.select(F.col("component").alias("a"), F.col("node").alias("b")))
         labels = components(links)
@@ -388,14 +378,16 @@ def linked_sets(sets: DataFrame, threshold: int) -> DataFrame | None:
 def near_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, threshold: int = 80
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, text_key), a row for each row of ``docs``.
+    """(doc_id, n_shingles, component_id, text_key, group_key), a row for each row of ``docs``.
 
     Texts are lower-cased (A-Z) and cut into words at ASCII white space; a document is the set of its
     shingles of ``words`` words, or its whole word sequence if it has fewer. Two documents link when
     their Jaccard similarity is at least ``threshold`` per cent; ``component_id`` is the smallest id
     reachable by links. Null, empty and blank texts have no shingles and link with nothing. Rows with
     a null id get a null component. Rows of one id are documents of their own, which ``text_key``, the
-    xxHash64 of the text, tells apart; an empty table gives an empty result; other columns are not read.
+    xxHash64 of the text, tells apart, and their groups may have the same smallest id, so ``group_key``
+    names a group (null without shingles or id). An empty table gives an empty result; other columns are
+    not read.
     """
     text = docs[text_column]
     texts = docs.select(docs[id_column].alias("doc_id"), text.alias("text"), text_key(text).alias("text_key"))
@@ -415,12 +407,13 @@ def near_duplicates(
         smallest = joined.groupBy("component").agg(F.min("least").alias("component_id"))
         nodes = joined.join(smallest, "component")
     else:
-        nodes = nodes.withColumn("component_id", F.col("least"))
-    own = F.col("doc_id").alias("component_id")
+        nodes = nodes.withColumns({"component_id": F.col("least"), "component": F.col("digest")})
+    nodes = nodes.select("digest", "component_id", F.col("component").alias("group_key"))
+    own, none = F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("group_key")
     columns = ("doc_id", F.col("size").alias("n_shingles"))
-    alone = rows.where((F.col("size") == 0) | F.col("doc_id").isNull()).select(*columns, own, "text_key")
+    alone = rows.where((F.col("size") == 0) | F.col("doc_id").isNull()).select(*columns, own, "text_key", none)
     # Of empty sets, which a large part of all rows may be, none takes part in the join.
-    found = named.join(nodes.select("digest", "component_id"), "digest").select(*columns, "component_id", "text_key")
+    found = named.join(nodes, "digest").select(*columns, "component_id", "text_key", "group_key")
     return found.union(alone)
 
 

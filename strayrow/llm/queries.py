@@ -73,7 +73,8 @@ def op6_lattice_lm(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
-    return jaccard_join.near_duplicates(table(spark, folder, "documents"), words=4, threshold=85)
+    found = jaccard_join.near_duplicates(table(spark, folder, "documents"), words=4, threshold=85)
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def op8_topk(spark: SparkSession, folder: str) -> DataFrame:

@@ -37,7 +37,7 @@ from strayrow.workspace import materialize
 SLICE_BYTES = 1 << 20
 BLOCK_BYTES = 8 << 20
 #: Words a Python worker remembers, and their bytes; beyond that it forgets those met least often.
-MAX_WORDS = 400_000
+MAX_WORDS = 350_000
 MAX_WORD_BYTES = 32 << 20
 #: Words tokenized at once: the libraries give objects of 1 to 2 KB for each.
 NEW_WORDS = 10_000
@@ -257,7 +257,9 @@ class Words:
         """Forget all words but those met more than once, ``most`` of them."""
         often = np.flatnonzero(self.met > 1)
         kept = np.sort(often[np.argsort(-self.met[often], kind="stable")[:most]])
-        named = {number: word for word, number in self.numbers.items()}
+        named = [""] * len(self.written)
+        for word, number in self.numbers.items():
+            named[number] = word
         starts = np.cumsum(self.n_groups) - self.n_groups
         self.pairs = self.pairs[bt.expand(starts[kept], self.n_groups[kept])]
         self.numbers = {named[k]: n for n, k in enumerate(kept.tolist())}

@@ -7,10 +7,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from strayrow.llm import bytetext as bt
 from strayrow.llm import (
     decontamination,
     jaccard_join,
@@ -99,7 +101,7 @@ def test_maximal_repeats_have_all_their_places(docs):
     assert {r.doc_id for r in rows} >= {6, 7, 9, 10}
 
 
-@pytest.mark.parametrize("crowd", [suffix_repeats.CROWD, 1])
+@pytest.mark.parametrize("crowd", [suffix_repeats.CROWD, 2, 1])
 def test_maximal_repeats_as_by_brute_force(spark, docs, nothing, monkeypatch, crowd):
     monkeypatch.setattr(suffix_repeats, "CROWD", crowd)
     once = "a passage that stands three times in this document and in no other one, word by word. "
@@ -121,6 +123,53 @@ def test_maximal_repeats_as_by_brute_force(spark, docs, nothing, monkeypatch, cr
     assert suffix_repeats.maximal_repeats(nothing).count() == 0
 
 
+def test_a_passage_in_very_many_documents(spark, monkeypatch):
+    monkeypatch.setattr(suffix_repeats, "CROWD", 20)
+    texts = [(i, f"text number {i} starts here. {PASSAGE}and goes on {i * 7919} in its own way {i}") for i in range(1500)]
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    first = {}
+    for i, t in texts:
+        x = raw(t)
+        for at in range(len(x) - 49):
+            first.setdefault(x[at : at + 50], i)
+    for r in suffix_repeats.remove_repeats(table).collect():
+        x = raw(texts[r.doc_id][1])
+        gone = bytearray(len(x))
+        for at in range(len(x) - 49):
+            if first[x[at : at + 50]] < r.doc_id:
+                gone[at : at + 50] = b"\x01" * 50
+        assert r.n_removed == sum(gone)
+
+
+def test_crowded_grams_are_split_until_they_are_not():
+    texts = [f"{i:05d} {PASSAGE}{i:05d} tail {i}" for i in range(300)]
+    table = pa.table({"doc_id": list(range(300)), "_text_key": list(range(300)), "text": texts})
+    block = suffix_repeats.Block(table, 50)
+    block.find()
+    limit, marks = 25, {}
+
+    def rows(values, counts):
+        state = np.where(counts > limit, 2, 1).astype(np.uint8)
+        order, edges = suffix_repeats._by_bucket(values, 4)
+        return [(n, suffix_repeats._packed(state[order[edges[n] : edges[n + 1]]], np.uint8)) for n in range(4)]
+
+    values, _, _, counts = block.anchor_table()
+    marks[0] = rows(values, counts)
+    keys, bodies = suffix_repeats.Deal(block, marks, 4).nodes()
+    values, _, codes = bt.distinct(keys)
+    marks[1] = rows(values, suffix_repeats._distinct_pairs(codes, bodies, len(values)))
+    deal = suffix_repeats.Deal(block, marks, 4)
+    assert len(deal.crowded) and len(keys)
+    starts, lengths, _, keys = deal.pieces()
+    different = {}
+    for start, length, key in zip(starts.tolist(), lengths.tolist(), keys.tolist(), strict=True):
+        different.setdefault(key, set()).add(block.buffer[start : start + length].tobytes())
+    assert max(map(len, different.values())) <= limit
+    windows = Counter(s + n for s, size in zip(starts.tolist(), lengths.tolist(), strict=True) for n in range(size - 49))
+    want = Counter(o + n for o, e in zip(block.offsets, block.offsets[1:], strict=False) for n in range(e - o - 49))
+    assert windows == want
+
+
 def test_intervals_are_left_diverse():
     # Suffixes b.., b.. after different letters, and c.. always after b: only the first repeats by itself.
     assert suffix_repeats.intervals([0, 60, 0, 59], [97, 98, 98, 98], 50) == [(0, 1, 60)]
@@ -220,7 +269,7 @@ def brute_contamination(texts, items, size=13):
     return out
 
 
-def test_contamination_as_by_brute_force(spark, docs, nothing):
+def test_contamination_as_by_brute_force(spark, docs, nothing, monkeypatch):
     items = [
         (1, "Word3 word4 word5 word6 word7 word8 word9 word10 word11 word12 word13 word14 word15 word16"),
         (2, "déjà vu"),
@@ -234,6 +283,11 @@ def test_contamination_as_by_brute_force(spark, docs, nothing):
     got = decontamination.contamination(docs, bench).collect()
     assert Counter(map(tuple, got)) == brute_contamination(TEXTS, items)
     assert decontamination.contamination(nothing, bench).count() == 0
+    # A benchmark, and hits, beyond the broadcast limits.
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontamination, "BROADCAST_DOCUMENTS", 0)
+    got = decontamination.contamination(docs, bench).collect()
+    assert Counter(map(tuple, got)) == brute_contamination(TEXTS, items)
     clean = decontamination.contamination(docs, bench.limit(0)).collect()
     assert len(clean) == len(TEXTS) and not any(r.contaminated for r in clean)
 
@@ -293,7 +347,7 @@ def brute_components(texts, n, threshold):
 def test_near_duplicates_as_by_brute_force(spark, docs, nothing, n, threshold):
     texts = [(i, t) for i, t in TEXTS if i is not None]
     named = docs.where("doc_id is not null")
-    found = jaccard_join.near_duplicates(named, words=n, threshold=threshold).drop("text_key").collect()
+    found = jaccard_join.near_duplicates(named, words=n, threshold=threshold).drop("text_key", "group_key").collect()
     assert Counter(map(tuple, found)) == brute_components(texts, n, threshold)
     unnamed = jaccard_join.near_duplicates(docs, words=n, threshold=threshold).where("doc_id is null").collect()
     assert [r.component_id for r in unnamed] == [None]
@@ -310,7 +364,7 @@ def test_a_large_group_of_near_copies_loses_no_link(spark):
             changed[at] = f"other{i}x{at}"
         texts.append((i, " ".join(changed)))
     table = spark.createDataFrame(texts, "doc_id long, text string")
-    got = jaccard_join.near_duplicates(table, words=4, threshold=85).drop("text_key").collect()
+    got = jaccard_join.near_duplicates(table, words=4, threshold=85).drop("text_key", "group_key").collect()
     assert Counter(map(tuple, got)) == brute_components(texts, 4, 85)
 
 
@@ -330,6 +384,32 @@ def test_topk_as_by_brute_force(spark):
     assert kdtree_search.top_k(table.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_topk_of_repeated_ids(spark):
+    vectors = [(100, [1.0, 0.0]), (100, [0.0, 1.0]), (1, [2.0, 0.0]), (2, [0.0, 3.0]), (3, [-1.0, -1.0])]
+    vectors += [(200, [1.0, 0.0]), (200, [1.0, 0.0])]
+    table = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    rows = kdtree_search.top_k(table, F.col("vec_id") % 100 == 0, k=3, shard_rows=2).collect()
+    want = Counter()
+    for n, (q, v) in enumerate(vectors):
+        if q % 100 == 0:
+            scores = sorted((-sum(int(1024 * a) * int(1024 * b) for a, b in zip(v, w, strict=True)), i) for i, w in vectors if i != q)
+            want.update((q, rank + 1, i, -s) for rank, (s, i) in enumerate(scores[:3]))
+    assert Counter(map(tuple, rows)) == want
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    def text(name, changed=()):
+        return " ".join(f"{name}{n}" if n not in changed else f"new{name}{n}" for n in range(60))
+
+    rows = [(3, text("a")), (3, text("b")), (2, text("b", [59])), (4, text("a", [0])), (3, text("c")), (3, text("c"))]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text_key", F.lit(0))
+    got = jaccard_join.near_duplicates(table, words=5, threshold=80).drop("text_key", "group_key").collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == {(3, 3): 3, (3, 2): 1, (2, 2): 1, (4, 3): 1}
+    kept = corpus_pipeline.jaccard_stage(spark, table, FOLDER)
+    assert kept.columns == table.columns
+    assert Counter((r.doc_id, r.text[:1]) for r in kept.collect()) == {(2, "b"): 1, (3, "a"): 1, (3, "c"): 1}
+
+
 def test_language_of_held_out_documents(spark, docs, nothing):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     fold = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
