@@ -11,8 +11,13 @@ WAREHOUSE_CONF = "spark.sql.warehouse.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset, one in the warehouse, shared as well."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset and Spark runs locally, one in the warehouse.
+
+    On a cluster the setting is demanded: what it would be by default lies on the driver's machine.
+    """
     folder = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
     return (folder or f"{spark.conf.get(WAREHOUSE_CONF).rstrip('/')}/_intermediate").rstrip("/")
 
 

@@ -64,7 +64,8 @@ def test_row_ids_are_unique_without_a_key(spark):
 def test_bucket_bits_grow_with_the_rows():
     assert bucket_bits(0) == bucket_bits(10) == 5
     assert bucket_bits(1 << 30) == 12
-    assert bucket_bits(1 << 60) == 20
+    assert bucket_bits(1 << 40) == 22
+    assert bucket_bits(1 << 60) == 40
 
 
 @few
