@@ -40,9 +40,9 @@ from strayrow.workspace import materialize
 
 #: Counting cells for each shingle of the corpus, at least, and shingles whose cells one task counts.
 CELLS = 16
-PART_SHINGLES = 4_000_000
-#: Text bytes of a block of documents, a row counting for some itself.
-BLOCK_BYTES = 8 << 20
+PART_SHINGLES = 2_000_000
+#: Text bytes of a block of documents, a row counting for some itself: a task holds some 40 times as much.
+BLOCK_BYTES = 2 << 20
 ROW_BYTES = 256
 #: Groups up to this size are compared in full; of larger ones about so many members in the first round.
 SMALL_GROUP = 16
