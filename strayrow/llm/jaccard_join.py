@@ -204,6 +204,7 @@ def cell_levels(blocks: DataFrame, n: int, cells: Cells) -> DataFrame:
 
 
 def _block_keys(table: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray]:
+    bt.release()
     return distinct_shingles(*bt.text_buffer(table["text"].combine_chunks()), n)
 
 

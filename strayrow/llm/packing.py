@@ -30,7 +30,9 @@ from strayrow.llm.token_counts import byte_letters
 PRETOKEN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+""")
 #: Characters whose lower case and composition need no context; other words go through the library.
 _SIMPLE = regex.compile(r"[\x21-\x7E¡-įĲ-ɏ]+")
-CACHE_ENTRIES = 600_000
+#: Words a Python worker remembers of each kind, and text bytes it reads at once.
+CACHE_ENTRIES = 300_000
+SLICE_BYTES = 1 << 20
 GROUP_BYTES = 64 << 20
 MIN_GROUPS = 8
 
@@ -218,7 +220,7 @@ def tokenized_pieces(
         if path not in _tokenizers:
             _tokenizers[path] = WordTokenizer(path)
         seen: Counter = Counter()
-        for batch in bt.slices(batches, "text"):
+        for batch in bt.slices(batches, "text", SLICE_BYTES):
             found = np.array(list(cut(batch, _tokenizers[path], capacity, end_id)), np.int64)
             ids = batch.column("doc_id").take(pa.array(found[:, 0]))
             copies = []

@@ -66,6 +66,7 @@ class Block:
     """The texts of a block in a fixed order, and the pieces around their anchors."""
 
     def __init__(self, table: pa.Table, least: int):
+        bt.release()
         table = table.sort_by([("doc_id", "ascending"), ("_text_key", "ascending")])
         column = table["text"]
         column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.string())
