@@ -61,12 +61,14 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     copies = materialize(copies.union(others).distinct(), "copies")
     if copies.count() <= MAX_BROADCAST_COPIES:
         copies = F.broadcast(copies)
-    kept = docs.withColumn("text_key", jaccard_join.text_key(F.col("text"))).join(copies, keys, "left_anti")
+    whole = F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row")
+    keyed = docs.select("doc_id", jaccard_join.text_key(F.col("text")).alias("text_key"), whole)
+    kept = keyed.join(copies, keys, "left_anti")
     if not repeated.isEmpty():
         twice = repeated.select("doc_id", F.col("_least").alias("text_key")).distinct()
         once = kept.join(twice, keys, "left_semi").dropDuplicates(keys)
         kept = kept.join(twice, keys, "left_anti").unionByName(once)
-    return kept.select(*columns)
+    return kept.select(*(F.col("_row")[c].alias(c) for c in columns))
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
