@@ -37,7 +37,7 @@ from strayrow.workspace import materialize
 SLICE_BYTES = 1 << 20
 BLOCK_BYTES = 8 << 20
 #: Words a Python worker remembers, and their bytes; beyond that it forgets those met least often.
-MAX_WORDS = 350_000
+MAX_WORDS = 400_000
 MAX_WORD_BYTES = 32 << 20
 #: Words tokenized at once: the libraries give objects of 1 to 2 KB for each.
 NEW_WORDS = 10_000
