@@ -72,7 +72,7 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
         have = np.full(size, base, np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if size <= 4 * SLICE_BYTES:
+        if size <= SLICE_BYTES:
             _POWERS[base] = have
     return have[:n]
 
