@@ -75,7 +75,9 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b): the smallest node reachable from it."""
     rounds = []
     while True:
-        stars = materialize(contracted(links), "component-stars")
+        # Full batches: as many tasks as there are, and few links are contracted at once.
+        batches = max(1, -(-links.count() // BATCH_LINKS))
+        stars = materialize(contracted(links.coalesce(batches)), "component-stars")
         least = stars.groupBy("node").agg(F.min("root").alias("component"), F.max("root").alias("_most"))
         least = materialize(least, "component-roots")
         rounds.append(least.select("node", "component"))

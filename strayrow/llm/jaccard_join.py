@@ -368,11 +368,14 @@ def linked_sets(sets: DataFrame, threshold: int) -> DataFrame | None:
         pairs = materialize(pairs, "shingle-pairs")
         compared = pairs if compared is None else compared.union(pairs)
         found = materialize(verified(pairs, sets, threshold), "shingle-links")
+        turn, pivots = turn + 1, pivots * PIVOT_GROWTH
+        if labels is not None and found.isEmpty():
+            groups = materialize(_mixed_groups(left, labels), "shingle-groups")
+            continue
         # What earlier rounds have connected is kept as a link from every node to its component.
         links = found if labels is None else found.union(labels.select(F.col("component").alias("a"), F.col("node").alias("b")))
         labels = components(links)
         groups = materialize(_mixed_groups(left, labels), "shingle-groups")
-        turn, pivots = turn + 1, pivots * PIVOT_GROWTH
     return labels
 
 
