@@ -44,6 +44,8 @@ PART_SHINGLES = 2_000_000
 #: Text bytes of a block of documents, a row counting for some itself: a task holds some 40 times as much.
 BLOCK_BYTES = 2 << 20
 ROW_BYTES = 256
+#: Text bytes whose shingles are held at once where documents are described: some 40 times as much.
+SLICE_BYTES = 1 << 20
 #: Groups up to this size are compared in full; of larger ones about so many members in the first round.
 SMALL_GROUP = 16
 PIVOTS = 3
@@ -92,6 +94,15 @@ def set_digests(keys: np.ndarray, edges: np.ndarray) -> list[bytes]:
     ]
 
 
+def sliced_sets(
+    batches: Iterator[pa.RecordBatch], n: int
+) -> Iterator[tuple[pa.RecordBatch, np.ndarray, list[bytes]]]:
+    """(rows, sizes, digests) of the sets of slice after slice."""
+    for batch in bt.slices(batches, "text", SLICE_BYTES):
+        keys, edges = distinct_shingles(*bt.text_buffer(batch.column("text")), n)
+        yield batch, np.diff(edges), set_digests(keys, edges)
+
+
 def described(texts: DataFrame, n: int) -> DataFrame:
     """(doc_id, text_key, size, digest) of every row."""
     schema = T.StructType(
@@ -104,10 +115,8 @@ def described(texts: DataFrame, n: int) -> DataFrame:
     )
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bt.slices(batches, "text"):
-            keys, edges = distinct_shingles(*bt.text_buffer(batch.column("text")), n)
-            digests = pa.array(set_digests(keys, edges), pa.binary())
-            columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(np.diff(edges)), digests]
+        for batch, sizes, digests in sliced_sets(batches, n):
+            columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(sizes), pa.array(digests, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, schema.fieldNames())
 
     return texts.mapInArrow(describe, schema)
@@ -123,11 +132,9 @@ def blocks_of_sets(texts: DataFrame, n: int, blocks: int) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[bytes] = set()
-        for batch in bt.slices(batches, "text"):
-            keys, edges = distinct_shingles(*bt.text_buffer(batch.column("text")), n)
-            digests = set_digests(keys, edges)
+        for batch, sizes, digests in sliced_sets(batches, n):
             wanted = []
-            for row, (size, digest) in enumerate(zip(np.diff(edges).tolist(), digests, strict=True)):
+            for row, (size, digest) in enumerate(zip(sizes.tolist(), digests, strict=True)):
                 if size and digest not in met:
                     met.add(digest)
                     wanted.append(row)
