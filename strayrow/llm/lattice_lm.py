@@ -37,6 +37,8 @@ ROUNDS = 2
 BATCH_WORDS = 4096
 _SLOTS = 20
 _NEVER = -1e30
+#: Logs of probabilities down to minus this are left alone as doubles, which end at minus 708.
+_PLAIN_RANGE = 600.0
 
 
 def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
@@ -88,41 +90,60 @@ class Lattice:
                 slot += 1
             self._hash[slot], self._piece[slot] = value, n
             self._probes = max(self._probes, slot - home + 1)
+        self._taken = self._piece >= 0
 
-    def _find(self, hashes: np.ndarray) -> np.ndarray:
-        """Numbers of the pieces with these hashes, -1 where there is none."""
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the hashes that pieces have, numbers of those pieces)."""
         slot = (hashes >> np.uint64(64 - _SLOTS)).astype(np.int64)
-        found = np.where(self._hash[slot] == hashes, self._piece[slot], -1)
-        for step in range(1, self._probes):
+        # Nothing that belongs to an empty slot lies further on; most ranges are no pieces and end here.
+        place = np.flatnonzero(self._taken[slot])
+        slot, hashes = slot[place], hashes[place]
+        found = np.full(len(place), -1, np.int32)
+        for step in range(self._probes):
             found = np.where(self._hash[slot + step] == hashes, self._piece[slot + step], found)
-        return found
+        met = found >= 0
+        return place[met], found[met]
 
-    def _arcs(self, sums: np.ndarray, at: int) -> np.ndarray:
-        """Pieces that end at byte ``at`` of each word, by length 1, 2, ...; -1 where there is none."""
+    def _arcs(self, sums: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, begin, piece) of each piece that ends at byte ``at`` of a word."""
         reach = min(at, self.longest)
         starts = at - np.arange(1, reach + 1)
         raw = (sums[:, at, None] - sums[:, starts]) * bt.powers(at + 1, inverse=True)[starts]
         lengths = np.arange(1, reach + 1, dtype=np.uint64)
-        return self._find(bt.mix(raw + lengths * np.uint64(0xD6E8FEB86659FD93)))
+        place, piece = self._find(bt.mix(raw + lengths * np.uint64(0xD6E8FEB86659FD93)).ravel())
+        word, back = np.divmod(place, reach)
+        return word, at - 1 - back, piece
 
-    def _forward(self, letters: np.ndarray, lengths: np.ndarray):
-        """(forward log sums by position, arcs by position) of words of at most the matrix's width."""
+    def _plain(self, width: int) -> bool:
+        """Whether the probabilities of words of this width are far from the least double, so need no logs."""
+        return -width * self.log_share[len(self.pieces) :].min() < _PLAIN_RANGE
+
+    def _forward(self, letters: np.ndarray):
+        """(forward sums by position, arcs by position) of words of at most the matrix's width.
+
+        The sums are probabilities where ``_plain`` says so, else their logs.
+        """
         rows, width = letters.shape
         sums = np.zeros((rows, width + 1), np.uint64)
         np.cumsum(bt._BYTE_VALUES[letters] * bt.powers(width), axis=1, out=sums[:, 1:])
+        arcs = [self._arcs(sums, at) for at in range(1, width + 1)]
+        single = self.log_share[len(self.pieces) :]
+        if self._plain(width):
+            forward = np.zeros((rows, width + 1))
+            forward[:, 0] = 1
+            share, lone = np.exp(self.log_share), np.exp(single)
+            for at, (word, begin, piece) in enumerate(arcs, 1):
+                paths = np.bincount(word, forward[word, begin] * share[piece], rows)
+                forward[:, at] = paths + forward[:, at - 1] * lone[letters[:, at - 1]]
+            return forward, arcs
         forward = np.full((rows, width + 1), _NEVER)
         forward[:, 0] = 0
-        arcs = []
-        single = self.log_share[len(self.pieces) :]
-        for at in range(1, width + 1):
-            piece = self._arcs(sums, at)
-            weight = np.where(piece >= 0, self.log_share[piece], _NEVER)
-            before = forward[:, at - 1 : at - 1 - piece.shape[1] if at > piece.shape[1] else None : -1]
-            paths = before + weight
-            paths = np.concatenate([paths, (forward[:, at - 1] + single[letters[:, at - 1]])[:, None]], axis=1)
+        for at, (word, begin, piece) in enumerate(arcs, 1):
+            paths = np.full((rows, min(at, self.longest) + 1), _NEVER)
+            paths[word, at - 1 - begin] = forward[word, begin] + self.log_share[piece]
+            paths[:, -1] = forward[:, at - 1] + single[letters[:, at - 1]]
             top = paths.max(1)
             forward[:, at] = top + np.log(np.exp(paths - top[:, None]).sum(1))
-            arcs.append(piece)
         return forward, arcs
 
     @staticmethod
@@ -148,46 +169,60 @@ class Lattice:
         """Natural log of each word's probability over all segmentations."""
         result = np.zeros(len(starts))
         for rows, letters, lengths in self._matrices(buffer, starts, ends):
-            forward, _ = self._forward(letters, lengths)
-            result[rows] = forward[np.arange(len(rows)), lengths]
+            forward, _ = self._forward(letters)
+            whole = forward[np.arange(len(rows)), lengths]
+            result[rows] = np.log(whole) if self._plain(letters.shape[1]) else whole
         return result
 
     def expected(self, buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Expected occurrences of every piece in words that occur ``counts`` times."""
         total = np.zeros(len(self.log_share))
-        single = self.log_share[len(self.pieces) :]
         for rows, letters, lengths in self._matrices(buffer, starts, ends):
-            forward, arcs = self._forward(letters, lengths)
-            n, width = letters.shape
-            backward = np.full((n, width + 1), _NEVER)
-            backward[np.arange(n), lengths] = 0
-            whole = forward[np.arange(n), lengths]
-            times = counts[rows].astype(float)
-            for at in range(width, 0, -1):
-                here = backward[:, at]
-                live = np.flatnonzero(here > _NEVER / 2)
-                if not len(live):
-                    continue
-                piece = arcs[at - 1][live]
-                row, back = np.nonzero(piece >= 0)
-                word, found = live[row], piece[row, back]
-                begin = at - 1 - back
-                path = self.log_share[found] + here[word]
-                weight = np.exp(np.minimum(forward[word, begin] + path - whole[word], 0)) * times[word]
-                total += np.bincount(found, weight, len(total))
-                byte = letters[live, at - 1].astype(np.int64)
-                lone = single[byte] + here[live]
-                weight = np.exp(np.minimum(forward[live, at - 1] + lone - whole[live], 0)) * times[live]
-                total += np.bincount(byte + len(self.pieces), weight, len(total))
-                for step in range(int(back.max(initial=-1)) + 1):
-                    with_step = back == step
-                    target = word[with_step]
-                    backward[target, at - 1 - step] = np.logaddexp(
-                        backward[target, at - 1 - step], path[with_step]
-                    )
-                backward[live, at - 1] = np.logaddexp(backward[live, at - 1], lone)
+            forward, arcs = self._forward(letters)
+            used = self._used if self._plain(letters.shape[1]) else self._used_by_logs
+            found, weights = zip(*used(letters, lengths, counts[rows].astype(float), forward, arcs), strict=True)
+            total += np.bincount(np.concatenate(found), np.concatenate(weights), len(total))
         return total
 
+    def _used(self, letters: np.ndarray, lengths: np.ndarray, times: np.ndarray, forward: np.ndarray, arcs: list):
+        """(pieces, their expected occurrences) by position, from the last, of words that occur ``times`` times."""
+        n, width = letters.shape
+        share = np.exp(self.log_share)
+        single = share[len(self.pieces) :]
+        backward = np.zeros((n, width + 1))
+        backward[np.arange(n), lengths] = 1
+        each = times / forward[np.arange(n), lengths]
+        for at in range(width, 0, -1):
+            here = backward[:, at]
+            word, begin, piece = arcs[at - 1]
+            path = share[piece] * here[word]
+            yield piece, forward[word, begin] * path * each[word]
+            byte = letters[:, at - 1].astype(np.int64)
+            lone = single[byte] * here
+            yield byte + len(self.pieces), forward[:, at - 1] * lone * each
+            backward[word, begin] += path
+            backward[:, at - 1] += lone
+
+    def _used_by_logs(self, letters: np.ndarray, lengths: np.ndarray, times: np.ndarray, forward: np.ndarray, arcs: list):
+        """As ``_used``, for words so long that a probability may be below the least double."""
+        n, width = letters.shape
+        single = self.log_share[len(self.pieces) :]
+        backward = np.full((n, width + 1), _NEVER)
+        backward[np.arange(n), lengths] = 0
+        whole = forward[np.arange(n), lengths]
+        for at in range(width, 0, -1):
+            here = backward[:, at]
+            live = here > _NEVER / 2
+            word, begin, piece = (x[live[arcs[at - 1][0]]] for x in arcs[at - 1])
+            path = self.log_share[piece] + here[word]
+            yield piece, np.exp(np.minimum(forward[word, begin] + path - whole[word], 0)) * times[word]
+            live = np.flatnonzero(live)
+            byte = letters[live, at - 1].astype(np.int64)
+            lone = single[byte] + here[live]
+            yield byte + len(self.pieces), np.exp(np.minimum(forward[live, at - 1] + lone - whole[live], 0)) * times[live]
+            backward[word, begin] = np.logaddexp(backward[word, begin], path)
+            backward[live, at - 1] = np.logaddexp(backward[live, at - 1], lone)
+
 
 def first_lattice(path: str) -> Lattice:
     pieces, shares = vocabulary(path)

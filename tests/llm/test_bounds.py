@@ -5,7 +5,8 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from strayrow.llm import jaccard_join
+from strayrow.llm import jaccard_join, lattice_lm
+from strayrow.llm.queries import PIECES, tokenizer_path
 
 
 def test_sets_of_a_large_batch_are_held_slice_by_slice():
@@ -24,3 +25,17 @@ def test_sets_of_a_large_batch_are_held_slice_by_slice():
     tracemalloc.stop()
     assert rows == 4000 and first == want
     assert peak < 64 << 20
+
+
+def test_words_of_usual_length_need_no_logs_and_long_ones_agree(monkeypatch):
+    lattice = lattice_lm.first_lattice(tokenizer_path(PIECES))
+    tried = [w.encode() for w in ("the", "lattice", "déjà", "日本", "a", "unhappiness", "x" * 25, "ab" * 400)]
+    ends = np.cumsum([len(w) for w in tried])
+    starts = ends - np.array([len(w) for w in tried])
+    buffer, counts = np.frombuffer(b"".join(tried), np.uint8), np.arange(1, len(tried) + 1)
+    assert lattice._plain(20) and not lattice._plain(800)
+    mixed = lattice.log_words(buffer, starts, ends), lattice.expected(buffer, starts, ends, counts)
+    monkeypatch.setattr(lattice_lm, "_PLAIN_RANGE", 0.0)
+    logs = lattice.log_words(buffer, starts, ends), lattice.expected(buffer, starts, ends, counts)
+    assert np.isfinite(mixed[0]).all() and np.allclose(mixed[0], logs[0], rtol=1e-12)
+    assert np.allclose(mixed[1], logs[1], rtol=1e-9, atol=1e-12)
