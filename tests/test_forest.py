@@ -215,3 +215,24 @@ def test_counts(spark):
     assert got == {"a": (2, 1, False), "b": (1, 0, False)}
     nothing = count_flagged(df.limit(0)).first()
     assert (nothing["rows"], nothing.anomalies, nothing.empty) == (0, 0, True)
+
+
+@pytest.mark.parametrize("fails", [False, True])
+def test_training_rows_are_laid_out_once_and_let_go(spark, fails):
+    class Reader:
+        def fit(self, points):
+            self.points, self.level = points, points.storageLevel
+            self.rows = [points.count(), points.count()]
+            if fails:
+                raise RuntimeError("no model")
+            return "model"
+
+    df = spark.range(40).select("id", F.col("id").cast("double").alias("a"), (F.col("id") % 3).alias("b"))
+    reader = Reader()
+    if fails:
+        with pytest.raises(RuntimeError, match="no model"):
+            contrast_fit(df, reader, ["a", "b"], 1.0, 1, ["id"])
+    else:
+        assert contrast_fit(df, reader, ["a", "b"], 1.0, 1, ["id"]) == "model"
+    assert reader.level.useDisk and not reader.level.useMemory and reader.rows == [80, 80]
+    assert not reader.points.storageLevel.useDisk
