@@ -22,8 +22,9 @@ from strayrow.llm import bytetext as bt
 from strayrow.workspace import materialize
 
 FEATURES = 4096
-#: Text bytes read at once: a task holds some 60 times as much.
-SLICE_BYTES = 1 << 20
+#: Text bytes read at once, of which a task holds some 60 times as much, and rows, each of FEATURES numbers.
+SLICE_BYTES = 1 << 18
+SLICE_ROWS = 256
 UNKNOWN = "und"
 #: Pairs of codewords compared while a code is drawn, and codewords compared with all at once.
 CODE_PAIRS = 1 << 31
@@ -175,7 +176,7 @@ def train(
     sample = sample.union(first.groupBy("lang").agg(F.min("text").alias("text")).select("text", "lang"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bt.slices(batches, "text", SLICE_BYTES):
+        for batch in bt.slices(batches, "text", SLICE_BYTES, SLICE_ROWS):
             buffer, offsets = bt.text_buffer(batch.column("text"))
             kept = pa.array(has_letter(buffer, offsets))
             found = ngram_features(buffer, offsets).astype(np.float16)
@@ -221,7 +222,7 @@ def identify(
     )
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bt.slices(batches, text_column, SLICE_BYTES):
+        for batch in bt.slices(batches, text_column, SLICE_BYTES, SLICE_ROWS):
             buffer, offsets = bt.text_buffer(batch.column(text_column))
             letters = has_letter(buffer, offsets) if model or with_letters else np.zeros(batch.num_rows, bool)
             known = letters if model else np.zeros(batch.num_rows, bool)
