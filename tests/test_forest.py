@@ -1,18 +1,26 @@
+import threading
+import time
+from functools import reduce
+
 import duckdb
 import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
+from strayrow.operators import sampling
 from strayrow.operators.alerts import anomalies, count_flagged, first_alerts, first_alerts_per_batch
 from strayrow.operators.features import assemble
 from strayrow.operators.forest import (
     ForestSettings,
     contrast_fit,
     contrast_set,
+    fit_forest,
     forest_estimator,
     score,
+    training_tables,
 )
+from strayrow.operators.positions import with_row_hash, with_row_id
 from strayrow.plans.train import TrainingOptions, train, train_and_publish
 from strayrow.sources.models import (
     PublishConflict,
@@ -22,7 +30,7 @@ from strayrow.sources.models import (
     publish_model,
     save_model,
 )
-from strayrow.workspace import materialize
+from strayrow.workspace import materialize, whole_file_session, write_compact
 
 COLUMNS = ["a", "b", "c"]
 SMALL = ForestSettings(trees=6, max_depth=8)
@@ -236,3 +244,112 @@ def test_training_rows_are_laid_out_once_and_let_go(spark, fails):
         assert contrast_fit(df, reader, ["a", "b"], 1.0, 1, ["id"]) == "model"
     assert reader.level.useDisk and not reader.level.useMemory and reader.rows == [80, 80]
     assert not reader.points.storageLevel.useDisk
+
+
+@pytest.fixture
+def in_parts(monkeypatch):
+    """Resamples of 3,000 rows are cut into parts, as large ones are."""
+    monkeypatch.setattr(sampling, "ROWS_PER_PART", 700)
+
+
+@pytest.mark.parametrize("mode, key", [("exact", ["uuid"]), ("poisson", ["uuid"]), ("exact", None)])
+def test_training_tables_hold_the_contrast_set(spark, records, in_parts, mode, key):
+    named = records
+    if key is None:  # what identifies the rows then
+        named = materialize(with_row_id(records.select(*COLUMNS), None, "_identity"), "named")
+    want = contrast_set(named, COLUMNS, 1.0, 5, key or ["_identity"], mode)
+    tables = training_tables(records, COLUMNS, 1.0, 5, key, mode, 3000)
+    assert [label for label, _ in tables] == [0.0, 0.0, 0.0, 0.0, 1.0]
+    got = [
+        (label, *row) for label, path in tables for row in spark.read.parquet(path).select(*COLUMNS).collect()
+    ]
+    assert sorted(got) == sorted(tuple(row) for row in want.select("label", *COLUMNS).collect())
+
+
+def test_parts_of_a_resample_have_consecutive_positions_and_skip_other_draws(spark, records):
+    hashed = with_row_hash(records, ["uuid"], "_row")
+    parts = sampling.marginal_resample_parts(
+        hashed, COLUMNS, 3000, 1.0, 5, parts=3, tasks=2, rows_per_bucket=20
+    )
+    for number, part in enumerate(parts):
+        rows = part.select("row_no", F.spark_partition_id().alias("task")).collect()
+        assert sorted(r.row_no for r in rows) == list(range(1000 * number, 1000 * (number + 1)))
+        assert {r.task for r in rows} == {0, 1}
+        shuffled = executed_exchanges(part)
+        assert shuffled and max(shuffled) < 0.5 * 3000 * len(COLUMNS)
+
+
+def executed_exchanges(df):
+    """The rows that every exchange of a query has written."""
+    query = df._jdf.queryExecution()
+    query.toRdd().count()
+    found, nodes = [], [query.executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            nodes.append(node.executedPlan())
+        elif node.nodeName().endswith("QueryStage"):
+            nodes.append(node.plan())
+        elif node.nodeName() == "Exchange":
+            found.append(node.metrics().apply("shuffleRecordsWritten").value())
+        children = node.children()
+        nodes += [children.apply(n) for n in range(children.size())]
+    return found
+
+
+def test_compact_tables_leave_no_shuffle_files(spark, records):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = manager.getAllFiles()
+        names = [found.apply(n).getName() for n in range(found.size())]
+        return {name for name in names if name.startswith("shuffle_")}
+
+    before = files()
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    kept = spark.conf.get(setting)
+    path = write_compact(records.groupBy("uuid").count().repartition(3, "uuid"), "compact")
+    deadline = time.time() + 20
+    while files() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(setting) == kept
+    assert spark.read.parquet(path).count() == 3000
+
+
+def test_a_forest_is_the_one_spark_fits_without_its_copy_on_disk(spark, records, in_parts):
+    tables = training_tables(records, COLUMNS, 1.0, 5, ["uuid"], "exact", 3000)
+    read = whole_file_session(spark).read
+    frames = [read.parquet(path).select(F.lit(label).alias("label"), *COLUMNS) for label, path in tables]
+    training = assemble(reduce(lambda a, b: a.unionByName(b), frames), COLUMNS).select("label", "features")
+    files = sum(len(frame.inputFiles()) for frame in frames)
+    assert training.rdd.getNumPartitions() == files >= 8
+    forest = forest_estimator(5, SMALL)
+    got, want = fit_forest(forest, training), forest.fit(training)
+    assert trees(got) == trees(want) and got.uid == want.uid and got.hasSummary
+    assert got.featureImportances == want.featureImportances
+    assert {p.name: v for p, v in got.extractParamMap().items()} == {
+        p.name: v for p, v in want.extractParamMap().items()
+    }
+    fitted = contrast_fit(records, forest, COLUMNS, 1.0, 5, ["uuid"])
+    assert trees(fitted) == trees(got)
+
+
+def test_no_training_row_is_kept_on_an_executors_disk(spark, records):
+    seen, done = set(), threading.Event()
+
+    def watch():
+        while not done.is_set():
+            for rdd in list(spark.sparkContext._jsc.getPersistentRDDs().values()):
+                seen.add((rdd.name(), rdd.getStorageLevel().useDisk()))
+            time.sleep(0.01)
+
+    watcher = threading.Thread(target=watch)
+    others = {rdd.name() for rdd in spark.sparkContext._jsc.getPersistentRDDs().values()}
+    watcher.start()
+    try:
+        contrast_fit(records, forest_estimator(5, SMALL), COLUMNS, 1.0, 5, ["uuid"])
+    finally:
+        done.set()
+        watcher.join()
+    new = {(name, disk) for name, disk in seen if name not in others}
+    assert new and not any(disk for _, disk in new)
